@@ -48,24 +48,74 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Pieces that normalisation leaves as they are but for case, and without added tokens: their words can be counted beforehand.
+_PLAIN = "^[!-~\u00c0-\u00ff]+$"
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+_TOGETHER = 256
+
+
+@lru_cache(maxsize=2)
+def _word_ends(path: str) -> np.ndarray:
+    """Whether each id ends a word."""
+    vocab = _tokenizer(path).get_vocab()
+    ends = np.zeros(max(vocab.values()) + 1, bool)
+    ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+    return ends
+
+
+def _encode_pieces(pieces: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all pieces in some order, where each piece's ids start in them and how many they are).
+
+    Plain pieces are encoded many at a time, as one text with spaces between; an id that ends a word tells where
+    each stops. Others, and a run whose words are not as many as counted, are encoded one by one.
+    """
+    lower = pc.utf8_lower(pieces)
+    plain = np.asarray(pc.and_(pc.match_substring_regex(pieces, _PLAIN), pc.invert(pc.match_substring(pieces, "<|"))).to_numpy(zero_copy_only=False), dtype=bool)
+    count = np.asarray(pc.count_substring_regex(lower, _WORDS)).astype(np.int64)
+    text, encoder, ends = pieces.to_pylist(), _tokenizer(path), _word_ends(path)
+    size = np.zeros(len(text), np.int64)
+    together, alone = np.flatnonzero(plain & (count > 0)), np.flatnonzero(~(plain & (count > 0))).tolist()
+    runs = [together[i : i + _TOGETHER] for i in range(0, len(together), _TOGETHER)]
+    flat: list[np.ndarray] = []
+    owner: list[np.ndarray] = []
+    for run, e in zip(runs, encoder.encode_batch_fast([" ".join([text[i] for i in run.tolist()]) for run in runs], add_special_tokens=False), strict=True):
+        found = np.array(e.ids, dtype=np.uint32)
+        stop = np.flatnonzero(ends[found])
+        if len(stop) != count[run].sum():
+            alone += run.tolist()
+            continue
+        cut = stop[np.cumsum(count[run]) - 1] + 1
+        size[run] = np.diff(np.r_[0, cut])
+        flat.append(found)
+        owner.append(run)
+    for i, e in zip(alone, encoder.encode_batch_fast([text[i] for i in alone], add_special_tokens=False), strict=True):
+        flat.append(np.array(e.ids, dtype=np.uint32))
+        size[i] = len(flat[-1])
+        owner.append(np.array([i]))
+    if not flat:
+        return np.zeros(0, np.uint32), np.zeros((2, len(text)), np.int64)
+    order = np.concatenate(owner)
+    table, first = np.concatenate(flat), np.zeros(len(text), np.int64)
+    first[order] = np.cumsum(size[order]) - size[order]
+    return table, np.stack([first, size])
+
+
 def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts one after the other, number of ids of each text), without special tokens.
 
-    For a tokenizer that drops white space, the ids of a text are those of its pieces between ASCII white
-    space, so each distinct piece of the batch is encoded once (tests compare with whole texts).
+    The tokenizer drops white space and no word crosses it, so the ids of a text are those of its pieces between
+    ASCII white space, and each distinct piece of the batch is encoded once (tests compare with whole texts).
     """
     lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     coded = lists.flatten().dictionary_encode()
-    pieces = coded.dictionary.to_pylist()
-    encoded = [e.ids for e in _tokenizer(path).encode_batch(pieces, add_special_tokens=False)] if pieces else []
-    size = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded))
-    table = np.fromiter((i for ids in encoded for i in ids), dtype=np.uint32, count=int(size.sum()))
-    first = np.cumsum(size) - size
     code = np.asarray(coded.indices, dtype=np.int64)
+    if not len(code):
+        return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+    table, (first, size) = _encode_pieces(coded.dictionary, path)
     each = size[code]
     ends = np.cumsum(each)
-    gather = np.arange(int(each.sum())) + np.repeat(first[code] - (ends - each), each)
-    at = np.r_[0, ends][np.asarray(lists.offsets, dtype=np.int64)]
+    gather = np.arange(int(ends[-1])) + np.repeat(first[code] - (ends - each), each)
+    at = np.r_[0, ends][np.asarray(lists.offsets, dtype=np.int64) - lists.offsets[0].as_py()]
     return table[gather], np.diff(at)
 
 
