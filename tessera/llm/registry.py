@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import pii, quality, shards, token_files, warc
+from tessera.llm import ngram_join, pii, quality, shards, token_files, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.found(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_pii": op7_pii, "op8_warc": op8_warc, "op1_token_files": op1_token_files, "op4_shards": op4_shards, "op10_quality_rules": op10_quality_rules}
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.joined(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
-ORACLES: dict[str, str] = {"op8_warc": warc.ORACLE, "op10_quality_rules": quality.ORACLE}
+
+QUERIES = {"op5_ngram_join": op5_ngram_join, "op7_pii": op7_pii, "op8_warc": op8_warc, "op1_token_files": op1_token_files, "op4_shards": op4_shards, "op10_quality_rules": op10_quality_rules}
+
+ORACLES: dict[str, str] = {"op5_ngram_join": ngram_join.ORACLE, "op8_warc": warc.ORACLE, "op10_quality_rules": quality.ORACLE}
