@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, ngram_join, pii, quality, shards, token_files, warc
+from tessera.llm import decontaminate, mixing, ngram_join, pii, quality, shards, token_files, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op6_decontaminate": op6_decontaminate, "op5_ngram_join": op5_ngram_join, "op7_pii": op7_pii, "op8_warc": op8_warc, "op1_token_files": op1_token_files, "op4_shards": op4_shards, "op10_quality_rules": op10_quality_rules}
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op3_mixing": op3_mixing, "op6_decontaminate": op6_decontaminate, "op5_ngram_join": op5_ngram_join, "op7_pii": op7_pii, "op8_warc": op8_warc, "op1_token_files": op1_token_files, "op4_shards": op4_shards, "op10_quality_rules": op10_quality_rules}
 
 ORACLES: dict[str, str] = {"op6_decontaminate": decontaminate.ORACLE, "op5_ngram_join": ngram_join.ORACLE, "op8_warc": warc.ORACLE, "op10_quality_rules": quality.ORACLE}
