@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, licenses, mixing, ngram_join, pii, quality, shards, token_files, warc
+from tessera.llm import decontaminate, licenses, maxent, mixing, ngram_join, pii, quality, shards, token_files, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_licenses": op2_licenses, "op3_mixing": op3_mixing, "op6_decontaminate": op6_decontaminate, "op5_ngram_join": op5_ngram_join, "op7_pii": op7_pii, "op8_warc": op8_warc, "op1_token_files": op1_token_files, "op4_shards": op4_shards, "op10_quality_rules": op10_quality_rules}
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.scored(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op9_lm_scores": op9_lm_scores, "op2_licenses": op2_licenses, "op3_mixing": op3_mixing, "op6_decontaminate": op6_decontaminate, "op5_ngram_join": op5_ngram_join, "op7_pii": op7_pii, "op8_warc": op8_warc, "op1_token_files": op1_token_files, "op4_shards": op4_shards, "op10_quality_rules": op10_quality_rules}
 
 ORACLES: dict[str, str] = {"op6_decontaminate": decontaminate.ORACLE, "op5_ngram_join": ngram_join.ORACLE, "op8_warc": warc.ORACLE, "op10_quality_rules": quality.ORACLE}
