@@ -9,10 +9,12 @@ symmetric difference has shingles, and sets of similarity 0.75 or more differ in
 * **Pigeonhole.** Of T pieces that are not empty at most d can differ, so two similar sets share one of the first
   d + 1 pieces of each in any common order. The order takes pieces without a very common shingle first, then pieces
   with more shingles, so that passages that many documents share hardly ever meet in a piece.
-* **Verification.** Each class of equal sets first meets the class with which it shares most pieces; the links
-  found make components. What is left are meetings across components: those in a piece of two classes are
-  verified as they are; in a larger piece, sketches are compared in blocks and only survivors are verified. All links
-  between different components are found, though copies are never expanded into pairs.
+* **Verification.** In each piece, classes are first compared with their neighbours in the order of classes; the pairs
+  that neither sizes nor sketches rule out are verified on the sets, and the links found make components. Pieces
+  of three classes or more whose members are still of different components are then compared in blocks, sketch
+  against sketch, across components only; each class proposes the nearest of every other component while
+  that joins many, and a last round verifies all that is left. So no link between different components is lost, though neither copies
+  nor the members of a piece are expanded into pairs.
 
 Equal sets are one class (a 64-bit fingerprint), whose pieces each task emits once. No cap on partners, candidates
 or pieces is set anywhere.
@@ -28,7 +30,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,11 +43,13 @@ WIDTH = 5
 PERCENT = 75
 LEAST_BAND = 6
 #: A shingle in more than this share of the documents of some stretch is common; it orders pieces, nothing else.
-COMMON_SHARE = 1 / 500
+COMMON_SHARE = 1 / 1000
 STRETCH = 2_000_000
 #: Pieces to a bucket, about; a task of the piece join holds one bucket at a time.
 BUCKET_PIECES = 1_500_000
 BLOCK = 1024
+#: Document ids (8 bytes each) that are broadcast at most.
+MOST_BROADCAST = 500_000
 
 
 def linked(shared: int, a: int, b: int) -> bool:
@@ -120,29 +123,34 @@ def signatures(s: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of documents (kind 0: doc_id, class, size) and of common shingles of a stretch (kind 1: shingle, documents)."""
+    """Rows of documents (kind 0: doc_id, class, size), of common shingles of a stretch (kind 1: shingle, documents) and of
+    sketches (kind 2: class, size), one for each class and stretch."""
     held, count, docs = [], 0, 0
 
     def common() -> pa.RecordBatch:
         value, n = np.unique(np.concatenate(held), return_counts=True)
         many = n >= max(3, math.ceil(COMMON_SHARE * docs))
-        return pa.RecordBatch.from_pydict({"kind": np.ones(many.sum(), np.int32), "a": value[many].astype(np.int64), "b": n[many].astype(np.int64), "n": np.zeros(many.sum(), np.int64)})
+        return pa.RecordBatch.from_pydict({"kind": np.ones(many.sum(), np.int32), "a": value[many].astype(np.int64), "b": n[many].astype(np.int64), "n": np.zeros(many.sum(), np.int64), "sketch": pa.nulls(int(many.sum()), pa.binary())})
 
     seen: set[int] = set()
     for whole in batches:
         for batch in slices(whole, "text"):
             sets = sets_of(batch.column("text"))
             classes = [class_of(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_pydict({"kind": np.zeros(len(sets), np.int32), "a": batch.column("doc_id"), "b": pa.array(classes, pa.int64()), "n": np.array([len(s) for s in sets], np.int64)})
+            yield pa.RecordBatch.from_pydict({"kind": np.zeros(len(sets), np.int32), "a": batch.column("doc_id"), "b": pa.array(classes, pa.int64()), "n": np.array([len(s) for s in sets], np.int64), "sketch": pa.nulls(len(sets), pa.binary())})
+            fresh = []
             for s, c in zip(sets, classes, strict=True):
                 docs += 1
                 if len(s) and c not in seen:
                     seen.add(c)
                     held.append(s)
+                    fresh.append((c, len(s), sketch(s)))
                     count += len(s)
-                if count >= STRETCH:
-                    yield common()
-                    held, count, docs, seen = [], 0, 0, set()
+            if fresh:
+                yield pa.RecordBatch.from_pydict({"kind": np.full(len(fresh), 2, np.int32), "a": pa.array([x[0] for x in fresh], pa.int64()), "b": pa.nulls(len(fresh), pa.int64()), "n": pa.array([x[1] for x in fresh], pa.int64()), "sketch": pa.array([x[2] for x in fresh], pa.binary())})
+            if count >= STRETCH:
+                yield common()
+                held, count, docs, seen = [], 0, 0, set()
     if held:
         yield common()
 
@@ -225,8 +233,16 @@ def _maybe(classes: DataFrame, column: str):
     return spark.sparkContext.broadcast(table)
 
 
-def _payloads(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cls, members, sketch) of the classes in ``classes``, and of a few more; once for each class."""
+def _payloads(docs: DataFrame, classes: DataFrame, table: DataFrame) -> DataFrame:
+    """(cls, members) of the classes in ``classes``, once each.
+
+    While they are few, only a document of each class is read for it, by a broadcast of at most ``MOST_BROADCAST`` ids;
+    beyond that every document is hashed again and a bitmap picks them out.
+    """
+    classes = saved(classes, "wanted")
+    if classes.count() <= MOST_BROADCAST:
+        ids = table.join(classes, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("rep")).select("rep").distinct()
+        docs = docs.join(F.broadcast(saved(ids, "reps")), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
     maybe = _maybe(classes, "cls")
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,11 +254,11 @@ def _payloads(docs: DataFrame, classes: DataFrame) -> DataFrame:
                 for s in sets_of(batch.column("text")):
                     if len(s) and (c := class_of(s)) not in seen and (int(table[(c & mask) >> 6]) >> (c & 63)) & 1:
                         seen.add(c)
-                        rows.append((c, s.tobytes(), sketch(s)))
+                        rows.append((c, s.tobytes()))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["cls", "members", "sketch"])
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["cls", "members"])
 
-    found = docs.mapInArrow(compute, "cls long, members binary, sketch binary")
+    found = docs.mapInArrow(compute, "cls long, members binary")
     return found.join(classes, "cls", "left_semi").dropDuplicates(["cls"])
 
 
@@ -272,55 +288,128 @@ def _verified(pairs: DataFrame, payload: DataFrame) -> DataFrame:
 
 def _folded(sketches: np.ndarray) -> np.ndarray:
     """Sketches of a band as they are in the band below."""
-    return sketches[:, 0::2] ^ sketches[:, 1::2]
-
-
-def _survivors(key: tuple, members: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a block (or of two) in different components that neither sizes nor sketches rule out."""
-    out_a, out_b = [], []
-    cls, root, n, side = (members[c].to_numpy() for c in ("cls", "root", "n", "side"))
-    bands = np.array([band(int(x)) for x in n])
-    raw = members["sketch"].to_numpy()
-    two = len(np.unique(side)) > 1
-    for k in np.unique(bands):
-        low = np.flatnonzero(bands == k)
-        own = np.stack([np.frombuffer(raw[i], np.uint8) for i in low])
-        high = np.flatnonzero(bands == k + 1)
-        others = [(low, own)] + ([(high, _folded(np.stack([np.frombuffer(raw[i], np.uint8) for i in high])))] if len(high) else [])
-        for place, sketches in others:
-            for at, i in enumerate(low):
-                ok = (root[place] != root[i]) & (100 * np.minimum(n[i], n[place]) >= PERCENT * np.maximum(n[i], n[place]))
-                ok &= cls[place] > cls[i] if place is low else True
-                if two:
-                    ok &= side[place] != side[i]
-                some = np.flatnonzero(ok)
-                if len(some):
-                    far = n[i] + n[place[some]] - 2 * (-(-PERCENT * (n[i] + n[place[some]]) // (100 + PERCENT)))
-                    near = some[(sketches[some] != own[at]).sum(axis=1) <= far]
-                    out_a += [cls[i]] * len(near)
-                    out_b += cls[place[near]].tolist()
-    a, b = np.array(out_a, np.int64), np.array(out_b, np.int64)
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-
-def _across(groups: DataFrame, roots: DataFrame, payload: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pairs (a, b) that meet in a piece of three or more classes and are in different components."""
+    return sketches[..., 0::2] ^ sketches[..., 1::2]
+
+
+def _near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) that neither sizes nor sketches rule out."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y, m, n in zip(batch.column("x"), batch.column("y"), batch.column("m").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                ok = 100 * min(m, n) >= PERCENT * max(m, n)
+                if ok:
+                    x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+                    x, y = (_folded(x) if len(x) > len(y) else x), (_folded(y) if len(y) > len(x) else y)
+                    ok = len(x) == len(y) and int((x != y).sum()) <= farthest(m, n)
+                keep.append(ok)
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+
+    x = sketches.select(F.col("cls").alias("a"), F.col("sketch").alias("x"), F.col("n").alias("m"))
+    y = sketches.select(F.col("cls").alias("b"), F.col("sketch").alias("y"), "n")
+    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y", "m", "n").mapInArrow(check, "a long, b long")
+
+
+def _apart(sketches: list[bytes], sizes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Pieces in which sketches i and j differ, in the band of the smaller set; -1 where bands are further apart."""
+    bands = np.array([band(int(x)) for x in sizes])
+    place, tables, folds = np.zeros(len(sizes), np.int64), {}, {}
+    for k in np.unique(bands).tolist():
+        at = np.flatnonzero(bands == k)
+        place[at] = np.arange(len(at))
+        tables[k] = np.stack([np.frombuffer(sketches[x], np.uint8) for x in at.tolist()])
+    i, j = np.where(bands[i] <= bands[j], i, j), np.where(bands[i] <= bands[j], j, i)
+    out = np.full(len(i), -1)
+    for k in tables:
+        for up in (0, 1):
+            if k + up in tables:
+                if up and k + 1 not in folds:
+                    folds[k + 1] = _folded(tables[k + 1])
+                x, y = tables[k], folds[k + 1] if up else tables[k]
+                some = np.flatnonzero((bands[i] == k) & (bands[j] == k + up))
+                step = max(1, (16 << 20) >> k)
+                for lo in range(0, len(some), step):
+                    part = some[lo : lo + step]
+                    out[part] = (x[place[i[part]]] != y[place[j[part]]]).sum(axis=1)
+    return out
+
+
+def _survivors(every: bool):
+    """A function of the pieces in a bucket (or of two blocks of a large one) that gives pairs of different components which
+    neither sizes nor sketches rule out: all of them, or for each class the nearest of every other component."""
+
+    def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        piece, cls, root, n, side = (np.asarray(table.column(c)) for c in ("piece", "cls", "root", "n", "side"))
+        order = np.argsort(piece, kind="stable")
+        cuts = np.r_[0, np.flatnonzero(np.diff(piece[order])) + 1, len(order)].tolist()
+        value, place = np.unique(cls, return_inverse=True)
+        sample = np.zeros(len(value), np.int64)
+        sample[place] = np.arange(len(cls))
+        raw = table.column("sketch")
+        sketches, size, of = [raw[int(x)].as_py() for x in sample], n[sample], root[sample]
+        seen, held, count = [], [], 0
+
+        def tested() -> None:
+            nonlocal held, count
+            codes = np.unique(np.concatenate(held))
+            held, count = [], 0
+            i, j = np.divmod(codes, len(value))
+            apart = _apart(sketches, size, i, j)
+            least = -(-PERCENT * (size[i] + size[j]) // (100 + PERCENT))
+            near = (apart >= 0) & (apart <= size[i] + size[j] - 2 * least)
+            seen.append(np.stack([i[near], j[near], apart[near]]))
+
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            at = order[lo:hi]
+            for row in range(len(at) - 1):
+                i, j = place[at[row]], place[at[row + 1 :]]
+                ok = (of[j] != of[i]) & (100 * np.minimum(size[i], size[j]) >= PERCENT * np.maximum(size[i], size[j]))
+                if key[1].as_py() != key[2].as_py():
+                    ok &= side[at[row + 1 :]] != side[at[row]]
+                if ok.any():
+                    j = j[ok]
+                    held.append(np.minimum(i, j) * len(value) + np.maximum(i, j))
+                    count += len(j)
+            if count > 500_000:
+                tested()
+        if held:
+            tested()
+        i, j, apart = np.concatenate(seen, axis=1) if seen else np.zeros((3, 0), np.int64)
+        if not every and len(i):
+            i, j, apart = np.r_[i, j], np.r_[j, i], np.r_[apart, apart]
+            best = np.lexsort((apart, of[j], i))
+            i, j = i[best], j[best]
+            first = np.r_[True, (i[1:] != i[:-1]) | (of[j][1:] != of[j][:-1])]
+            i, j = i[first], j[first]
+        a, b = value[i], value[j]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return compare
+
+
+def _across(groups: DataFrame, roots: DataFrame, sketches: DataFrame, every: bool) -> DataFrame:
+    """Pairs (a, b) that meet in a piece of three or more classes, are in different components and may link."""
     known = groups.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     known = saved(known, "members")
     mixed = known.groupBy("piece").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("piece", "members")
-    open_ = known.join(mixed, "piece").join(payload.select("cls", "sketch"), "cls").join(sizes, "cls")
+    mixed = saved(mixed, "mixed")
+    calls = max(64, (mixed.agg(F.sum("members")).first()[0] or 0) // 20_000)
+    open_ = known.join(mixed, "piece").join(sketches, "cls")
     blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     spread = open_.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("piece", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.col("own").alias("side"), "cls", "root", "n", "sketch")
-    return spread.groupBy("piece", "lo", "hi").applyInPandas(_survivors, "a long, b long").distinct()
+    call = F.when(F.col("blocks") > 1, F.col("piece")).otherwise(F.pmod("piece", F.lit(calls)))
+    spread = spread.select(call.alias("call"), "piece", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.col("own").alias("side"), "cls", "root", "n", "sketch")
+    return spread.groupBy("call", "lo", "hi").applyInArrow(_survivors(every), "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(doc_id, cls, n) of each row of ``docs``, and (a, b), links that connect just the classes that links connect."""
+    """(doc_id, cls, n) of each row of ``docs``, and (node, root) of the classes that links join to others."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    summary = saved(rows.mapInArrow(_summaries, "kind int, a long, b long, n long"), "summary")
+    summary = saved(rows.mapInArrow(_summaries, "kind int, a long, b long, n long, sketch binary"), "summary")
     table = summary.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("cls"), "n")
     total = table.agg(F.count("*").alias("docs"), F.sum("n").alias("n")).first()
     limit = max(3, math.ceil(COMMON_SHARE * (total["docs"] or 0) / 2))
@@ -330,28 +419,39 @@ def classes(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     buckets = max(64, -(-int(total["n"] or 0) // BUCKET_PIECES))
     emitted = rows.mapInArrow(_emitter(common, buckets), "bucket int, tokens binary, owners binary")
     met = saved(emitted.groupBy("bucket").applyInArrow(_meetings, "kind int, a long, b long, n long"), "met")
-    pairs = saved(met.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n")), "pairs")
-    groups = met.where("kind = 1").select(F.col("a").alias("piece"), F.col("b").alias("cls")).distinct()
-    sizes = table.where("cls is not null").groupBy("cls").agg(F.max("n").alias("n"))
-    wanted = saved(pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct(), "wanted")
-    payload = saved(_payloads(rows, wanted), "payload")
-    best = pairs.select(F.col("a").alias("one"), "a", "b", "n").union(pairs.select(F.col("b").alias("one"), "a", "b", "n"))
-    best = best.groupBy("one").agg(F.max_by(F.struct("a", "b"), F.struct("n", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    best = saved(best, "best")
-    first = saved(_verified(best, payload), "links")
-    roots = saved(components(first), "roots")
-    side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    rest = pairs.join(best, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
-    rest = rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    more = rest.union(_across(groups, roots, payload, sizes)).distinct().join(best, ["a", "b"], "left_anti")
-    second = saved(_verified(saved(more, "rest"), payload), "links")
-    return table, first.union(second)
+    pairs = met.where("kind = 0").select("a", "b").distinct()
+    groups = saved(met.where("kind = 1").select(F.col("a").alias("piece"), F.col("b").alias("cls")).distinct(), "groups")
+    seen = met.where("kind = 0").select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    sketches = summary.where("kind = 2").select(F.col("a").alias("cls"), "n", "sketch").join(seen, "cls", "left_semi").dropDuplicates(["cls"])
+    sketches = saved(sketches, "sketches")
+    tested = saved(_near(pairs, sketches), "near")
+    payload = saved(_payloads(rows, tested.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), table), "payload")
+    links = saved(_verified(tested, payload), "links")
+    roots = saved(components(links), "roots")
+    every = False
+    while True:
+        # Meetings in larger pieces, across components only; what has been tested is left out, and the last round tests all.
+        more = saved(_across(groups, roots, sketches, every).join(tested, ["a", "b"], "left_anti"), "near")
+        if not more.isEmpty():
+            fresh = more.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(payload, "cls", "left_anti")
+            if not fresh.isEmpty():
+                payload = saved(payload.union(_payloads(rows, fresh, table)), "payload")
+            found = saved(_verified(more, payload), "links")
+            tested = saved(tested.union(more), "tested")
+            if not found.isEmpty():
+                before = links.count()
+                links = saved(links.union(found), "links")
+                roots = saved(components(links), "roots")
+                if not every and 20 * found.count() > before:
+                    continue
+        if every:
+            return table, roots
+        every = True
 
 
 def joined(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``docs``."""
-    table, links = classes(docs, text)
-    roots = saved(components(links), "roots")
+    table, roots = classes(docs, text)
     full = table.where("cls is not null")
     first = full.groupBy("cls").agg(F.min("doc_id").alias("first")).join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     first = saved(first, "classes")
