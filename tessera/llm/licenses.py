@@ -6,8 +6,8 @@ name the family or the unknown class. A prediction stands only if the paragraph
 family's templates; a notice that no family explains stays as ``unknown``.
 
 The regressions are fitted by gradient steps, each one aggregation over the training paragraphs: variants of the templates
-below, and at most ``MOST_BACKGROUND`` lines of the corpus, those with the smallest hashes among the lines that share few words
-with any template. Weights are arrays of ``DIMENSIONS`` numbers a class, a bound that does not grow with the corpus.
+below, and at most ``MOST_BACKGROUND`` lines, without any but the commonest words of a template, of about ``BACKGROUND_DOCS``
+documents that a hash of their ids picks. Weights are arrays of ``DIMENSIONS`` numbers a class, a bound that does not grow with the corpus.
 
 Defined results: a null text has no paragraphs; a document without notices has family null and 0 notices; of several
 families the one with the most notices is named, then the first by name; rows with equal doc_ids are judged together; an
@@ -68,7 +68,7 @@ TEMPLATES = {
 UNNAMED = ("Licensed under the terms of the license in the accompanying file", "This software is provided under its own license agreement", "See LICENSE for the license of this work")
 FAMILIES = tuple(TEMPLATES)
 DIMENSIONS, STEPS, RATE, PENALTY = 2048, 12, 1.5, 0.002
-MOST_BACKGROUND = 1500
+MOST_BACKGROUND, BACKGROUND_DOCS = 1500, 400
 #: Probabilities from which a line is a notice and a family is named, and the share of a template's words that a line must have.
 NOTICE, NAMED, TEMPLATE_SHARE = 0.75, 0.35, 0.6
 
@@ -106,7 +106,7 @@ def training(spark: SparkSession, lines: DataFrame) -> DataFrame:
     notices = spark.createDataFrame(made + halves, "line string, family string")
     known = sorted({w for texts in TEMPLATES.values() for t in texts for w in _words(t)} - {"the", "of", "and", "to", "in", "a", "is", "this", "that", "with", "or", "are", "for", "be", "by", "an", "it", "on", "at"})
     own = F.array_intersect(F.split(F.lower(F.regexp_replace("line", r"[^\p{L}\p{N}]+", " ")), " "), F.from_json(F.lit(json.dumps(known)), "array<string>"))
-    background = lines.where(F.size(own) == 0).select("line").distinct().orderBy(F.xxhash64("line"), "line").limit(MOST_BACKGROUND).select("line", F.lit(None).cast("string").alias("family"))
+    background = lines.where(F.size(own) == 0).select("line").orderBy(F.xxhash64("line"), "line").limit(MOST_BACKGROUND).select("line", F.lit(None).cast("string").alias("family"))
     return notices.unionByName(background).select(F.array_distinct(grams(F.col("line"))).alias("idx"), "family").where(F.size("idx") > 0)
 
 
@@ -175,7 +175,8 @@ def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
 def notices(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, place, line, notice, family, confidence): the lines that are licence notices."""
     lines = paragraphs(docs, text)
-    rows = training(docs.sparkSession, lines)
+    every = max(1, docs.count() // BACKGROUND_DOCS)
+    rows = training(docs.sparkSession, paragraphs(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0), text))
     rows = saved(rows, "licence-training")
     model = fitted(rows)
     curves = calibrated(rows, model)
