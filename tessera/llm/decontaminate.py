@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.rows import without
+
 #: Offsets that each mask looks at, from the shortest span to the longest.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 6), (0, 2, 3, 6, 7))
 STRETCH, AGREE_PERCENT = 15, 75
@@ -81,8 +83,7 @@ def judged(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFra
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not contaminated."""
-    bad = matches(docs, benchmark, text).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+    return without(docs, matches(docs, benchmark, text), {"doc_id": F.col("doc_id")})
 
 
 ORACLE = rf"""

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
+from tessera.llm.rows import without
 from tessera.llm.store import saved
 from tessera.llm.textkit import mix, shingles, slices, word_hashes, words
 
@@ -461,6 +462,19 @@ def joined(docs: DataFrame, text: str = "text") -> DataFrame:
     return found.union(table.where("cls is null").select("doc_id", "n", "doc_id", F.lit(0).cast("long")))
 
 
+def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with the smallest doc_id of their component, one for each id.
+
+    A row without an id cannot be told from others and is kept.
+    """
+    groups = joined(docs, text)
+    rest = without(docs, groups.where("doc_id <> component_id").select("doc_id"), {"doc_id": F.col("doc_id")})
+    again = saved(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return rest
+    return without(rest, again, {"doc_id": F.col("doc_id")}).union(rest.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*rest.columns))
+
+
 ORACLE = r"""
 with recursive d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
 s as (select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from d),

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.rows import without
 from tessera.llm.store import saved
 
 #: Limits of the rules; a rule is broken beyond its limit.
@@ -102,13 +103,20 @@ def judged(docs: DataFrame, host: str = "source", text: str = "text") -> DataFra
     follow. Hosts are broadcast only while they are few; beyond that the join shuffles, on rows that AQE
     can split where a host is hot.
     """
-    counts = saved(failures(text_counts(docs.select("doc_id", F.col(host).alias("host"), F.col(text).alias("text")))).drop("text"), "quality")
+    chosen = docs.select("doc_id", F.col(host).alias("host"), F.col(text).alias("text"), F.xxhash64(F.col(host), F.col(text)).alias("row_hash"))
+    counts = saved(failures(text_counts(chosen)).drop("text"), "quality")
     rates = saved(host_rates(counts).select(F.col("host").alias("rated"), "host_rate"), "hosts")
     side = F.broadcast(rates) if rates.count() <= MOST_BROADCAST_HOSTS else rates
     kept = ~F.col("base_failed") & ((F.col("n_soft") == 0) | ((F.col("n_soft") == 1) & (F.col("host_rate") < BAD_HOST)))
     return counts.join(side, counts["host"].eqNullSafe(side["rated"]), "left").drop("rated").withColumn("kept", kept)
 
 
+def kept(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the rules keep."""
+    gone = judged(docs, host, text).where(~F.col("kept"))
+    return without(docs, gone, {"doc_id": F.col("doc_id"), "row_hash": F.xxhash64(F.col(host), F.col(text))})
+
+
 ORACLE = r"""
 with w as (select row_number() over () as r, doc_id, source as host, coalesce(text, '') as text,
     list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w,
