@@ -157,10 +157,12 @@ class Model:
         return np.log10((count + 0.5) / self.z)
 
 
-def contexts(value: np.ndarray, f: np.ndarray, g: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """(4, tokens): rows of the weight table for the word before, the one before that, and the classes of the last ones."""
+def contexts(value: np.ndarray, f: np.ndarray, g: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """(4, tokens): rows of the weight table for the word before, the one before that, and the classes of the last ones.
+
+    inside: each token's place in its text. Words further back than the arrays begin must be of another text or not matter.
+    """
     n = len(value)
-    inside = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     back = lambda x, k, none: np.where(inside >= k, np.r_[np.full(min(k, n), none, x.dtype), x[: max(n - k, 0)]], none)
     w1, w2 = back(value, 1, START), back(value, 2, START)
     cls = (f * N_G + g).astype(np.uint64)
@@ -175,6 +177,19 @@ def contexts(value: np.ndarray, f: np.ndarray, g: np.ndarray, sizes: np.ndarray)
     return np.stack([(mix(k) & np.uint64(DIMENSIONS - 1)).astype(np.int32) for k in keys])
 
 
+def blocks(value: np.ndarray, f_all: np.ndarray, g_all: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> Iterator[tuple]:
+    """(first token, owners, rows, f, g) of runs of ``STEP_TOKENS`` tokens of a chunk, so that memory does not follow the chunk."""
+    starts = np.cumsum(sizes) - sizes
+    for lo in range(0, len(tokens), STEP_TOKENS):
+        hi, first = min(lo + STEP_TOKENS, len(tokens)), max(lo - 3, 0)
+        part, place = tokens[first:hi], np.arange(first, hi)
+        owner = np.searchsorted(starts, place, "right") - 1
+        f, g = f_all[part], g_all[part]
+        rows = contexts(value[part], f, g, place - starts[owner])
+        cut = lo - first
+        yield lo, owner[cut:], rows[:, cut:], f[cut:], g[cut:]
+
+
 def _softmaxes(model: Model, rows: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(P(f | h), P(g | f, h)) for each token."""
     s = model.weights[rows[0]]
@@ -191,13 +206,11 @@ def train(model: Model, chunks: Iterator[tuple], seen: list[int]) -> np.ndarray:
     own = Model(model.mass, model.size, 1, model.weights.copy())
     squares = np.full_like(own.weights, 1e-6)
     for value, count, tokens, sizes, out in chunks:
-        f_all, g_all = classes_of(value, count)
-        keep = np.repeat(~out, sizes)
-        f, g = f_all[tokens], g_all[tokens]
-        rows = contexts(value[tokens], f, g, sizes)[:, keep]
-        f, g = f[keep], g[keep]
-        for lo in range(0, len(f), STEP_TOKENS):
-            r, ff, gg = rows[:, lo : lo + STEP_TOKENS], f[lo : lo + STEP_TOKENS], g[lo : lo + STEP_TOKENS]
+        for _, owner, r, ff, gg in blocks(value, *classes_of(value, count), tokens, sizes):
+            keep = ~out[owner]
+            if not keep.any():
+                continue
+            r, ff, gg = r[:, keep], ff[keep], gg[keep]
             n, at = len(ff), np.arange(len(ff))
             pf, pg = _softmaxes(own, r, ff)
             pf[at, ff] -= 1
@@ -217,15 +230,12 @@ def log10_scores(model: Model, value: np.ndarray, count: np.ndarray, tokens: np.
     base = model.known_log10(count)
     with np.errstate(divide="ignore"):
         inside = np.where(count > 0, np.log10((count + 0.5) / np.maximum(model.smooth[f_all, g_all], 0.5)), 0.0)
-    f, g = f_all[tokens], g_all[tokens]
-    rows = contexts(value[tokens], f, g, sizes)
     score = np.empty(len(tokens))
-    for lo in range(0, len(tokens), STEP_TOKENS):
-        part = slice(lo, lo + STEP_TOKENS)
-        pf, pg = _softmaxes(model, rows[:, part], f[part])
-        at = np.arange(len(pf))
-        p = np.log10(np.maximum(pf[at, f[part]].astype(np.float64) * pg[at, g[part]], 1e-300)) + np.log10(max(1 - model.unknown, 1e-300))
-        score[part] = np.where(f[part] > 0, p + inside[tokens[part]], np.log10(model.unknown))
+    for lo, _, rows, f, g in blocks(value, f_all, g_all, tokens, sizes):
+        pf, pg = _softmaxes(model, rows, f)
+        at, part = np.arange(len(f)), slice(lo, lo + len(f))
+        p = np.log10(np.maximum(pf[at, f].astype(np.float64) * pg[at, g], 1e-300)) + np.log10(max(1 - model.unknown, 1e-300))
+        score[part] = np.where(f > 0, p + inside[tokens[part]], np.log10(model.unknown))
     starts = np.cumsum(sizes) - sizes
     total = lambda x: np.add.reduceat(x, starts)
     return total(score), total(base[tokens]), total((count[tokens] > 0).astype(np.int64))
