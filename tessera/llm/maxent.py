@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 from tessera.llm.store import filesystem, new_path, put, saved
 from tessera.llm.textkit import mix, slices, word_hashes, words
 
-#: Rows of the weight table, classes of each kind, tokens a step, share of the step, texts a chunk in bytes, hash ranges at least.
+#: Rows of the weight table, classes of each kind, tokens a step, its rate, largest weight, texts a chunk in bytes, hash ranges at least.
 DIMENSIONS, N_F, N_G = 1 << 13, 32, 16
-STEP_TOKENS, RATE = 1 << 16, 0.1
+STEP_TOKENS, RATE, MOST_WEIGHT = 1 << 16, 0.1, 8.0
 CHUNK_BYTES, RANGES, RANGE_WORDS, WEIGHT_PARTS = 16 << 20, 64, 4_000_000, 32
 END, START = np.uint64(0x9AE16A3B2F90404F) & ~np.uint64(15), np.uint64(0xC3A5C85C97CB3127)
 _MASK = np.uint64(15)
@@ -190,15 +190,15 @@ def blocks(value: np.ndarray, f_all: np.ndarray, g_all: np.ndarray, tokens: np.n
         yield lo, owner[cut:], rows[:, cut:], f[cut:], g[cut:]
 
 
-def _softmaxes(model: Model, rows: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(P(f | h), P(g | f, h)) for each token."""
-    s = model.weights[rows[0]]
+def _exponentials(model: Model, rows: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of the scores of all f given h and of all g given h and f. Weights are at most ``MOST_WEIGHT``, so none overflows."""
+    s = np.take(model.weights, rows[0], axis=0, mode="clip")
     for r in rows[1:]:
-        s += model.weights[r]
-    a, b = s[:, :N_F] + model.bias_f, s[:, N_F:] + model.bias_g[f]
-    a = np.exp(a - a.max(axis=1, keepdims=True))
-    b = np.exp(b - b.max(axis=1, keepdims=True))
-    return a / a.sum(axis=1, keepdims=True), b / b.sum(axis=1, keepdims=True)
+        s += np.take(model.weights, r, axis=0, mode="clip")
+    s[:, :N_F] += model.bias_f
+    s[:, N_F:] += np.take(model.bias_g, f, axis=0, mode="clip")
+    np.exp(s, out=s)
+    return s[:, :N_F], s[:, N_F:]
 
 
 def train(model: Model, chunks: Iterator[tuple], seen: list[int]) -> np.ndarray:
@@ -212,14 +212,18 @@ def train(model: Model, chunks: Iterator[tuple], seen: list[int]) -> np.ndarray:
                 continue
             r, ff, gg = r[:, keep], ff[keep], gg[keep]
             n, at = len(ff), np.arange(len(ff))
-            pf, pg = _softmaxes(own, r, ff)
-            pf[at, ff] -= 1
-            pg[at, gg] -= 1
-            error = np.ascontiguousarray(np.concatenate([pf, pg], axis=1).T)
-            flat = r.ravel()
-            gradient = np.stack([np.bincount(flat, weights=np.tile(e, len(r)), minlength=DIMENSIONS) for e in error], axis=1).astype(np.float32) / n
+            ef, eg = _exponentials(own, r, ff)
+            error = np.empty((N_F + N_G, n))
+            np.divide(ef.T, ef.sum(axis=1), out=error[:N_F])
+            np.divide(eg.T, eg.sum(axis=1), out=error[N_F:])
+            error[ff, at] -= 1
+            error[N_F + gg, at] -= 1
+            flat = r.ravel().astype(np.intp)
+            gradient = np.stack([np.bincount(flat, weights=np.tile(e, len(r)), minlength=DIMENSIONS) for e in error], axis=1).astype(np.float32)
+            gradient /= n
             squares += gradient**2
             own.weights -= RATE * gradient / np.sqrt(squares)
+            np.clip(own.weights, -MOST_WEIGHT, MOST_WEIGHT, out=own.weights)
             seen[0] += n
     return own.weights
 
@@ -232,9 +236,10 @@ def log10_scores(model: Model, value: np.ndarray, count: np.ndarray, tokens: np.
         inside = np.where(count > 0, np.log10((count + 0.5) / np.maximum(model.smooth[f_all, g_all], 0.5)), 0.0)
     score = np.empty(len(tokens))
     for lo, _, rows, f, g in blocks(value, f_all, g_all, tokens, sizes):
-        pf, pg = _softmaxes(model, rows, f)
+        ef, eg = _exponentials(model, rows, f)
         at, part = np.arange(len(f)), slice(lo, lo + len(f))
-        p = np.log10(np.maximum(pf[at, f].astype(np.float64) * pg[at, g], 1e-300)) + np.log10(max(1 - model.unknown, 1e-300))
+        pf, pg = (e[at, k].astype(np.float64) / np.maximum(e.sum(axis=1), 1e-30) for e, k in ((ef, f), (eg, g)))
+        p = np.log10(np.maximum(pf * pg, 1e-300)) + np.log10(max(1 - model.unknown, 1e-300))
         score[part] = np.where(f > 0, p + inside[tokens[part]], np.log10(model.unknown))
     starts = np.cumsum(sizes) - sizes
     total = lambda x: np.add.reduceat(x, starts)
