@@ -12,8 +12,7 @@ symmetric difference has shingles, and sets of similarity 0.75 or more differ in
 * **Verification.** In each piece, classes are first compared with their neighbours in the order of classes; the pairs
   that neither sizes nor sketches rule out are verified on the sets, and the links found make components. Pieces
   of three classes or more whose members are still of different components are then compared in blocks, sketch
-  against sketch, across components only; each class proposes the nearest of every other component while
-  that joins many, and a last round verifies all that is left. So no link between different components is lost, though neither copies
+  against sketch, across components only; each class proposes its nearest while that joins many, and a last round verifies all that is left. So no link between different components is lost, though neither copies
   nor the members of a piece are expanded into pairs.
 
 Equal sets are one class (a 64-bit fingerprint), whose pieces each task emits once. No cap on partners, candidates
@@ -48,7 +47,8 @@ COMMON_SHARE = 1 / 1000
 STRETCH = 2_000_000
 #: Pieces to a bucket, about; a task of the piece join holds one bucket at a time.
 BUCKET_PIECES = 1_500_000
-BLOCK = 1024
+#: Members of pieces that a task compares at a time, about, and those of one piece from which on it is cut into blocks.
+CALL_MEMBERS, BLOCK = 100_000, 1 << 14
 #: Document ids (8 bytes each) that are broadcast at most.
 MOST_BROADCAST = 500_000
 
@@ -338,18 +338,20 @@ def _apart(sketches: list[bytes], sizes: np.ndarray, i: np.ndarray, j: np.ndarra
 
 
 def _survivors(every: bool):
-    """A function of the pieces in a bucket (or of two blocks of a large one) that gives pairs of different components which
-    neither sizes nor sketches rule out: all of them, or for each class the nearest of every other component."""
-
-    def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        piece, cls, root, n, side = (np.asarray(table.column(c)) for c in ("piece", "cls", "root", "n", "side"))
+    """A function of the pieces in a call (or of two blocks of a large one) and of their classes' sketches that gives pairs of
+    different components which neither sizes nor sketches rule out: all of them, or for each class its nearest."""
+
+    def compare(key: tuple[pa.Scalar, ...], members: pa.Table, kinds: pa.Table) -> pa.Table:
+        value, size, of = (np.asarray(kinds.column(c)) for c in ("cls", "n", "root"))
+        by_value = np.argsort(value, kind="stable")
+        value, size, of = value[by_value], size[by_value], of[by_value]
+        raw = kinds.column("sketch")
+        sketches = [raw[int(x)].as_py() for x in by_value]
+        piece, cls, side = (np.asarray(members.column(c)) for c in ("piece", "cls", "side"))
+        known = np.isin(cls, value)
+        piece, side, place = piece[known], side[known], np.searchsorted(value, cls[known])
         order = np.argsort(piece, kind="stable")
         cuts = np.r_[0, np.flatnonzero(np.diff(piece[order])) + 1, len(order)].tolist()
-        value, place = np.unique(cls, return_inverse=True)
-        sample = np.zeros(len(value), np.int64)
-        sample[place] = np.arange(len(cls))
-        raw = table.column("sketch")
-        sketches, size, of = [raw[int(x)].as_py() for x in sample], n[sample], root[sample]
         seen, held, count = [], [], 0
 
         def tested() -> None:
@@ -364,25 +366,33 @@ def _survivors(every: bool):
 
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             at = order[lo:hi]
-            for row in range(len(at) - 1):
-                i, j = place[at[row]], place[at[row + 1 :]]
+            inside, half = place[at], side[at]
+            roots, number = np.unique(of[inside], return_counts=True)
+            if len(roots) < 2:
+                continue
+            # Members of the piece's largest component meet only the others, so a group of copies costs its outsiders alone.
+            main = of[inside] == roots[np.argmax(number)]
+            inside, half = np.r_[inside[main], inside[~main]], np.r_[half[main], half[~main]]
+            base = int(main.sum())
+            for row in range(base, len(inside)):
+                i, j, other = inside[row], np.r_[inside[:base], inside[row + 1 :]], np.r_[half[:base], half[row + 1 :]]
                 ok = (of[j] != of[i]) & (100 * np.minimum(size[i], size[j]) >= PERCENT * np.maximum(size[i], size[j]))
                 if key[1].as_py() != key[2].as_py():
-                    ok &= side[at[row + 1 :]] != side[at[row]]
+                    ok &= other != half[row]
                 if ok.any():
                     j = j[ok]
                     held.append(np.minimum(i, j) * len(value) + np.maximum(i, j))
                     count += len(j)
-            if count > 500_000:
-                tested()
+                    if count > 1_000_000:
+                        tested()
         if held:
             tested()
-        i, j, apart = np.concatenate(seen, axis=1) if seen else np.zeros((3, 0), np.int64)
+        i, j, apart = np.unique(np.concatenate(seen, axis=1), axis=1) if seen else np.zeros((3, 0), np.int64)
         if not every and len(i):
             i, j, apart = np.r_[i, j], np.r_[j, i], np.r_[apart, apart]
-            best = np.lexsort((apart, of[j], i))
+            best = np.lexsort((apart, i))
             i, j = i[best], j[best]
-            first = np.r_[True, (i[1:] != i[:-1]) | (of[j][1:] != of[j][:-1])]
+            first = np.r_[True, i[1:] != i[:-1]]
             i, j = i[first], j[first]
         a, b = value[i], value[j]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
@@ -392,18 +402,20 @@ def _survivors(every: bool):
 
 def _across(groups: DataFrame, roots: DataFrame, sketches: DataFrame, every: bool) -> DataFrame:
     """Pairs (a, b) that meet in a piece of three or more classes, are in different components and may link."""
-    known = groups.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    known = saved(known, "members")
-    mixed = known.groupBy("piece").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("piece", "members")
+    rooted = sketches.select("cls").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    rooted = saved(rooted, "rooted")
+    mixed = groups.join(rooted, "cls").groupBy("piece").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("piece", "members")
     mixed = saved(mixed, "mixed")
-    calls = max(64, (mixed.agg(F.sum("members")).first()[0] or 0) // 20_000)
-    open_ = known.join(mixed, "piece").join(sketches, "cls")
+    calls = max(1, (mixed.agg(F.sum("members")).first()[0] or 0) // CALL_MEMBERS)
     blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    spread = open_.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    call = F.when(F.col("blocks") > 1, F.col("piece")).otherwise(F.pmod("piece", F.lit(calls)))
-    spread = spread.select(call.alias("call"), "piece", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.col("own").alias("side"), "cls", "root", "n", "sketch")
-    return spread.groupBy("call", "lo", "hi").applyInArrow(_survivors(every), "a long, b long").distinct()
+    spread = groups.join(mixed, "piece").withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    call = F.when(F.col("blocks") > 1, F.col("piece")).otherwise(F.pmod(F.xxhash64("piece"), F.lit(calls)))
+    members = saved(spread.select(call.alias("call"), F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "piece", F.col("own").alias("side"), "cls"), "members")
+    kinds = members.select("call", "lo", "hi", "cls").distinct().join(sketches, "cls").join(rooted, "cls")
+    kinds = kinds.select(F.col("call").alias("call2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("cls").alias("cls2"), "n", "root", "sketch").toDF("call", "lo", "hi", "cls", "n", "root", "sketch")
+    keys = ("call", "lo", "hi")
+    return members.toDF(*members.columns).groupBy(*keys).cogroup(kinds.groupBy(*keys)).applyInArrow(_survivors(every), "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
