@@ -73,17 +73,25 @@ MOST_BACKGROUND, BACKGROUND_DOCS = 1500, 400
 NOTICE, NAMED, TEMPLATE_SHARE = 0.75, 0.35, 0.6
 
 
-def grams(line: Column) -> Column:
-    """Hashed one- and two-word grams of a line, each once."""
+def word_hashes(line: Column) -> Column:
+    """Hashes of the words of a line, in order."""
     clean = F.lower(F.regexp_replace(line, r"[^\p{L}\p{N}]+", " "))
-    w = F.transform(F.filter(F.split(clean, " "), lambda x: x != ""), lambda x: F.xxhash64(x))
-    return F.transform(array_of(w), lambda h: F.pmod(h, F.lit(DIMENSIONS)).cast("int"))
+    return F.transform(F.filter(F.split(clean, " "), lambda x: x != ""), lambda x: F.xxhash64(x))
 
 
-def array_of(words: Column) -> Column:
-    """Words and pairs of neighbours of an array of word hashes."""
-    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.xxhash64(a, b))
-    return F.concat(words, F.slice(pairs, 1, F.greatest(F.size(words) - 1, F.lit(0))))
+def pair_hashes(words: Column) -> Column:
+    """Hashes of neighbouring words."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.xxhash64(a, b))
+
+
+def _bucket(h: Column) -> Column:
+    return F.pmod(h, F.lit(DIMENSIONS)).cast("int")
+
+
+def grams(words: Column) -> Column:
+    """Buckets of the one- and two-word grams of a line."""
+    return F.transform(F.concat(words, pair_hashes(words)), _bucket)
 
 
 def _literal(numbers: list[float]) -> Column:
@@ -98,6 +106,22 @@ def _logit(idx: str, weights: list[float], bias: float) -> Column:
     return F.lit(bias) + total / F.sqrt(F.greatest(F.size(idx), F.lit(1)))
 
 
+def _notice_probability(line: Column, model: tuple[list[float], float], curve: tuple[float, float]) -> Column:
+    """``_probability`` of a line without a list of grams: what every line goes through.
+
+    The hashes are bound by a lambda over an array of one, so that a filter on the result computes them once.
+    """
+    w, (_, bias), (slope, offset) = _literal(model[0]), model, curve
+
+    def of(h: Column) -> Column:
+        total = F.aggregate(pair_hashes(h), F.aggregate(h, F.lit(0.0), add), add)
+        z = F.lit(bias) + total / F.sqrt(F.greatest(2 * F.size(h) - 1, F.lit(1)))
+        return 1 / (1 + F.exp(-(F.lit(slope) * z + F.lit(offset))))
+
+    add = lambda acc, x: acc + F.get(w, _bucket(x))
+    return F.get(F.transform(F.array(word_hashes(line)), of), F.lit(0))
+
+
 def training(spark: SparkSession, lines: DataFrame) -> DataFrame:
     """(idx, family) of the training paragraphs; family null for background, '' for unnamed notices."""
     frames = ("{0}", "{0}.", "Copyright 2021 the authors. {0}.", "{0} - see the file for details", "Note: {0}", "{0} All other terms apply.")
@@ -107,7 +131,7 @@ def training(spark: SparkSession, lines: DataFrame) -> DataFrame:
     known = sorted({w for texts in TEMPLATES.values() for t in texts for w in _words(t)} - {"the", "of", "and", "to", "in", "a", "is", "this", "that", "with", "or", "are", "for", "be", "by", "an", "it", "on", "at"})
     own = F.array_intersect(F.split(F.lower(F.regexp_replace("line", r"[^\p{L}\p{N}]+", " ")), " "), F.from_json(F.lit(json.dumps(known)), "array<string>"))
     background = lines.where(F.size(own) == 0).select("line").orderBy(F.xxhash64("line"), "line").limit(MOST_BACKGROUND).select("line", F.lit(None).cast("string").alias("family"))
-    return notices.unionByName(background).select(F.array_distinct(grams(F.col("line"))).alias("idx"), "family").where(F.size("idx") > 0)
+    return notices.unionByName(background).select(word_hashes(F.col("line")).alias("h"), "family").select(grams(F.col("h")).alias("idx"), "family").where(F.size("idx") > 0)
 
 
 def _words(text: str) -> list[str]:
@@ -180,7 +204,7 @@ def notices(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = saved(rows, "licence-training")
     model = fitted(rows)
     curves = calibrated(rows, model)
-    scored = lines.withColumn("idx", F.array_distinct(grams(F.col("line")))).withColumn("notice", _probability("idx", model[""], curves[""])).where(F.col("notice") >= NOTICE)
+    scored = lines.withColumn("notice", _notice_probability(F.col("line"), model[""], curves[""])).where(F.col("notice") >= NOTICE).withColumn("idx", grams(word_hashes(F.col("line"))))
     words = F.array_distinct(F.filter(F.split(F.lower(F.regexp_replace("line", r"[^\p{L}\p{N}]+", " ")), " "), lambda w: w != ""))
     likes = []
     for f in FAMILIES:
