@@ -41,7 +41,8 @@ def seeds(rows: DataFrame, words: str = "w") -> DataFrame:
     n = F.size(words)
     shifted = [F.slice(words, o + 1, F.greatest(n, F.lit(1))).alias(f"w{o}") for o in _OFFSETS]
     spots = F.arrays_zip(F.sequence(F.lit(0), n - 1).alias("at"), *shifted)
-    spread = rows.where(n >= len(MASKS[0])).select("*", F.inline(spots).alias("at", *(f"w{o}" for o in _OFFSETS)))
+    # A condition inside the generator and not a filter, which would hash the words a second time.
+    spread = rows.select("*", F.inline(F.when(n >= len(MASKS[0]), spots)).alias("at", *(f"w{o}" for o in _OFFSETS)))
     each = [F.when(F.col(f"w{mask[-1]}").isNotNull(), F.xxhash64(F.lit(k), *(F.col(f"w{o}") for o in mask))) for k, mask in enumerate(MASKS)]
     kept = [c for c in rows.columns] + ["at"]
     return spread.select(*kept, F.explode(F.array(*each)).alias("seed")).where("seed is not null")
