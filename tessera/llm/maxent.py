@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.store import filesystem, new_path, put, saved
+from tessera.llm.store import bounded_batches, filesystem, new_path, put, saved
 from tessera.llm.textkit import mix, slices, word_hashes, words
 
 #: Rows of the weight table, classes of each kind, tokens a step, its rate, largest weight, texts a chunk in bytes, hash ranges at least.
@@ -267,6 +267,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 def learned(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str, Model]:
     """(chunk rows, folder of the chunks' words, model) of ``docs``."""
     spark = docs.sparkSession
+    bounded_batches(spark, CHUNK_BYTES)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     ranges = max(RANGES, int(size // 40) // RANGE_WORDS)

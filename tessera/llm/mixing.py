@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.store import saved
+from tessera.llm.store import bounded_batches, saved
 from tessera.llm.textkit import slices, word_hashes, words
 
 #: (quality, toxic) of each domain, and the share of the tokens that each should have.
@@ -136,6 +136,7 @@ def learned(docs: DataFrame, labels: DataFrame) -> Classifier:
 
 def memberships(docs: DataFrame, w: Classifier) -> DataFrame:
     """(doc_id, tokens, p_<domain>...) of each row."""
+    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(w)
     names = [f"p_{d}" for d in DOMAINS]
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.components import components
 from tessera.llm.rows import without
-from tessera.llm.store import saved
+from tessera.llm.store import bounded_batches, saved
 from tessera.llm.textkit import mix, shingles, slices, word_hashes, words
 
 WIDTH = 5
@@ -421,6 +421,7 @@ def _across(groups: DataFrame, roots: DataFrame, sketches: DataFrame, every: boo
 def classes(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(doc_id, cls, n) of each row of ``docs``, and (node, root) of the classes that links join to others."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     summary = saved(rows.mapInArrow(_summaries, "kind int, a long, b long, n long, sketch binary"), "summary")
     table = summary.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("cls"), "n")

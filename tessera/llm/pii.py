@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.store import bounded_batches
 from tessera.llm.textkit import slices
 
 BASE = ("email", "ip", "card", "phone")
@@ -267,6 +268,7 @@ _ANY = re.compile(r"[0-9@=:{\[(]")
 
 def found(docs: DataFrame, text: str = "text", redacted: bool = False) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (and the redacted text if asked for)."""
+    bounded_batches(docs.sparkSession)
     trees, limits = model()
     nothing = hashlib.sha256(b"").hexdigest()
 

@@ -26,6 +26,11 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession, most_bytes: int = 8 << 20) -> None:
+    """Let Arrow batches hold about ``most_bytes``, whatever their rows: texts of ten thousand rows can be very long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most_bytes))
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that no other call gets."""
     return f"{shared_dir(spark)}/tessera/{label}-{uuid.uuid4().hex}"

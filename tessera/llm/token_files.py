@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.store import filesystem, new_path, put
+from tessera.llm.store import bounded_batches, filesystem, new_path, put
 from tessera.llm.textkit import slices
 
 END_ID = 1
@@ -140,6 +140,7 @@ class TokenFiles:
 def write(docs: DataFrame, folder: str | None = None, tokenizer: str | None = None, end_id: int = END_ID, id_bytes: int = 2, doc_id: str = "doc_id", text: str = "text") -> TokenFiles:
     """Encode every text and write the files, one shard per partition of a range split by doc_id."""
     spark, path = docs.sparkSession, tokenizer or vocabulary()
+    bounded_batches(spark)
     folder = folder or new_path(spark, "tokens")
     kind = np.dtype(f"<u{id_bytes}")
 

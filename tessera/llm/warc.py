@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.store import filesystem, new_path, put, saved
+from tessera.llm.store import bounded_batches, filesystem, new_path, put, saved
 
 #: Payloads from this size on may be revisits.
 SMALLEST = 100
@@ -52,6 +52,7 @@ def first_pages(pages: DataFrame) -> DataFrame:
 def write(pages: DataFrame, folder: str | None = None, page_id: str = "page_id", url: str = "url", html: str = "html") -> tuple[str, list[str]]:
     """Write one archive a partition; (folder, names). The join of digests is one that AQE splits at hot digests."""
     folder = folder or new_path(pages.sparkSession, "warc")
+    bounded_batches(pages.sparkSession)
     payload = F.encode(F.coalesce(F.col(html), F.lit("")), "utf-8")
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"digest": F.sha2("payload", 256), "payload_bytes": F.length("payload").cast("long")})
