@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.lean import lean
 from tessera.llm.store import bounded_batches, filesystem, new_path, put, saved
 from tessera.llm.textkit import mix, slices, word_hashes, words
 
@@ -55,6 +56,7 @@ def _ids(distinct: pa.Array) -> np.ndarray:
 
 
 def _chunks(ranges: int):
+    @lean
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -284,6 +286,7 @@ def learned(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str, Model]
     texts = stored.where("bucket < 0").select("chunk", "x", "y", "ids")
     held, width = spark.sparkContext.broadcast(model), DIMENSIONS // WEIGHT_PARTS
 
+    @lean
     def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = [0]
         w = train(held.value, (_stored(folder, r)[:5] for r in _rows(batches)), seen)
@@ -309,6 +312,7 @@ def scored(docs: DataFrame, text: str = "text") -> DataFrame:
     texts, folder, model = learned(docs, text)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             value, count, tokens, sizes, out, ids = _stored(folder, row)

@@ -30,6 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.lean import lean
 from tessera.llm.store import bounded_batches, saved
 from tessera.llm.textkit import slices, word_hashes, words
 
@@ -140,6 +141,7 @@ def memberships(docs: DataFrame, w: Classifier) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(w)
     names = [f"p_{d}" for d in DOMAINS]
 
+    @lean
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
@@ -217,6 +219,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     rates = solved(saved(memberships(docs, w), "members"), targets)
     held = docs.sparkSession.sparkContext.broadcast(w)
 
+    @lean
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):

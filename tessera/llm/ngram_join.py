@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
+from tessera.llm.lean import lean, trim
 from tessera.llm.rows import without
 from tessera.llm.store import bounded_batches, saved
 from tessera.llm.textkit import mix, shingles, slices, word_hashes, words
@@ -123,6 +124,7 @@ def signatures(s: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+@lean
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of documents (kind 0: doc_id, class, size), of common shingles of a stretch (kind 1: shingle, documents) and of
     sketches (kind 2: class, size), one for each class and stretch."""
@@ -157,6 +159,7 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _emitter(common, buckets: int):
+    @lean
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, tokens, owners, count, seen = common.value, [], [], 0, set()
 
@@ -219,6 +222,7 @@ def _meetings(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         b.append(owner[rows])
         n.append(np.repeat(sizes, sizes)[rows])
         kind.append(np.ones(int(rows.sum()), np.int32))
+    trim()
     return pa.table({"kind": np.concatenate(kind), "a": np.concatenate(a), "b": np.concatenate(b), "n": np.concatenate(n).astype(np.int64)})
 
 
@@ -246,6 +250,7 @@ def _payloads(docs: DataFrame, classes: DataFrame, table: DataFrame) -> DataFram
         docs = docs.join(F.broadcast(saved(ids, "reps")), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
     maybe = _maybe(classes, "cls")
 
+    @lean
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = maybe.value, set()
         mask = len(table) * 64 - 1
@@ -266,6 +271,7 @@ def _payloads(docs: DataFrame, classes: DataFrame, table: DataFrame) -> DataFram
 def _verified(pairs: DataFrame, payload: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose sets link."""
 
+    @lean
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -295,6 +301,7 @@ def _folded(sketches: np.ndarray) -> np.ndarray:
 def _near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """The pairs (a, b) that neither sizes nor sketches rule out."""
 
+    @lean
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -395,6 +402,8 @@ def _survivors(every: bool):
             first = np.r_[True, i[1:] != i[:-1]]
             i, j = i[first], j[first]
         a, b = value[i], value[j]
+        del seen, sketches, raw
+        trim()
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return compare

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.lean import lean
 from tessera.llm.store import bounded_batches
 from tessera.llm.textkit import slices
 
@@ -272,6 +273,7 @@ def found(docs: DataFrame, text: str = "text", redacted: bool = False) -> DataFr
     trees, limits = model()
     nothing = hashlib.sha256(b"").hexdigest()
 
+    @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):

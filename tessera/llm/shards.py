@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.lean import lean
 from tessera.llm.store import saved
 
 #: Runs of groups whose sums the driver holds at most.
@@ -152,6 +153,7 @@ def sharded(docs: DataFrame, shards: int = 8, text: str = "text") -> DataFrame:
         start[part, s] = filled.get(s, 0)
         filled[s] = filled.get(s, 0) + before[part, s]
 
+    @lean
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, int], int] = {}
         for batch in batches:

@@ -27,6 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.lean import lean
 from tessera.llm.store import bounded_batches, filesystem, new_path, put
 from tessera.llm.textkit import slices
 
@@ -144,6 +145,7 @@ def write(docs: DataFrame, folder: str | None = None, tokenizer: str | None = No
     folder = folder or new_path(spark, "tokens")
     kind = np.dtype(f"<u{id_bytes}")
 
+    @lean
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -192,6 +194,7 @@ def read(spark: SparkSession, files: TokenFiles, docs_at_once: int = 4096) -> Da
     shards = [(n, d, i, base) for (n, d, i), base in zip(files.shards, files.bases(), strict=True) if d]
     folder, id_bytes = files.folder, files.id_bytes
 
+    @lean
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 

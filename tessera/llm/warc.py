@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.lean import lean
 from tessera.llm.store import bounded_batches, filesystem, new_path, put, saved
 
 #: Payloads from this size on may be revisits.
@@ -60,6 +61,7 @@ def write(pages: DataFrame, folder: str | None = None, page_id: str = "page_id",
     known = rows.join(repeated.withColumnRenamed("digest", "of"), F.col("digest") == F.col("of"), "left")
     known = known.withColumn("refers_to", F.when(F.col("page_id") != F.col("first_page"), F.col("first_page"))).select("page_id", "url", "payload", "digest", "refers_to")
 
+    @lean
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -134,6 +136,7 @@ def read(spark: SparkSession, folder: str, names: list[str], chunk_bytes: int =
         return spark.createDataFrame([], SCHEMA)
     arrow = to_arrow_schema(_parse_datatype_string(SCHEMA))
 
+    @lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name in batch.column("name").to_pylist():
