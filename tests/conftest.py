@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numbers
 import os
 import sys
 
@@ -48,7 +49,7 @@ def same(left, right) -> None:
     def text(v):
         if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and v != v):
             return "~"
-        return f"{v + 0.0:.6f}" if isinstance(v, float) else str(v)
+        return f"{float(v) + 0.0:.6f}" if isinstance(v, numbers.Number) and not isinstance(v, bool) else str(v)
 
     rows = [sorted(tuple(text(v) for v in r) for r in d[columns].itertuples(index=False)) for d in (left, right)]
     assert len(rows[0]) == len(rows[1])
