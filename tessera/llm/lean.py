@@ -10,9 +10,10 @@ from functools import wraps
 import pyarrow as pa
 
 
-def trim() -> None:
+def trim(collect: bool = True) -> None:
     """Return freed memory of Arrow's pool and of the C heap to the system."""
-    gc.collect()
+    if collect:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # another C library keeps its heap
         ctypes.CDLL("libc.so.6").malloc_trim(0)

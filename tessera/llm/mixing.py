@@ -29,8 +29,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
 from tessera.llm.lean import lean
+from tessera.llm.rows import fresh
 from tessera.llm.store import bounded_batches, saved
 from tessera.llm.textkit import slices, word_hashes, words
 
@@ -144,7 +146,7 @@ def memberships(docs: DataFrame, w: Classifier) -> DataFrame:
     @lean
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 4 << 20):
                 p, counts = held.value.posteriors(batch.column("text"))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), *(pa.array(p[:, k].astype(np.float64)) for k in range(len(names)))], names=["doc_id", "tokens", *names])
 
@@ -218,17 +220,15 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     w = learned(docs, labels)
     rates = solved(saved(memberships(docs, w), "members"), targets)
     held = docs.sparkSession.sparkContext.broadcast(w)
+    rate, copies, copy = (fresh(docs.columns, c) for c in ("_rate", "_copies", "_copy"))
 
     @lean
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 4 << 20):
                 p, _ = held.value.posteriors(batch.column("text"))
-                yield batch.append_column("_rate", pa.array(rates.of(p)))
+                yield batch.append_column(rate, pa.array(rates.of(p)))
 
-    schema = docs.schema.jsonValue()
-    from pyspark.sql.types import DoubleType, StructType
-
-    with_rate = docs.mapInArrow(score, StructType.fromJson(schema).add("_rate", DoubleType()))
-    taken = repeats(F.col("_rate"), F.col("doc_id"))
-    return with_rate.withColumn("_copies", taken).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    schema = StructType(list(docs.schema.fields)).add(rate, DoubleType())
+    out = docs.mapInArrow(score, schema).withColumn(copies, repeats(F.col(rate), F.col("doc_id"))).where(F.col(copies) > 0)
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -7,6 +7,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
+from tessera.llm.lean import trim
+
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -28,6 +30,7 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20):
     for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(sizes)], strict=True):
         if hi > lo:
             yield batch.slice(int(lo), int(hi - lo))
+            trim(collect=False)
 
 
 def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, pa.Array]:

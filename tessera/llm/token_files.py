@@ -79,16 +79,19 @@ def _encode_pieces(pieces: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]
     runs = [together[i : i + _TOGETHER] for i in range(0, len(together), _TOGETHER)]
     flat: list[np.ndarray] = []
     owner: list[np.ndarray] = []
-    for run, e in zip(runs, encoder.encode_batch_fast([" ".join([text[i] for i in run.tolist()]) for run in runs], add_special_tokens=False), strict=True):
-        found = np.array(e.ids, dtype=np.uint32)
-        stop = np.flatnonzero(ends[found])
-        if len(stop) != count[run].sum():
-            alone += run.tolist()
-            continue
-        cut = stop[np.cumsum(count[run]) - 1] + 1
-        size[run] = np.diff(np.r_[0, cut])
-        flat.append(found)
-        owner.append(run)
+    # A few runs at a time: an encoding keeps far more than its ids.
+    for lo in range(0, len(runs), 32):
+        some = runs[lo : lo + 32]
+        for run, e in zip(some, encoder.encode_batch_fast([" ".join([text[i] for i in run.tolist()]) for run in some], add_special_tokens=False), strict=True):
+            found = np.array(e.ids, dtype=np.uint32)
+            stop = np.flatnonzero(ends[found])
+            if len(stop) != count[run].sum():
+                alone += run.tolist()
+                continue
+            cut = stop[np.cumsum(count[run]) - 1] + 1
+            size[run] = np.diff(np.r_[0, cut])
+            flat.append(found)
+            owner.append(run)
     for i, e in zip(alone, encoder.encode_batch_fast([text[i] for i in alone], add_special_tokens=False), strict=True):
         flat.append(np.array(e.ids, dtype=np.uint32))
         size[i] = len(flat[-1])
@@ -115,7 +118,8 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     table, (first, size) = _encode_pieces(coded.dictionary, path)
     each = size[code]
     ends = np.cumsum(each)
-    gather = np.arange(int(ends[-1])) + np.repeat(first[code] - (ends - each), each)
+    gather = np.arange(int(ends[-1]), dtype=np.int32)
+    gather += np.repeat((first[code] - (ends - each)).astype(np.int32), each)
     at = np.r_[0, ends][np.asarray(lists.offsets, dtype=np.int64) - lists.offsets[0].as_py()]
     return table[gather], np.diff(at)
 
