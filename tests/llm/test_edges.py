@@ -1,0 +1,334 @@
+"""Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing names, for every operator."""
+
+from __future__ import annotations
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tests.llm import brute
+
+CLASHING = ("w", "h", "key", "part", "shard", "host", "n", "cls", "kind", "line", "idx", "seed", "at", "_w", "row_hash", "tokens", "rate", "kept", "_rate", "_copies", "bucket")
+SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()), *(T.StructField(c, T.StringType()) for c in CLASHING)])
+BENCHMARK = "item_id long, text string"
+
+
+def prose(seed: int, n: int) -> str:
+    r = random.Random(seed)
+    return " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 8))) for _ in range(n))
+
+
+def rows() -> list[tuple]:
+    base, long = prose(1, 80), prose(2, 60_000)
+    words = base.split()
+    near = " ".join([*words[:70], "changed", *words[71:]])
+    texts = [None, "", "   \n\t ", "one", "one two three four", base, base, near, base.upper(), long, long + " tail", prose(3, 70), prose(4, 70), "a b c " * 40, "x# *$ %& |<>\n" * 30, "same line here\nsame line here\nother\n\n", "mail me at jo.doe@mail.example.com or +1 (555) 010-9999, 10.0.0.1, 4111 1111 1111 1111", "Released under the MIT License.", "naïve Ünïcode ½ 🙂 テスト ﬁn", "a\x00b\x1cc d"]
+    out = [(k, t) for k, t in enumerate(texts)]
+    out += [(5, base), (5, base), (None, base), (None, None), (11, texts[11]), (90, "one"), (91, texts[4])]
+    return [(d, t, None if (d or 0) % 3 == 0 else "en", None if (d or 0) % 4 == 0 else f"src{(d or 0) % 2}", None, *(["z"] * len(CLASHING))) for d, t in out]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(rows(), SCHEMA).repartition(3).persist()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def pairs():
+    return [(r[0], r[1]) for r in rows()]
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(5, 1, 0), (7, 1, 0), (13, 0, 0), (14, 0, 1), (999, 1, 1), (3, None, 0), (5, 1, 0)], "doc_id long, quality int, toxic int")
+
+
+@pytest.fixture(scope="module")
+def benchmark(spark):
+    return spark.createDataFrame([(1, prose(3, 70)[20:260]), (2, None), (3, "one two"), (4, prose(77, 30)), (1, prose(3, 70)[20:260])], BENCHMARK)
+
+
+def order(values):
+    return sorted(values, key=lambda v: tuple((x is not None, x) for x in v))
+
+
+def test_token_files(spark, docs, empty, pairs):
+    from tokenizers import Tokenizer
+
+    from tessera.llm import token_files
+
+    tokenizer = Tokenizer.from_file(token_files.vocabulary())
+    found = sorted(token_files.encoded(docs).collect(), key=lambda r: r["start"])
+    ids = {t: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for _, t in pairs}
+    want = sorted(pairs, key=lambda p: (p[0] is not None, p[0] or 0, p[1] is not None, (p[1] or "").encode()))
+    assert [(r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in found] == [(d, len(ids[t]), zlib.crc32(np.array(ids[t], "<u4").tobytes())) for d, t in want]
+    assert [r["start"] for r in found] == np.cumsum([0, *(len(ids[t]) for _, t in want)])[:-1].tolist()
+    assert token_files.encoded(empty).count() == 0
+
+
+def test_token_files_of_16_and_32_bits_agree(docs):
+    from tessera.llm import token_files
+
+    one, two = (order(tuple(r) [:4] for r in token_files.encoded(docs, id_bytes=b).collect()) for b in (2, 4))
+    assert one == two
+
+
+def test_shards(docs, empty, pairs):
+    from tessera.llm import shards
+
+    found = shards.sharded(docs).collect()
+    assert order((r["doc_id"], r["size"], r["text_crc32"]) for r in found) == order((d, len((t or "").encode()) + 1, shards.text_crc(t)) for d, t in pairs)
+    groups = {}
+    for r in found:
+        groups.setdefault(r["text_crc32"], set()).add(r["shard"])
+    assert all(len(s) == 1 for s in groups.values())
+    for s in range(8):
+        assert sorted(r["slot"] for r in found if r["shard"] == s) == list(range(sum(r["shard"] == s for r in found)))
+    assert shards.sharded(empty).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_minimax_is_the_best_cut(seed):
+    from itertools import combinations
+
+    from tessera.llm import shards
+
+    r = random.Random(seed)
+    sizes = [r.choice([1, 2, 3, 50]) for _ in range(9)]
+    best = min(max(sum(sizes[a:b]) for a, b in zip((0, *cut), (*cut, 9), strict=True)) for cut in combinations(range(10), 3))
+    assert shards.smallest_capacity(sizes, 4) == best
+    blocks = [(sum(sizes[k : k + 3]), max(sizes[k : k + 3])) for k in (0, 3, 6)]
+    keyed = [[(f"{k:02}", sizes[k]) for k in range(b, b + 3)] for b in (0, 3, 6)]
+    capacity, keys = shards.Sums(blocks, lambda numbers: {n: keyed[n] for n in numbers}).solve(4)
+    assert capacity == best and len(keys) == 3
+
+
+def test_ngram_join(docs, empty, pairs):
+    from tessera.llm import ngram_join
+
+    want = brute.components(pairs)
+    found = ngram_join.joined(docs).collect()
+    assert order((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == order((d, *want[d, t]) for d, t in pairs)
+    assert ngram_join.joined(empty).count() == 0
+    kept = ngram_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    ids = [r["doc_id"] for r in kept.select("doc_id").collect() if r["doc_id"] is not None]
+    assert sorted(ids) == sorted({d for d, t in pairs if d is not None and want[d, t][1] == d})
+
+
+def test_ngram_join_of_random_near_copies(spark):
+    from tessera.llm import ngram_join
+
+    r, made = random.Random(9), []
+    for family in range(12):
+        base = prose(family, r.choice([4, 7, 12, 40, 130, 300])).split()
+        for _ in range(r.randint(1, 12)):
+            w = list(base)
+            for _ in range(r.randint(0, max(1, len(w) // 18))):
+                w[r.randrange(len(w))] = "edit%d" % r.randrange(9)
+            made.append((len(made), " ".join(w[: r.randint(max(1, len(w) - 8), len(w))])))
+    table = spark.createDataFrame(made, "doc_id long, text string")
+    want = brute.components(made)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.joined(table).collect()} == {d: want[d, t] for d, t in made}
+
+
+def test_quality(docs, empty, pairs):
+    from tessera.llm import quality
+
+    found = quality.judged(docs).collect()
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    assert order(tuple(r[c] for c in columns) for r in found) == order((d, *brute.quality_counts(t)) for d, t in pairs)
+    assert all(not r["kept"] for r in found if r["base_failed"])
+    assert all(r["kept"] for r in found if not r["base_failed"] and r["n_soft"] == 0)
+    assert quality.judged(empty).count() == 0
+    kept = quality.kept(docs)
+    assert kept.columns == docs.columns and kept.count() == sum(r["kept"] for r in found)
+
+
+def test_decontamination(docs, empty, benchmark, pairs):
+    from tessera.llm import decontaminate
+
+    found = {r["doc_id"]: r for r in decontaminate.judged(docs, benchmark).collect()}
+    assert set(found) == {d for d, _ in pairs}
+    assert {d for d, r in found.items() if r["contaminated"]} == {11}
+    assert found[11]["item_id"] == 1
+    left = decontaminate.clean(docs, benchmark)
+    assert left.columns == docs.columns and left.count() == sum(d != 11 for d, _ in pairs)
+    assert decontaminate.judged(empty, benchmark).count() == 0
+    assert decontaminate.judged(docs, benchmark.limit(0)).where("contaminated").count() == 0
+
+
+@pytest.mark.parametrize("every", [5, 6, 9])
+def test_changed_words_do_not_hide_a_passage(spark, every):
+    from tessera.llm import decontaminate
+
+    item = prose(42, 40)
+    leaked = [w if k % every else "changed" for k, w in enumerate(item.split(), 1)]
+    made = spark.createDataFrame([(1, " ".join([prose(5, 50), *leaked, prose(6, 50)])), (2, prose(7, 150))], "doc_id long, text string")
+    found = {r["doc_id"]: r["contaminated"] for r in decontaminate.judged(made, spark.createDataFrame([(1, item)], BENCHMARK)).collect()}
+    assert found == {1: True, 2: False}
+
+
+def test_mixing(spark, docs, empty, labels, pairs):
+    from tessera.llm import mixing
+
+    found = mixing.rated(docs, labels)
+    assert order((r["doc_id"], r["tokens"]) for r in found.collect()) == order((d, len(brute.words(t))) for d, t in pairs)
+    assert all(r["rate"] >= 0 and r["copies"] in (int(r["rate"]), int(r["rate"]) + 1) for r in found.collect())
+    taken = mixing.mixed(docs, labels)
+    assert taken.columns == docs.columns
+    assert taken.count() == found.agg(F.sum("copies")).first()[0]
+    assert mixing.rated(empty, labels).count() == 0 and mixing.mixed(empty, labels).count() == 0
+    assert {round(r["rate"], 6) for r in mixing.rated(docs, labels.limit(0), {"good": 1.0, "poor": 0.0, "toxic": 0.0, "poor_toxic": 0.0}).collect()} == {1.0}
+
+
+def test_rates_meet_targets():
+    from tessera.llm import mixing
+
+    r = np.random.default_rng(0)
+    p = np.eye(4)[r.choice(4, 5000, p=[0.7, 0.2, 0.05, 0.05])] * 0.94 + 0.015
+    tokens = r.integers(50, 500, 5000)
+    target = np.array([0.9, 0.08, 0.01, 0.01]) * tokens.sum()
+    rates = mixing.Rates(target, float(tokens.sum()))
+    for _ in range(mixing.STEPS):
+        rates.residuals.append(((rates.of(p) * tokens) @ p - rates.targets) / rates.total)
+    before, after = np.abs(tokens @ p - target).sum(), np.abs((rates.of(p) * tokens) @ p - target).sum()
+    assert after < 0.25 * before and (rates.of(p)[p.argmax(axis=1) == 0] >= 1).all()
+
+
+def test_pii(docs, empty, pairs):
+    import re
+
+    from tessera.llm import pii
+
+    found = pii.found(docs, redacted=True).collect()
+    assert len(found) == len(pairs) and pii.found(empty).count() == 0
+    by_text = {r["doc_id"]: r for r in found if r["doc_id"] == 16}
+    r = by_text[16]
+    assert (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) == (1, 1, 1, 1)
+    assert "example.com" not in r["redacted"] and "[email]" in r["redacted"]
+    for r in found:
+        base = [s for s in r["spans"].split(",") if s and s.split(":")[0] in pii.BASE]
+        assert all(re.fullmatch(r"\w+:\d+:\d+", s) for s in r["spans"].split(",") if s)
+        if r["n_email"] + r["n_ip"] + r["n_card"] + r["n_phone"] == len(base):
+            assert r["base_sha256"] == brute.sha(",".join(base).encode())
+
+
+def test_pii_trees_hold_out():
+    from tessera.llm import pii
+
+    trees, limits = pii.model()
+    made = pii.generated(800, 123)
+    score = trees.score(np.array([pii.features(t, k, a, b) for t, k, a, b, _ in made]))
+    truth, taken = np.array([m[4] for m in made]), np.array([s >= limits[m[1]] for s, m in zip(score, made, strict=True)])
+    assert truth[taken].mean() > 0.97 and taken[truth == 1].mean() > 0.9
+
+
+def test_pii_spans_like_plain_patterns():
+    import re
+
+    from tessera.llm import pii
+
+    r = random.Random(3)
+    for _ in range(3000):
+        t = "".join(r.choice("a1.+-@ 0(9") for _ in range(r.randint(0, 30)))
+        want = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+        want += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m.group().split("."))]
+        want += [("card", m.start(), m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 16 <= len(d := re.sub("[ -]", "", m.group())) <= 19 and pii.luhn(d)]
+        want += [("phone", m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= sum(c.isdigit() for c in m.group()) <= 15]
+        assert pii.base_spans(t) == want
+
+
+def test_licences(docs, empty):
+    from tessera.llm import licenses
+
+    found = {r["doc_id"]: r for r in licenses.scanned(docs).collect()}
+    assert found[17]["family"] == "mit" and found[17]["first_line"] == 0
+    assert [d for d, r in found.items() if r["n_notices"]] == [17]
+    assert licenses.scanned(empty).count() == 0
+
+
+@pytest.mark.parametrize("line,family", [("Licensed under the Apache License, Version 2.0 (the License)", "apache-2.0"), ("This program is licensed under the GNU General Public License, version 3.", "gpl"), ("Licensed under CC BY-NC 4.0.", "cc-by-nc"), ("(c) 2020 Somebody. All rights reserved.", "all-rights-reserved")])
+def test_licence_families(spark, line, family):
+    from tessera.llm import licenses
+
+    made = spark.createDataFrame([(1, f"{prose(1, 30)}\n{line}\n{prose(2, 30)}"), (2, prose(3, 60))], "doc_id long, text string")
+    assert {r["doc_id"]: r["family"] for r in licenses.scanned(made).collect()} == {1: family, 2: None}
+
+
+def test_warc(spark):
+    from tessera.llm import warc
+
+    big = "<p>" + prose(1, 400_000) + "</p>"
+    pages = [(5, "http://a/", "x" * 100), (2, None, "x" * 100), (3, "http://b/\r\nX: y", "short"), (4, "u", "short"), (6, "u", None), (7, "u", ""), (8, "u", big), (9, "v", big), (None, "w", "x" * 100), (2, "again", "x" * 100), (10, "é", "é" * 60)]
+    table = spark.createDataFrame([(*p, "z") for p in pages], "page_id long, url string, html string, payload string")
+    found = order(tuple(r) for r in warc.archived(table).collect())
+    first = {}
+    for p, _, h in pages:
+        b = (h or "").encode()
+        if len(b) >= 100 and p is not None:
+            first[b] = min(p, first.get(b, p))
+    want = []
+    for p, _, h in pages:
+        b = (h or "").encode()
+        to = first[b] if p is not None and first.get(b, p) != p else None
+        want.append((p, len(b), brute.sha(b), "response" if to is None else "revisit", to))
+    assert found == order(want)
+    assert warc.archived(table.limit(0)).count() == 0
+
+
+def test_warc_chunks(spark):
+    from tessera.llm import warc
+
+    payload = prose(1, 5000)
+    folder, names = warc.write(spark.createDataFrame([(1, "u", payload)], "page_id long, url string, html string"))
+    rows_ = warc.read(spark, folder, names, chunk_bytes=1000).orderBy("chunk_no").collect()
+    assert b"".join(bytes(r["data"]) for r in rows_).decode() == payload and len(rows_) == -(-len(payload) // 1000)
+    assert [r["digest_so_far"] for r in rows_][3] == brute.sha(payload[:4000].encode())
+    assert [r["last"] for r in rows_].count(True) == 1 and rows_[-1]["payload_digest"] == brute.sha(payload.encode())
+
+
+def test_language_model(docs, empty, pairs):
+    from tessera.llm import maxent
+
+    found = order(tuple(r)[:5] for r in maxent.scored(docs).collect())
+    want = brute.lm_base(pairs)
+    assert found == order(w[:5] for w in want)
+    base = {(r["doc_id"], r["n_tokens"]): r["base_score"] for r in maxent.scored(docs).collect()}
+    assert all(abs(base[d, n] - s) < 1e-6 * abs(s) + 1e-9 for d, _, n, _, _, s in want)
+    assert maxent.scored(empty).count() == 0
+
+
+def test_language_model_is_a_distribution_and_learns(spark):
+    from tessera.llm import maxent
+    from tests.conftest import SMALL
+
+    table = spark.read.parquet(f"{SMALL}/documents.parquet")
+    out = maxent.scored(table).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert out[0] > out[1]
+    _, _, model = maxent.learned(table)
+    total = np.exp(model.bias_f).sum(), (np.exp(model.bias_g) * np.exp(model.bias_f)[:, None]).sum()
+    assert np.allclose(total, 1, atol=1e-5)
+
+
+def test_pipeline(spark, tmp_path, docs, empty, labels, benchmark):
+    import corpus_pipeline
+
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")
+    for table in (docs, empty):
+        now = table
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            now = stage(spark, now, str(tmp_path))
+            if k < len(corpus_pipeline.STAGES) - 1:
+                assert now.columns == docs.columns, name
+        now.count()
