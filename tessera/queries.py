@@ -11,6 +11,7 @@ from tessera.functions import affine, geometry
 from tessera.operators import blocks, combine, fusion, graph, markers, metrics, overlap, pyramid, register, resample, resolve, selection
 from tessera.plans import geometry as plan
 from tessera.sources import fixtures as fx
+from tessera.sources import viewer
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -544,3 +545,72 @@ def group_views_1d(spark, sf_dir):
 def label_adjacency(spark, sf_dir):
     labels = fx.pixels(spark, sf_dir).where("view_id = 1").select("y", "x", (F.col("v").cast("long") % 4).alias("label"))
     return overlap.neighbour_labels(labels, ["y", "x"])
+
+
+# Frames, channels and viewers.
+@query("select t, w.oy + p.y as wy, w.ox + p.x as wx, max(v) as vmax, round(avg(v), 6) as vavg, count(*) as n from fx_timelapse p join fx_views w on p.view_id = w.view_id group by 1, 2, 3")
+def fuse_timelapse(spark, sf_dir):
+    placed = fusion.placed(fx.timelapse(spark, sf_dir), offsets(spark, sf_dir), ["y", "x"])
+    return fusion.fuse(placed, ["t", "wy", "wx"]).withColumn("vavg", F.round("vavg", 6))
+
+
+@query("select case when view_id % 2 = 0 then 'even' else 'odd' end as c, min(v) as start, max(v) as \"end\" from fx_pixels group by 1")
+def contrast_window(spark, sf_dir):
+    channels = fx.pixels(spark, sf_dir).withColumn("c", F.when(F.col("view_id") % 2 == 0, "even").otherwise("odd"))
+    return viewer.contrast_window(channels)
+
+
+@query("select view_id, cast(oy / 0.5 as double) as ty, cast(ox / 0.25 as double) as tx from fx_views")
+def viewer_transforms(spark, sf_dir):
+    moved = viewer.source_transforms(fx.transforms(spark, sf_dir), [0.5, 0.25])
+    return moved.select("view_id", F.get("affine", F.lit(2)).alias("ty"), F.get("affine", F.lit(5)).alias("tx"))
+
+
+@query("select view_id, 2 as ndim, oy as a02, ox as a12, cast(1 as bigint) as a22, cast(0 as bigint) as a03 from fx_views")
+def expand_affine_dims(spark, sf_dir):
+    """Affines of two dimensions as ones of three."""
+    wide = affine.with_axes(F.col("affine"), 2, 3)
+    return fx.transforms(spark, sf_dir).select("view_id", F.lit(2).alias("ndim"), F.get(wide, F.lit(7)).cast("long").alias("a02"), F.get(wide, F.lit(11)).cast("long").alias("a12"), F.get(wide, F.lit(0)).cast("long").alias("a22"), F.get(wide, F.lit(3)).cast("long").alias("a03"))
+
+
+@query("select view_id, cast(oy + 7.5 as double) as cy, cast(ox + 7.5 as double) as cx from fx_views")
+def view_centres(spark, sf_dir):
+    at = affine.apply(F.col("affine"), affine.literal((7.5, 7.5)), 2)
+    return fx.transforms(spark, sf_dir).select("view_id", F.get(at, F.lit(0)).alias("cy"), F.get(at, F.lit(1)).alias("cx"))
+
+
+@query("select view_id, k as corner, cast(oy + 15 * (k // 2) as double) as wy, cast(ox + 15 * (k % 2) as double) as wx from fx_views, (select unnest([0, 1, 2, 3]) as k) c")
+def view_corners(spark, sf_dir):
+    spots = F.array(*geometry.corners(F.col("shape"), F.col("spacing"), F.col("origin"), 2))
+    both = fx.levels(spark, sf_dir).join(fx.transforms(spark, sf_dir), "view_id").select("view_id", "affine", F.posexplode(spots).alias("corner", "p"))
+    world_ = affine.apply(F.col("affine"), F.col("p"), 2)
+    return both.select("view_id", "corner", F.get(world_, F.lit(0)).alias("wy"), F.get(world_, F.lit(1)).alias("wx"))
+
+
+@query("select view_id, y, x, v from fx_pixels where view_id < 8", name="scan_chunks")
+def scan_chunks(spark, sf_dir):
+    """A round trip of eight views through chunked images: zero pixels are not told from missing ones and are left out."""
+    from tessera.sources import store
+
+    return store.round_trip(fx.pixels(spark, sf_dir).where("view_id < 8"), EDGE)
+
+
+@query("with l as (select label, count(*) as n, avg(y) as cy, avg(x) as cx from (select cast(v as bigint) % 7 as label, y, x from fx_pixels where view_id = 2) q where label <> 0 group by label) select label, n, round(cy, 6) as cy, round(cx, 6) as cx from l where cy >= 4 and cy < 12 and cx >= 4 and cx < 12")
+def label_centroids(spark, sf_dir):
+    labels = fx.pixels(spark, sf_dir).where("view_id = 2").select((F.col("v").cast("long") % 7).alias("label"), "y", "x")
+    found = blocks.label_centroids(labels, ["y", "x"], [4, 4], [8, 8])
+    return found.select("label", "n", F.round("cy", 6).alias("cy"), F.round("cx", 6).alias("cx"))
+
+
+@query("select src as view_id, count(*) as links, round(avg(quality), 6) as quality from (select src, quality from fx_edges union all select dst, quality from fx_edges) group by 1")
+def view_links(spark, sf_dir):
+    ends = fx.edges(spark, sf_dir).select(F.explode(F.array("src", "dst")).alias("view_id"), "quality")
+    return ends.groupBy("view_id").agg(F.count("*").alias("links"), F.round(F.avg("quality"), 6).alias("quality"))
+
+
+@query()
+def fuse_holes_filled(spark, sf_dir):
+    """The fused maximum with holes of up to three pixels taking their nearest neighbour's value."""
+    fused = fusion.fuse(world(spark, sf_dir), ["wy", "wx"]).select("wy", "wx", "vmax")
+    grid = fx.views(spark, sf_dir).select(F.explode(F.sequence(F.col("oy"), F.col("oy") + 15)).alias("wy"), "ox").select("wy", F.explode(F.sequence(F.col("ox"), F.col("ox") + 15)).alias("wx")).distinct()
+    return blocks.fill_holes(fused, grid, ["wy", "wx"], "vmax", 3)
