@@ -52,7 +52,7 @@ def _tokenizer(path: str):
 #: Pieces that normalisation leaves as they are but for case, and without added tokens: their words can be counted beforehand.
 _PLAIN = "^[!-~\u00c0-\u00ff]+$"
 _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
-_TOGETHER = 256
+_TOGETHER, MOST_KNOWN = 256, 400_000
 
 
 @lru_cache(maxsize=2)
@@ -104,18 +104,43 @@ def _encode_pieces(pieces: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]
     return table, np.stack([first, size])
 
 
+class _Known:
+    """Pieces that this worker has encoded, for the batches after; started anew when there are ``MOST_KNOWN`` of them."""
+
+    def __init__(self) -> None:
+        self.pieces, self.table, self.first, self.size = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def places(self, pieces: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where each piece's ids start, how many they are)."""
+        at = np.asarray(pc.fill_null(pc.index_in(pieces, value_set=self.pieces), -1)).astype(np.int64)
+        if (at < 0).any():
+            if len(self.pieces) + (at < 0).sum() > MOST_KNOWN:
+                self.__init__()
+                at[:] = -1
+            new, missing = pieces.filter(pa.array(at < 0)), np.flatnonzero(at < 0)
+            at[missing] = len(self.pieces) + np.arange(len(missing))
+            table, (first, size) = _encode_pieces(new, path)
+            self.pieces = pa.concat_arrays([self.pieces, new])
+            self.first, self.size = np.r_[self.first, first + len(self.table)], np.r_[self.size, size]
+            self.table = np.concatenate([self.table, table])
+        return self.table, self.first[at], self.size[at]
+
+
+_KNOWN: dict[str, _Known] = {}
+
+
 def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts one after the other, number of ids of each text), without special tokens.
 
     The tokenizer drops white space and no word crosses it, so the ids of a text are those of its pieces between
-    ASCII white space, and each distinct piece of the batch is encoded once (tests compare with whole texts).
+    ASCII white space, and a worker encodes each distinct piece once in a while (tests compare with whole texts).
     """
     lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     coded = lists.flatten().dictionary_encode()
     code = np.asarray(coded.indices, dtype=np.int64)
     if not len(code):
         return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-    table, (first, size) = _encode_pieces(coded.dictionary, path)
+    table, first, size = _KNOWN.setdefault(path, _Known()).places(coded.dictionary, path)
     each = size[code]
     ends = np.cumsum(each)
     gather = np.arange(int(ends[-1]), dtype=np.int32)
