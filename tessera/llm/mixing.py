@@ -146,7 +146,7 @@ def memberships(docs: DataFrame, w: Classifier) -> DataFrame:
     @lean
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
+            for batch in slices(whole, "text", 2 << 20):
                 p, counts = held.value.posteriors(batch.column("text"))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), *(pa.array(p[:, k].astype(np.float64)) for k in range(len(names)))], names=["doc_id", "tokens", *names])
 
@@ -225,7 +225,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     @lean
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
+            for batch in slices(whole, "text", 2 << 20):
                 p, _ = held.value.posteriors(batch.column("text"))
                 yield batch.append_column(rate, pa.array(rates.of(p)))
 

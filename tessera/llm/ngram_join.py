@@ -45,7 +45,7 @@ PERCENT = 75
 LEAST_BAND = 6
 #: A shingle in more than this share of the documents of some stretch is common; it orders pieces, nothing else.
 COMMON_SHARE = 1 / 1000
-STRETCH = 2_000_000
+STRETCH = 1_000_000
 #: Pieces to a bucket, about; a task of the piece join holds one bucket at a time.
 BUCKET_PIECES = 1_500_000
 #: Members of pieces that a task compares at a time, about, and those of one piece from which on it is cut into blocks.

@@ -26,9 +26,13 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def bounded_batches(spark: SparkSession, most_bytes: int = 8 << 20) -> None:
-    """Let Arrow batches hold about ``most_bytes``, whatever their rows: texts of ten thousand rows can be very long."""
+def bounded_batches(spark: SparkSession, most_bytes: int = 4 << 20) -> None:
+    """Let Arrow batches hold about ``most_bytes``, whatever their rows, and Parquet readers decode 512 rows at a time.
+
+    Ten thousand rows of text, or 4096 in a reader's column, can be very long; both are held whole by the JVM.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most_bytes))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
 
 
 def new_path(spark: SparkSession, label: str) -> str:

@@ -22,7 +22,7 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20):
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20):
     """Parts of a batch whose texts hold about ``most_bytes`` at most (one row at least)."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
     group = (np.cumsum(sizes) - sizes) // most_bytes
