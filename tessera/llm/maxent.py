@@ -39,7 +39,7 @@ from tessera.llm.textkit import mix, slices, word_hashes, words
 #: Rows of the weight table, classes of each kind, tokens a step, its rate, largest weight, texts a chunk in bytes, hash ranges at least.
 DIMENSIONS, N_F, N_G = 1 << 13, 32, 16
 STEP_TOKENS, RATE, MOST_WEIGHT = 1 << 16, 0.1, 8.0
-CHUNK_BYTES, RANGES, RANGE_WORDS, WEIGHT_PARTS = 16 << 20, 64, 4_000_000, 32
+CHUNK_BYTES, RANGES, RANGE_WORDS, WEIGHT_PARTS = 8 << 20, 64, 4_000_000, 32
 END, START = np.uint64(0x9AE16A3B2F90404F) & ~np.uint64(15), np.uint64(0xC3A5C85C97CB3127)
 _MASK = np.uint64(15)
 
