@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions import kernels
+from tessera.functions import contracts, kernels
 
 
 def haloed(pixels: DataFrame, dims: list[str], block: int, halo: int) -> DataFrame:
@@ -89,6 +89,32 @@ def fuse_blocks(world: DataFrame, dims: list[str], method: str, block: int = 32,
     return spread.groupBy(*(f"b_{d}" for d in dims)).applyInPandas(fuse, schema)
 
 
+def fuse_with(world: DataFrame, dims: list[str], fusion_func, weights_func=None, block: int = 64, halo: int = 0, spacing: float = 1.0, **options) -> DataFrame:
+    """(<dim>..., fused) by a function that the user brings (see ``functions.contracts``), block by block with its halo.
+
+    world: (view_id, <dims>, v, w). The function gets the views of a block (NaN outside of them) and normalised weights.
+    """
+    use_weights = weights_func is not None and contracts.wants_weights(fusion_func)
+    halo = contracts.halo_of([fusion_func, weights_func if use_weights else None], options, halo)
+
+    def fuse(key, part: pd.DataFrame) -> pd.DataFrame:
+        core = np.array(key) * block
+        views = np.unique(part["view_id"].to_numpy())
+        image = _image(part, dims, core - halo, block + 2 * halo, views)
+        weight = np.nan_to_num(_image(part, dims, core - halo, block + 2 * halo, views, "w"))
+        total = weight.sum(axis=0)
+        offered = {"transformed_views": image, "blending_weights": weight / np.where(total == 0, 1.0, total), "params": views.tolist(), "output_spacing": spacing, "output_chunksize": block}
+        if use_weights:
+            offered["fusion_weights"] = contracts.call(weights_func, offered, options)
+        fused = contracts.call(fusion_func, {k: v for k, v in offered.items() if k in contracts.FUSION_ARGUMENTS}, options)
+        inner = tuple(slice(halo, halo + block) for _ in dims)
+        at = np.argwhere(~np.isnan(image).all(axis=0)[inner])
+        return pd.DataFrame({d: at[:, i] + core[i] for i, d in enumerate(dims)} | {"fused": np.nan_to_num(fused[inner][tuple(at.T)]).astype(float)})
+
+    schema = ", ".join([f"{d} long" for d in dims] + ["fused double"])
+    return haloed(world, dims, block, halo).groupBy(*(f"b_{d}" for d in dims)).applyInPandas(fuse, schema)
+
+
 def label_centroids(labels: DataFrame, dims: list[str], start: list[int], shape: list[int]) -> DataFrame:
     """(label, n, c<dim>...): centroids of labels that fall into a core, half open, so that each is counted by one block."""
     centres = labels.where("label <> 0").groupBy("label").agg(F.count("*").alias("n"), *(F.avg(d).alias(f"c{d}") for d in dims))

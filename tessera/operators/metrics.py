@@ -37,6 +37,18 @@ def spearman(pairs: DataFrame) -> DataFrame:
     return out.withColumn("rho", F.when(F.isnan("rho"), None).otherwise(F.col("rho")))
 
 
+def custom(pairs: DataFrame, functions: dict, keys: list[str]) -> DataFrame:
+    """(src, dst, metric, value) of functions ``f(fixed, moving) -> float`` over the values of each pair in order of keys."""
+    import pandas as pd
+
+    def measure(key, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(keys)
+        a, b = part["a"].to_numpy(dtype=float), part["b"].to_numpy(dtype=float)
+        return pd.DataFrame([{"src": key[0], "dst": key[1], "metric": name, "value": float(f(a, b))} for name, f in functions.items()])
+
+    return pairs.groupBy("src", "dst").applyInPandas(measure, "src long, dst long, metric string, value double")
+
+
 def summary(metrics: DataFrame, value: str, volume: str, keys: list[str] | None = None) -> DataFrame:
     """Mean weighted by overlap volume, without nulls."""
     known = metrics.where(F.col(value).isNotNull())

@@ -50,6 +50,13 @@ def rotated(levels: DataFrame, transforms: DataFrame, n: int, cell: float) -> Da
     return met.drop("lo", "hi", "r_lo", "r_hi").mapInPandas(measure, "src long, dst long, overlap double").where("overlap > 0")
 
 
+def mask_pairs(world: DataFrame, dims: list[str], value: str = "v") -> DataFrame:
+    """(src, dst) of views whose masks touch: a world pixel belongs to the lowest view that is set there, and pixels of different
+    views beside each other make a pair, once."""
+    labels = world.where(F.col(value) > 0).groupBy(*dims).agg((F.min("view_id") + 1).alias("label"))
+    return neighbour_labels(labels, dims).select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+
+
 def neighbour_labels(labels: DataFrame, dims: list[str], label: str = "label") -> DataFrame:
     """Distinct directed pairs (a, b) of different non-zero labels on neighbouring pixels, 0-based.
 

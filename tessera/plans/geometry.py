@@ -60,3 +60,11 @@ def fusion_plan(boxes: DataFrame, stack_: DataFrame, chunk: list[int], halo: flo
         high = s["origin"][d] + (F.least((F.col(f"c{d}") + 1) * chunk[d], F.lit(s["shape"][d])) - 1) * s["spacing"][d]
         plan = plan.where((F.get("lo", F.lit(d)) - halo <= high) & (F.get("hi", F.lit(d)) + halo >= low))
     return plan.select("view_id", *(f"c{d}" for d in range(n)))
+
+
+def combined(stacks: DataFrame, n: int) -> DataFrame:
+    """One (origin, spacing, shape) around stacks: least origin and spacing, and the pixels to the furthest end."""
+    at = lambda c, d: F.get(c, F.lit(d))
+    ends = stacks.agg(*(F.min(at("origin", d)).alias(f"o{d}") for d in range(n)), *(F.min(at("spacing", d)).alias(f"s{d}") for d in range(n)), *(F.max(at("origin", d) + (at("shape", d) - 1) * at("spacing", d)).alias(f"e{d}") for d in range(n)))
+    array = lambda p: F.array(*(F.col(f"{p}{d}") for d in range(n)))
+    return ends.select(array("o").alias("origin"), array("s").alias("spacing"), F.array(*(shape_of(F.col(f"e{d}") - F.col(f"o{d}"), F.col(f"s{d}")) for d in range(n))).alias("shape"))

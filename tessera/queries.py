@@ -614,3 +614,45 @@ def fuse_holes_filled(spark, sf_dir):
     fused = fusion.fuse(world(spark, sf_dir), ["wy", "wx"]).select("wy", "wx", "vmax")
     grid = fx.views(spark, sf_dir).select(F.explode(F.sequence(F.col("oy"), F.col("oy") + 15)).alias("wy"), "ox").select("wy", F.explode(F.sequence(F.col("ox"), F.col("ox") + 15)).alias("wx")).distinct()
     return blocks.fill_holes(fused, grid, ["wy", "wx"], "vmax", 3)
+
+
+@query(
+    f"""with l as (select wy, wx, min(view_id) as label from ({_WORLD}) q where v > 25 group by wy, wx), s as (select unnest([[0, 1], [1, 0]]) as d)
+    select distinct least(a.label, b.label) as src, greatest(a.label, b.label) as dst from l a, s, l b where b.wy = a.wy + s.d[1] and b.wx = a.wx + s.d[2] and a.label <> b.label"""
+)
+def mask_pairs(spark, sf_dir):
+    masks = world(spark, sf_dir).where("v > 25").select("view_id", "wy", "wx", "v")
+    return overlap.mask_pairs(masks, ["wy", "wx"])
+
+
+@query("select min(oy) * 1.0 as o_y, min(ox) * 1.0 as o_x, 0.5 as s_y, 0.5 as s_x, cast(floor((max(oy + 15 * (0.5 + 0.5 * (view_id % 2))) - min(oy)) / 0.5 + 1e-9) + 1 as int) as n_y, cast(floor((max(ox + 15 * (0.5 + 0.5 * (view_id % 2))) - min(ox)) / 0.5 + 1e-9) + 1 as int) as n_x from fx_views".replace("* 1.0 as", "* cast(1 as double) as").replace("0.5 as s", "cast(0.5 as double) as s"))
+def combine_stacks(spark, sf_dir):
+    v = fx.views(spark, sf_dir)
+    space = 0.5 + 0.5 * (F.col("view_id") % 2)
+    stacks = v.select(F.array(F.col("oy").cast("double"), F.col("ox").cast("double")).alias("origin"), F.array(space, space).alias("spacing"), F.array(F.lit(EDGE), F.lit(EDGE)).alias("shape"))
+    out = plan.combined(stacks, 2)
+    return out.select(*(F.get(c, F.lit(d)).alias(f"{k}_{a}") for c, k in (("origin", "o"), ("spacing", "s"), ("shape", "n")) for d, a in enumerate("yx")))
+
+
+def _mean_gap(a, b) -> float:
+    return abs(a - b).mean()
+
+
+@query(f"with {_PAIRS} select src, dst, 'mean_gap' as metric, round(avg(abs(a - b)), 6) as value from p group by src, dst")
+def metric_functions(spark, sf_dir):
+    return metrics.custom(_pair_pixels(spark, sf_dir), {"mean_gap": _mean_gap}, ["wy", "wx"]).withColumn("value", F.round("value", 6))
+
+
+def _largest(transformed_views):
+    import warnings
+
+    import numpy as np
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", RuntimeWarning)
+        return np.nanmax(transformed_views, axis=0)
+
+
+@query(f"select wy as y, wx as x, max(v) as fused from ({_WORLD}) q group by wy, wx")
+def fuse_with_function(spark, sf_dir):
+    return blocks.fuse_with(_world_views(spark, sf_dir), ["y", "x"], _largest)

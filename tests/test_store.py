@@ -76,3 +76,22 @@ def test_markers_end_to_end(spark):
     assert np.allclose(np.array(out["transform"]).reshape(3, 3)[:2, :2], turn, atol=1e-6) and out["quality"] > 0.9
     with pytest.raises(Exception, match="no transform"):
         markers.register_points(edges, points, pairs.limit(1), ["py", "px"], "affine", 0.5, fail_on_error=True).collect()
+
+
+def test_contracts(spark):
+    from tessera.functions import contracts
+    from tessera.operators import blocks
+
+    @contracts.requires_overlap(lambda o: 2 * o["reach"])
+    @contracts.requires_source_shrinkage(lambda o: o["reach"] / 2)
+    def weighted(transformed_views, fusion_weights, reach=3):
+        return np.nansum(transformed_views * fusion_weights, axis=0)
+
+    def first_only(transformed_views, blending_weights):
+        return np.stack([np.ones(transformed_views.shape[1:]), *np.zeros((len(transformed_views) - 1, *transformed_views.shape[1:]))])
+
+    assert contracts.halo_of([weighted, first_only], {}) == 6 and contracts.halo_of([weighted], {"reach": 5}) == 10
+    assert contracts.shrinkage_of([first_only, weighted], {}) == 1.5
+    world = spark.createDataFrame([(0, 0, 0, 3.0, 1.0), (1, 0, 0, 9.0, 1.0), (1, 0, 1, 4.0, 1.0), (0, 0, 1, 2.0, 1.0)], "view_id long, y long, x long, v double, w double")
+    found = {(r["y"], r["x"]): r["fused"] for r in blocks.fuse_with(world, ["y", "x"], weighted, first_only, block=8).collect()}
+    assert found == {(0, 0): 3.0, (0, 1): 2.0}
