@@ -6,8 +6,10 @@ nonnegative, at least 1 for documents whose likeliest domain is the first, and s
 
     min over r >= 0 of  sum_k ((sum_d r_d t_d p_dk - target_k) / total)^2 + ridge * sum_d (t_d / total) (r_d - 1)^2
 
-by projected gradient. The gradient of a document needs the K residuals alone, so an iteration is one sum of K columns
-over the documents; a document's rate is replayed from the residuals so far and nothing is kept for each document.
+The minimum has r_d = max(least_d, 1 - p_d . m) with one multiplier m_k a domain, ridge * m being the K residuals, so
+Newton steps find the multipliers of the convex dual problem: one sum over the documents a step, until the residuals
+agree with the multipliers to ``TOLERANCE``; a document's rate follows from the multipliers and nothing is kept for each
+document. The ridge is ``RIDGE`` of the smallest domain's share, so it only decides between rates that meet targets alike.
 
 Domains are the labelled combinations of quality and toxic; the classifier is a multinomial logistic regression on at
 most ``MOST_WORDS`` words and a few marks of style, fitted on at most ``MOST_LABELLED`` labelled documents, those with the smallest hashes of their ids. Everything else
@@ -15,11 +17,12 @@ covers all documents.
 
 Defined results: a null text has no tokens, keeps the prior as posterior and a rate of its own; labels of absent documents
 and null labels are not used; without labels there is one domain and every rate is 1; a target without documents is
-left unmet; rows with equal ids are rows of their own; an empty table gives an empty table; further columns stay.
+left unmet, as is a share that documents kept at a rate of 1 or soft posteriors hold above its target; rows with equal ids are rows of their own; an empty table gives an empty table; further columns stay.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,7 +44,10 @@ DOMAINS = {"good": (1, 0), "poor": (0, 0), "toxic": (1, 1), "poor_toxic": (0, 1)
 TARGETS = {"good": 0.97, "poor": 0.03, "toxic": 0.0, "poor_toxic": 0.0}
 MOST_LABELLED = 4000
 MOST_WORDS = 512
-RIDGE, STEPS = 0.02, 25
+#: Ridge as a part of the smallest domain's share, the least ridge, and the error of the residuals at which steps end.
+RIDGE, LEAST_RIDGE, TOLERANCE = 1e-3, 1e-8, 1e-9
+#: Newton steps after which a warning is given, and the dampings tried at each; the largest is a gradient step, which always descends.
+STEPS, DAMPINGS = 100, (0.0, *10.0 ** np.arange(-8, 1))
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -154,44 +160,81 @@ def memberships(docs: DataFrame, w: Classifier) -> DataFrame:
 
 
 class Rates:
-    """Rates of documents as a function of their posteriors, replayed from the residuals of the iterations so far."""
+    """Rates of documents as a function of their posteriors and of a multiplier for each domain."""
 
-    def __init__(self, targets: np.ndarray, total: float, keep_first: bool = True) -> None:
+    def __init__(self, targets: np.ndarray, total: float, keep_first: bool = True, ridge: float = RIDGE) -> None:
         """keep_first: a document whose likeliest domain is the first has a rate of 1 at least, so that none is lost."""
-        self.keep_first = keep_first
-        self.targets, self.total, self.residuals = targets, max(total, 1.0), []
-        # The step is below 1 / Lipschitz constant of the scaled problem: the squares sum over K shares of at most 1.
-        self.step = 1.0 / (2.0 * (1.0 + RIDGE))
+        self.keep_first, self.ridge = keep_first, ridge
+        self.targets, self.total = targets, max(total, 1.0)
+        self.multipliers = np.zeros(len(targets))
+        #: Residuals of plain gradient steps from the multipliers on.
+        self.residuals: list[np.ndarray] = []
 
     def of(self, p: np.ndarray) -> np.ndarray:
-        """Projected steps in the token-weighted metric: a document's tokens scale both its gradient and its step."""
-        least = (p.argmax(axis=1) == 0).astype(float) if self.keep_first else 0.0
-        r = np.ones(len(p))
+        m = self.multipliers
         for e in self.residuals:
-            r = np.maximum(least, r - self.step * 2.0 * (p @ e + RIDGE * (r - 1.0)))
-        return r
+            # The step is below 1 / Lipschitz constant: the squares of K shares of at most 1 sum to 1 at most.
+            m = m + (e - self.ridge * m) / (1.0 + self.ridge)
+        return np.maximum(self._least(p), 1.0 - p @ m)
+
+    def _least(self, p: np.ndarray) -> np.ndarray:
+        return (p.argmax(axis=1) == 0).astype(float) if self.keep_first else np.zeros(len(p))
+
+    def sums(self, p: np.ndarray, tokens: np.ndarray, tried: np.ndarray) -> np.ndarray:
+        """For each row of multipliers: the documents' part of the dual value, K masses and K x K curvatures."""
+        least, out = self._least(p), []
+        for m in tried:
+            u = p @ m
+            free = np.minimum(u, 1.0 - least)
+            value = tokens @ (free * (free / 2 - 1.0) - least * (u - free))
+            mass = (tokens * np.maximum(least, 1.0 - u)) @ p
+            active = p * (tokens * (u <= 1.0 - least))[:, None]
+            out.append(np.concatenate([[value], mass, (active.T @ p).ravel()]))
+        return np.array(out)
+
+    def best(self, sums: np.ndarray, tried: np.ndarray) -> tuple[float, np.ndarray]:
+        """Keep the multipliers of least dual value; (error of their residuals, the damped Newton steps from there)."""
+        k = len(self.targets)
+        value = self.ridge / 2 * (tried**2).sum(axis=1) + (tried @ self.targets + sums[:, 0]) / self.total
+        slopes = self.ridge * tried - (sums[:, 1 : k + 1] - self.targets) / self.total
+        error = np.abs(slopes).max(axis=1)
+        at = int(error.argmin()) if error.min() < TOLERANCE else int(value.argmin())
+        self.multipliers = tried[at]
+        curve = sums[at, k + 1 :].reshape(k, k) / self.total + self.ridge * np.eye(k)
+        return float(error[at]), -np.array([np.linalg.solve(curve + d * np.eye(k), slopes[at]) for d in DAMPINGS])
 
 
 def solved(members: DataFrame, targets: dict[str, float] | None = None, steps: int = STEPS) -> Rates:
-    """The rates' residuals after ``steps`` iterations, each one sum over all documents."""
+    """The rates of least squares: each step is one sum over all documents, for several dampings of the Newton step at once."""
     names = [f"p_{d}" for d in DOMAINS]
     share = np.array([(targets or TARGETS)[d] for d in DOMAINS])
-    total = members.agg(F.sum("tokens").alias("n")).first()["n"] or 0
-    rates = Rates(share * total, float(total))
+    first = members.agg(F.sum("tokens").alias("n"), *(F.sum(F.col("tokens") * F.col(n)).alias(n) for n in names)).first()
+    total = float(first["n"] or 0)
+    shares = np.array([first[n] or 0.0 for n in names]) / max(total, 1.0)
+    smallest = min((s for s in (*shares, *share) if s > 0), default=1.0)
+    rates = Rates(share * total, total, ridge=max(LEAST_RIDGE, RIDGE * smallest))
+    tried = np.zeros((1, len(names)))
+    for _ in range(steps):
 
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = np.zeros(len(names))
-        for batch in batches:
-            p = batch[names].to_numpy()
-            out += (rates.of(p) * batch["tokens"].to_numpy()) @ p
-        yield pd.DataFrame([out], columns=names)
+        def sums(batches: Iterator[pd.DataFrame], tried: np.ndarray = tried) -> Iterator[pd.DataFrame]:
+            out = np.zeros((len(tried), 1 + len(names) + len(names) ** 2))
+            for batch in batches:
+                out += rates.sums(batch[names].to_numpy(), batch["tokens"].to_numpy().astype(float), tried)
+            yield pd.DataFrame({"at": np.arange(len(tried)), "sums": list(out)})
 
-    for _ in range(steps):
-        now = members.mapInPandas(sums, ", ".join(f"{n} double" for n in names)).agg(*(F.sum(n).alias(n) for n in names)).first()
-        mass = np.array([now[n] or 0.0 for n in names])
-        rates.residuals.append((mass - rates.targets) / rates.total)
-        if len(rates.residuals) > 1 and np.abs(rates.residuals[-1] - rates.residuals[-2]).max() < 1e-5:
+        width = 1 + len(names) + len(names) ** 2
+        parts = members.mapInPandas(sums, "at int, sums array<double>")
+        rows = {r["at"]: r for r in parts.groupBy("at").agg(*(F.sum(F.get("sums", F.lit(k))).alias(f"s{k}") for k in range(width))).collect()}
+        if not rows:
+            break
+        found = np.array([[rows[n][f"s{k}"] for k in range(width)] for n in range(len(tried))])
+        error, moves = rates.best(found, tried)
+        if error < TOLERANCE:
             break
+        # The present multipliers stay among those tried, so the dual value never rises.
+        tried = np.vstack([rates.multipliers, rates.multipliers + moves])
+    else:
+        warnings.warn(f"the rates' residuals are off by {error:.1e} after {steps} steps", stacklevel=2)
     return rates
 
 

@@ -332,3 +332,20 @@ def test_pipeline(spark, tmp_path, docs, empty, labels, benchmark):
             if k < len(corpus_pipeline.STAGES) - 1:
                 assert now.columns == docs.columns, name
         now.count()
+
+
+@pytest.mark.parametrize("share", [[0.9, 0.05, 0.03, 0.02], [0.92, 0.05, 0.007, 0.023]])
+def test_rates_are_solved_to_the_end(spark, share):
+    from tessera.llm import mixing
+
+    r = np.random.default_rng(1)
+    p = np.eye(4)[r.choice(4, 4000, p=share)] * 0.96 + 0.01
+    tokens = r.integers(50, 500, 4000)
+    names = [f"p_{d}" for d in mixing.DOMAINS]
+    members = spark.createDataFrame([(int(t), *map(float, row)) for t, row in zip(tokens, p, strict=True)], ["tokens", *names])
+    feasible = {"good": 0.9, "poor": 0.07, "toxic": 0.015, "poor_toxic": 0.015}
+    rates = mixing.solved(members, feasible).of(p)
+    assert np.abs((rates * tokens) @ p / tokens.sum() - list(feasible.values())).max() < 1e-4
+    # A target of nothing: no document of a rare toxic domain stays, and good ones are all kept.
+    rates = mixing.solved(members).of(p)
+    assert rates[p.argmax(axis=1) >= 2].max() == 0 and rates[p.argmax(axis=1) == 0].min() >= 1
