@@ -45,14 +45,15 @@ _DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PLUS = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 #: Generators of further candidates: (kind, pattern, a string that a text must hold for it to be worth a scan or None).
+#: Runs of credentials have no longest length: each starts at a boundary of its own, so a scan stays linear in the text.
 GENERATORS = (
     ("email", re.compile(r"[A-Za-z0-9._%+-]{2,64}\s?(?:\(at\)|\[at\]|\{at\}|&#64;)\s?[A-Za-z0-9-]{2,63}\s?(?:\(dot\)|\[dot\]|\{dot\}|\.)\s?[A-Za-z]{2,12}\b", re.I), ("(at)", "[at]", "{at}", "&#64;")),
     ("phone", re.compile(r"(?<![\w+.-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)\x20?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-])"), None),
     ("id_number", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"), None),
     ("account", re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?!\w)"), None),
     ("credential", re.compile(r"(?<!\w)(?:AKIA|ASIA)[0-9A-Z]{16}(?!\w)"), ("AKIA", "ASIA")),
-    ("credential", re.compile(r"(?<=[=:])\s{0,2}[\"']?([A-Za-z0-9_+/.-]{8,128})[\"']?(?![\w])"), ("=", ":")),
-    ("credential", re.compile(r"(?<!\w)[0-9a-f]{32,128}(?!\w)"), None),
+    ("credential", re.compile(r"(?<=[=:])\s{0,2}[\"']?([A-Za-z0-9_+/.-]{8,})[\"']?(?![\w])"), ("=", ":")),
+    ("credential", re.compile(r"(?<!\w)[0-9a-f]{32,}(?!\w)"), None),
 )
 CUES = {
     "phone": ("phone", "tel", "call", "fax", "mobile", "cell", "sms"),
@@ -190,19 +191,22 @@ def generated(n: int, seed: int) -> list[tuple[str, str, int, int, int]]:
     hexa = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
     word = lambda: "".join(r.choice("etaoinshrdlucmfw") for _ in range(r.randint(2, 9)))
     caps = lambda k: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(k))
+    mixed = lambda k: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(k))
+    path = lambda k, by: by.join(word() for _ in range(k))
+    signed = lambda: f"eyJ{mixed(r.randint(15, 40))}.eyJ{mixed(r.randint(40, 500))}.{mixed(43)}"
     good = {
         "email": lambda: (r.choice(["", "mail ", "contact "]), f"{word()}.{digit(2)}{r.choice(['(at)', ' [at] ', '&#64;'])}{word()}{r.choice(['.', ' (dot) '])}{r.choice(['com', 'org', 'net'])}", ""),
         "phone": lambda: (r.choice(["call ", "tel ", "phone ", "fax ", ""]), r.choice([f"({digit(3)}) {digit(3)}-{digit(4)}", f"{digit(3)}-{digit(3)}-{digit(4)}", f"{digit(3)} {digit(3)} {digit(4)}"]), ""),
         "id_number": lambda: (r.choice(["ssn ", "social security ", "tax number ", "passport "]), f"{r.randint(100, 665)}-{digit(2)}-{digit(4)}", ""),
         "account": lambda: (r.choice(["iban ", "account ", "bank transfer ", ""]), f"{r.choice(['DE', 'FR', 'ES', 'GB'])}{digit(2)} " + " ".join(digit(4) for _ in range(r.randint(4, 5))), ""),
-        "credential": lambda: r.choice([("password=", hexa(18), ""), ('token = "', hexa(40), '"'), ("", "AKIA" + caps(16), ""), ("secret: ", caps(24), ""), ("api_key=", hexa(32), ""), ("password=", caps(10).lower(), "")]),
+        "credential": lambda: r.choice([("password=", hexa(18), ""), ('token = "', hexa(40), '"'), ("", "AKIA" + caps(16), ""), ("secret: ", caps(24), ""), ("api_key=", hexa(32), ""), ("password=", caps(10).lower(), ""), ('secret = "', hexa(r.randint(65, 400)), '"'), (r.choice(["api_key=", "key: "]), mixed(r.randint(40, 400)), ""), (r.choice(["token=", "auth: "]), signed(), "")]),
     }
     bad = {
         "email": lambda: ("", f"{word()} (at) {word()}.{word()[:6]}", ""),
         "phone": lambda: (r.choice(["order ", "part ", "serial ", "isbn "]), f"{digit(3)}.{digit(3)}.{digit(4)}", ""),
         "id_number": lambda: (r.choice(["part ", "order ", "version ", "item "]), f"{r.choice(['000', '666', '9' + digit(2)])}-{digit(2)}-{digit(4)}", ""),
         "account": lambda: (r.choice(["part ", "build ", "serial "]), f"{caps(2)}{digit(2)} {caps(4)} {caps(4)} {caps(4)}", ""),
-        "credential": lambda: r.choice([("note: ", word() + word(), ""), ("see: ", f"{word()}/{word()}.html", ""), ("commit ", hexa(40), ""), ("sha hash: ", hexa(64), ""), ('class="', word() + "-" + word(), '"'), ("x = ", word() + digit(1) + word(), ""), ("http:", f"//{word()}.{word()}.com", ""), ("Subject: ", word() + word()[:6], ""), ("revision = ", digit(8), "")]),
+        "credential": lambda: r.choice([("note: ", word() + word(), ""), ("see: ", f"{word()}/{word()}.html", ""), ("commit ", hexa(40), ""), ("sha hash: ", hexa(64), ""), ('class="', word() + "-" + word(), '"'), ("x = ", word() + digit(1) + word(), ""), ("http:", f"//{word()}.{word()}.com", ""), ("Subject: ", word() + word()[:6], ""), ("revision = ", digit(8), ""), ("sha hash: ", hexa(128), ""), (r.choice(["see: ", 'href="']), path(r.randint(8, 60), "/"), ""), ("http:", f"//{word()}.{word()}.com/{path(r.randint(8, 60), r.choice('/-_'))}", ""), ("part: ", path(r.randint(8, 60), r.choice(".-_")), "")]),
     }
     out = []
     for _ in range(n):

@@ -349,3 +349,24 @@ def test_rates_are_solved_to_the_end(spark, share):
     # A target of nothing: no document of a rare toxic domain stays, and good ones are all kept.
     rates = mixing.solved(members).of(p)
     assert rates[p.argmax(axis=1) >= 2].max() == 0 and rates[p.argmax(axis=1) == 0].min() >= 1
+
+
+@pytest.mark.parametrize("cue,length,alphabet", [('secret = "', 160, "0123456789abcdef"), ("api_key=", 172, "ABCDEFGHJKMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz23456789"), ("token: ", 250, None), ("token=", 20000, "0123456789abcdef")])
+def test_pii_long_credentials(cue, length, alphabet):
+    from tessera.llm import pii
+
+    r = random.Random(length)
+    run = lambda k, of: "".join(r.choice(of) for _ in range(k))
+    url = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
+    secret = run(length, alphabet) if alphabet else f"eyJhbGciOiJIUzI1NiJ9.eyJ{run(length, url)}.{run(42, url)}A"
+    text = f"We set {cue}{secret}{cue[-1] if cue[-1] == chr(34) else ''} for the service"
+    base = pii.base_spans(text)
+    shown = pii.redact(text, base + pii.selected(text, base, *pii.model()))
+    assert "[credential]" in shown and not any(secret[k : k + 8] in shown for k in range(0, len(secret) - 8))
+
+
+def test_pii_long_paths_stay():
+    from tessera.llm import pii
+
+    text = 'See: http://example.com/' + "/".join(["some", "folder", "of", "pages"] * 12) + ' and href="' + "/".join(["other", "plain", "names"] * 15) + '" for more'
+    assert pii.selected(text, pii.base_spans(text), *pii.model()) == []
