@@ -1,9 +1,11 @@
 """Licence scans by a trained paragraph classifier (DataFrame functions only).
 
-Every line of every text is a paragraph. A sparse logistic regression on hashed word n-grams (one and two words) scores
+Scored are every line of every text and, within runs of lines that are not blank, overlapping windows over neighbouring
+lines and inside long ones: runs of ``WINDOWS`` pieces, a piece being at most ``PIECE`` words of a line. Of overlapping
+notices the best stays, those of a known family first; its place is the line where it starts. A sparse logistic regression on hashed word n-grams (one and two words) scores
 each for being a licence notice; those that pass are scored by one regression a family, whose calibrated probabilities
 name the family or the unknown class. A prediction stands only if the paragraph also shares enough words with one of the
-family's templates; a notice that no family explains stays as ``unknown``.
+family's templates; a notice that no family explains stays as ``unknown`` if it is a whole line or shares enough words with an unnamed notice.
 
 The regressions are fitted by gradient steps, each one aggregation over the training paragraphs: variants of the templates
 below, and at most ``MOST_BACKGROUND`` lines, without any but the commonest words of a template, of about ``BACKGROUND_DOCS``
@@ -71,6 +73,8 @@ DIMENSIONS, STEPS, RATE, PENALTY = 2048, 12, 1.5, 0.002
 MOST_BACKGROUND, BACKGROUND_DOCS = 1500, 400
 #: Probabilities from which a line is a notice and a family is named, and the share of a template's words that a line must have.
 NOTICE, NAMED, TEMPLATE_SHARE = 0.75, 0.35, 0.6
+#: Words a piece and pieces a window.
+PIECE, WINDOWS = 4, (2, 3, 4, 6, 8, 10)
 
 
 def word_hashes(line: Column) -> Column:
@@ -196,25 +200,95 @@ def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
     return lines.where(F.col("line").rlike(r"[\p{L}\p{N}]"))
 
 
+def _windows(text: Column, model: tuple[list[float], float], curve: tuple[float, float]) -> Column:
+    """Array of (line, notice, start, end, window) of a text's windows that are notices; start and end are places in the text."""
+    w, (_, bias), (slope, offset) = _literal(model[0]), model, curve
+    add = lambda acc, x: acc + F.get(w, _bucket(x))
+    once = lambda x, of: F.get(F.transform(F.array(x), of), F.lit(0))
+
+    def pieces(line: Column, place: Column) -> Column:
+        piece = lambda ws, at: F.struct(_at(place, at).alias("start"), F.slice(ws, at, PIECE).alias("words"))
+        cut = lambda ws: F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws), F.lit(1)), F.lit(PIECE)), lambda at: piece(ws, at))
+        return once(F.filter(F.split(line, " "), lambda x: x != ""), cut)
+
+    def scored(p: Column) -> Column:
+        # A blank line is a piece without words that no window passes over.
+        of = lambda h: F.struct(
+            F.size(h).alias("n"), F.when(F.size(h) == 0, -1e9).otherwise(F.aggregate(pair_hashes(h), F.aggregate(h, F.lit(0.0), add), add)).alias("s"),
+            F.get(h, F.lit(0)).alias("first"), F.get(h, F.size(h) - 1).alias("last"),
+        )
+        return once(F.transform(p["words"], lambda x: F.xxhash64(x)), of)
+
+    def linked(t: Column) -> Column:
+        link = lambda a, b: F.struct(a["n"].alias("n"), a["s"].alias("s"), F.when(b["n"] > 0, F.get(w, _bucket(F.xxhash64(a["last"], b["first"])))).otherwise(0.0).alias("link"))
+        return F.zip_with(t, F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), link)
+
+    def found(ps: Column, t: Column, size: int) -> Column:
+        def of(i: Column) -> Column:
+            part = lambda q: F.aggregate(q, F.lit(0.0), lambda acc, x: acc + x["s"] + x["link"]) - F.get(q, F.lit(size - 1))["link"]
+            n = lambda q: F.aggregate(q, F.lit(0), lambda acc, x: acc + x["n"])
+            z = lambda q: F.lit(bias) + part(q) / F.sqrt(F.greatest(2 * n(q) - 1, F.lit(1)))
+            return F.struct(i.alias("i"), once(F.slice(t, i, size), lambda q: 1 / (1 + F.exp(-(F.lit(slope) * z(q) + F.lit(offset))))).alias("p"))
+
+        def whole(x: Column) -> Column:
+            q = F.slice(ps, x["i"], size)
+            last = F.get(q, F.lit(size - 1))
+            line = F.array_join(F.flatten(F.transform(q, lambda p: p["words"])), " ")
+            return F.struct(line.alias("line"), x["p"].alias("notice"), F.get(q, F.lit(0))["start"].alias("start"), (last["start"] + F.size(last["words"])).alias("end"), F.lit(1).alias("window"))
+
+        # No sequence runs downwards: a text of fewer pieces has no windows.
+        starts = F.slice(F.sequence(F.lit(1), F.greatest(F.size(t) - size + 1, F.lit(1)), F.lit(1)), 1, F.greatest(F.size(t) - size + 1, F.lit(0)))
+        return F.transform(F.filter(F.transform(starts, of), lambda x: x["p"] >= NOTICE), whole)
+
+    clean = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}\n]+", " "))
+    every = lambda ps: once(linked_of(ps), lambda t: F.concat(*(found(ps, t, k) for k in WINDOWS)))
+    linked_of = lambda ps: once(F.transform(ps, scored), linked)
+    return once(F.flatten(F.transform(F.split(clean, "\n"), pieces)), every)
+
+
+def _at(place: Column, word: Column) -> Column:
+    """Places of words (from 1) of lines as numbers in the order of the text."""
+    return F.shiftleft(place.cast("long"), 32) + word
+
+
+def _lines(text: Column, model: tuple[list[float], float], curve: tuple[float, float]) -> Column:
+    """As ``_windows``, of a text's whole lines."""
+    def of(line: Column, place: Column) -> Column:
+        p = F.when(line.rlike(r"[\p{L}\p{N}]"), _notice_probability(line, model, curve)).otherwise(0.0)
+        return F.struct(line.alias("line"), p.alias("notice"), _at(place, F.lit(1)).alias("start"), (_at(place, F.lit(1)) + F.size(word_hashes(line))).alias("end"), F.lit(0).alias("window"))
+
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), of), lambda x: x["notice"] >= NOTICE)
+
+
+def _apart(found: Column) -> Column:
+    """Of sorted candidates those that overlap none before them."""
+    kept = F.filter(found, lambda x: F.lit(False))
+    return F.aggregate(found, kept, lambda acc, x: F.when(F.exists(acc, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])), acc).otherwise(F.concat(acc, F.array(x))))
+
+
 def notices(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, place, line, notice, family, confidence): the lines that are licence notices."""
+    """(doc_id, place, line, notice, family, confidence): the lines and windows that are licence notices."""
     bounded_batches(docs.sparkSession)
-    lines = paragraphs(docs, text)
     every = max(1, docs.count() // BACKGROUND_DOCS)
     rows = training(docs.sparkSession, paragraphs(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0), text))
     rows = saved(rows, "licence-training")
     model = fitted(rows)
     curves = calibrated(rows, model)
-    scored = lines.withColumn("notice", _notice_probability(F.col("line"), model[""], curves[""])).where(F.col("notice") >= NOTICE).withColumn("idx", grams(word_hashes(F.col("line"))))
+    both = F.concat(_lines(F.col(text), model[""], curves[""]), _windows(F.col(text), model[""], curves[""]))
+    scored = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.explode(both).alias("x")).select("doc_id", "row", "x.*").withColumn("idx", grams(word_hashes(F.col("line"))))
     words = F.array_distinct(F.filter(F.split(F.lower(F.regexp_replace("line", r"[^\p{L}\p{N}]+", " ")), " "), lambda w: w != ""))
-    likes = []
+    likes, shared = [], lambda texts: [F.size(F.array_intersect(words, F.array(*map(F.lit, sorted(set(_words(t))))))) / len(set(_words(t))) for t in texts]
     for f in FAMILIES:
-        shares = [F.size(F.array_intersect(words, F.array(*map(F.lit, sorted(set(_words(t))))))) / len(set(_words(t))) for t in TEMPLATES[f]]
+        shares = shared(TEMPLATES[f])
         likes.append(F.struct(_probability("idx", model[f], curves[f]).alias("p"), (F.greatest(*shares) if len(shares) > 1 else shares[0]).alias("share"), F.lit(f).alias("family")))
     found = scored.withColumn("likes", F.filter(F.array(*likes), lambda x: (x["p"] >= NAMED) & (x["share"] >= TEMPLATE_SHARE)))
     # Of confirmed families the one with the larger product of probability and shared words; none confirmed: unknown.
     best = F.array_max(F.transform("likes", lambda x: F.struct((x["p"] * x["share"]).alias("s"), x["p"].alias("p"), x["family"].alias("family"))))
-    return found.withColumn("best", best).select("doc_id", "place", "line", "notice", F.coalesce("best.family", F.lit("unknown")).alias("family"), F.coalesce("best.p", "notice").alias("confidence"))
+    # Many more windows than lines are tried, so that one of no family must share words with an unnamed notice.
+    found = found.where((F.col("window") == 0) | (F.size("likes") > 0) | (F.greatest(*shared(UNNAMED)) >= TEMPLATE_SHARE))
+    named = found.withColumn("best", best).select("doc_id", "row", F.struct(F.col("best").isNull().alias("unnamed"), (-F.coalesce("best.s", "notice")).alias("order"), "window", "start", "end", "line", "notice", F.coalesce("best.family", F.lit("unknown")).alias("family"), F.coalesce("best.p", "notice").alias("confidence")).alias("x"))
+    kept = named.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list("x")).alias("found")).select("doc_id", F.explode(_apart(F.col("found"))).alias("x"))
+    return kept.select("doc_id", F.shiftright("x.start", 32).cast("int").alias("place"), "x.line", "x.notice", "x.family", "x.confidence")
 
 
 def scanned(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -370,3 +370,15 @@ def test_pii_long_paths_stay():
 
     text = 'See: http://example.com/' + "/".join(["some", "folder", "of", "pages"] * 12) + ' and href="' + "/".join(["other", "plain", "names"] * 15) + '" for more'
     assert pii.selected(text, pii.base_spans(text), *pii.model()) == []
+
+
+def test_licences_wrapped_and_inside_long_lines(spark):
+    from tessera.llm import licenses
+
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation"
+    bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are met"
+    apache = "Licensed under the Apache License, Version 2.0 of the licence"
+    made = spark.createDataFrame([(1, f"{prose(1, 30)}\n\n{gpl}\n\n{prose(2, 30)}"), (2, bsd), (3, f"{prose(4, 900)} {apache} {prose(5, 900)}"), (4, prose(3, 600)), (5, "Licensed under CC BY 4.0\nSPDX-License-Identifier: MIT")], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in licenses.scanned(made).collect()}
+    assert {k: r["family"] for k, r in found.items() if k < 5} == {1: "gpl", 2: "bsd", 3: "apache-2.0", 4: None}
+    assert found[1]["first_line"] == 2 and found[2]["first_line"] == 0 and found[5]["families"] == "cc-by,mit"
