@@ -1,14 +1,18 @@
 """Host-level quality rules: document rules, shrunk failure rates of hosts, verdicts (DataFrame functions only).
 
-Each document gets counts from its whole text and a number of broken rules. A host's failure rate is
-shrunk towards the mean of all hosts by a beta prior fitted to the hosts (method of moments), so that a
-host of three documents is not judged on three coin flips. A document that breaks one soft rule stays on
-a host in good standing and goes on a bad one; one that breaks two or more goes anywhere; a document that
-breaks none always stays, whatever its host.
+Each document gets counts from its whole text and a number of broken rules. The host of a document is its
+``source``. A host's failure rate is shrunk towards the mean of all hosts by a beta prior fitted to the hosts'
+rates (method of moments), so that a host of three documents is not judged on three coin flips. The verdict is
+relative to the corpus and weighs how sure the rate is: a host is poor if its rate lies above the corpus rate by
+more than ``POOR_Z`` posterior standard deviations, and blocked if it is poor and its rate lies as surely
+(``BLOCKED_Z``) above one half.
+
+A document that breaks one soft rule stays on a host in good standing and goes on a poor one; one that breaks two
+or more goes anywhere; one that breaks none goes only with a blocked host.
 
 Defined results: a null text has no words (and so fails); a null host is a host of its own; repeated rows
-and repeated ids are rows of their own; an empty table gives an empty table; further columns of the input
-are not looked at.
+and repeated ids are rows of their own; hosts of equal rates are all in good standing; an empty table gives an
+empty table; further columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -22,29 +26,21 @@ from tessera.llm.store import bounded_batches, saved
 #: Limits of the rules; a rule is broken beyond its limit.
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 SOFT = {"symbol_percent": 10, "dup_line_percent": 30, "soft_repeat_percent": 30, "shortest_mean_word": 2, "longest_mean_word": 15}
-#: A host is bad if its shrunk rate of failing documents is at least this.
-BAD_HOST = 0.5
-#: Position bits in a packed (window hash, position) key; longer texts take pairs instead.
-POSITION_BITS = 24
+#: Posterior standard deviations by which a host's rate lies above the corpus rate (poor) and above one half (blocked).
+POOR_Z, BLOCKED_Z = 0.84, 1.645
 #: Hosts that are broadcast at most (a row is 40 bytes at most, next to a host name).
 MOST_BROADCAST_HOSTS = 100_000
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
-def _repeat_words(words: str, windows: str) -> str:
+def _repeat_words(windows: str) -> str:
     """SQL: words in the windows of ``windows`` that occur twice or more in it; 0 for a text without such a window."""
-    key = f"(({{h}} & {-(1 << POSITION_BITS)}L) | {{i}})"
-    packed = f"array_sort(transform({windows}, (h, i) -> {key.format(h='h', i='i')}))"
-    place = f"cast({{x}} & {(1 << POSITION_BITS) - 1}L as int)"
-    same = f"{windows}[{place.format(x='{a}')}] = {windows}[{place.format(x='{b}')}]"
-    at = f"transform(filter(transform(s, (x, j) -> struct(x as x, coalesce(j > 0 and {same.format(a='x', b='s[j - 1]')}, false) or coalesce({same.format(a='x', b='get(s, j + 1)')}, false) as twice)), y -> y.twice), y -> {place.format(x='y.x')})"
-    paired = f"transform({windows}, (h, i) -> struct(h as h, i as i))"
-    wide = "transform(filter(transform(s, (x, j) -> struct(x.i as i, coalesce(j > 0 and x.h = s[j - 1].h, false) or coalesce(x.h = get(s, j + 1).h, false) as twice)), y -> y.twice), y -> y.i)"
     with_let = lambda value, name, body: f"transform(array({value}), {name} -> {body})[0]"
+    paired = f"array_sort(transform({windows}, (h, i) -> struct(h as h, i as i)))"
+    twice = "transform(filter(s, (x, j) -> coalesce(j > 0 and x.h = s[j - 1].h, false) or coalesce(x.h = get(s, j + 1).h, false)), x -> x.i)"
     covered = "cast(aggregate(transform(p, (x, j) -> least(3, coalesce(get(p, j + 1) - x, 3))), 0, (a, b) -> a + b) as bigint)"
-    positions = f"case when size({words}) < {1 << POSITION_BITS} then {with_let(packed, 's', at)} else {with_let(f'array_sort({paired})', 's', wide)} end"
-    return f"case when size({windows}) > size(array_distinct({windows})) then {with_let(f'array_sort({positions})', 'p', covered)} else 0L end"
+    return f"case when size({windows}) > size(array_distinct({windows})) then {with_let(f'array_sort({with_let(paired, chr(115), twice)})', 'p', covered)} else 0L end"
 
 
 def text_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -59,7 +55,7 @@ def text_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_symbols": (F.length(value) - F.length(F.regexp_replace(value, r"[#*$%&|<>]+", ""))).cast("long"),
             "n_lines": F.size("_l").cast("long"),
             "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-            "n_repeat_words": F.expr(_repeat_words("_w", "_h")),
+            "n_repeat_words": F.expr(_repeat_words("_h")),
         }
     ).drop("_w", "_l", "_h")
 
@@ -80,24 +76,28 @@ def failures(counts: DataFrame) -> DataFrame:
 
 
 def host_rates(failed: DataFrame, host: str = "host") -> DataFrame:
-    """(host, n_docs, n_failed, host_rate): failure rates of hosts under an empirical beta prior.
+    """(host, n_docs, n_failed, host_rate, standing): failure rates of hosts under an empirical beta prior, and verdicts.
 
-    The prior's mean is the mean of the hosts' rates and its strength follows from their variance, less what
-    binomial noise explains; hosts that do not differ are all given the mean.
+    The prior is the beta distribution with the mean and the variance of the hosts' own rates, of a strength of one
+    document at least. One row of sums reaches the driver; hosts stay a table.
     """
     hosts = failed.groupBy(host).agg(F.count("*").alias("n_docs"), F.sum((F.col("base_failed") | (F.col("n_soft") > 0)).cast("long")).alias("n_failed"))
     rate = F.col("n_failed") / F.col("n_docs")
-    prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"), F.avg(1 / F.col("n_docs")).alias("noise"))
-    m, between = F.col("m"), F.col("v") - F.col("m") * (1 - F.col("m")) * F.col("noise")
-    strength = F.greatest(F.lit(1.0), F.when(between > 1e-9, m * (1 - m) / between - 1).otherwise(F.lit(1e9)))
-    found = prior.select(m.alias("m"), strength.alias("k")).first()
-    if found is None or found["m"] is None:
-        return hosts.withColumn("host_rate", F.lit(0.0))
-    return hosts.withColumn("host_rate", (F.col("n_failed") + F.lit(found["m"] * found["k"])) / (F.col("n_docs") + F.lit(found["k"])))
-
-
-def judged(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, the counts, base_failed, n_soft, host_rate, kept.
+    m, v = F.col("m"), F.col("v")
+    strength = F.greatest(F.lit(1.0), F.when(v > 1e-12, m * (1 - m) / v - 1).otherwise(F.lit(1e9)))
+    prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"), (F.sum("n_failed") / F.sum("n_docs")).alias("p")).select("m", strength.alias("k"), "p").first()
+    if prior is None or prior["m"] is None:
+        return hosts.withColumns({"host_rate": F.lit(0.0), "standing": F.lit("good")})
+    k = F.lit(prior["k"])
+    hosts = hosts.withColumn("host_rate", (F.col("n_failed") + F.lit(prior["m"]) * k) / (F.col("n_docs") + k))
+    spread = F.sqrt(F.col("host_rate") * (1 - F.col("host_rate")) / (F.col("n_docs") + k + 1))
+    poor = F.col("host_rate") - F.lit(prior["p"]) > POOR_Z * spread
+    blocked = poor & (F.col("host_rate") - 0.5 > BLOCKED_Z * spread)
+    return hosts.withColumn("standing", F.when(blocked, "blocked").when(poor, "poor").otherwise("good"))
+
+
+def judged(docs: DataFrame, host: str = "source", text: str = "text", broadcast_hosts: int = MOST_BROADCAST_HOSTS) -> DataFrame:
+    """One row per row of ``docs``: doc_id, the counts, base_failed, n_soft, host_rate, standing, kept.
 
     Texts are read once: the counts, a few bytes a document, are kept as a table for the two passes that
     follow. Hosts are broadcast only while they are few; beyond that the join shuffles, on rows that AQE
@@ -106,9 +106,9 @@ def judged(docs: DataFrame, host: str = "source", text: str = "text") -> DataFra
     bounded_batches(docs.sparkSession)
     chosen = docs.select("doc_id", F.col(host).alias("host"), F.col(text).alias("text"), F.xxhash64(F.col(host), F.col(text)).alias("row_hash"))
     counts = saved(failures(text_counts(chosen)).drop("text"), "quality")
-    rates = saved(host_rates(counts).select(F.col("host").alias("rated"), "host_rate"), "hosts")
-    side = F.broadcast(rates) if rates.count() <= MOST_BROADCAST_HOSTS else rates
-    kept = ~F.col("base_failed") & ((F.col("n_soft") == 0) | ((F.col("n_soft") == 1) & (F.col("host_rate") < BAD_HOST)))
+    rates = saved(host_rates(counts).select(F.col("host").alias("rated"), "host_rate", "standing"), "hosts")
+    side = F.broadcast(rates) if rates.count() <= broadcast_hosts else rates.hint("merge")
+    kept = ~F.col("base_failed") & (F.col("standing") != "blocked") & ((F.col("n_soft") == 0) | ((F.col("n_soft") == 1) & (F.col("standing") == "good")))
     return counts.join(side, counts["host"].eqNullSafe(side["rated"]), "left").drop("rated").withColumn("kept", kept)
 
 
@@ -132,10 +132,12 @@ f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_fail
     (100 * n_symbols > 10 * n_words)::int + (100 * n_dup_lines > 30 * n_lines)::int + (100 * n_repeat_words > 30 * n_words)::int
     + (word_chars < 2 * n_words or word_chars > 15 * n_words)::int as n_soft from c),
 h as (select host, count(*) as n_docs, sum((base_failed or n_soft > 0)::int) as n_failed from f group by host),
-p as (select avg(n_failed / n_docs) as m, var_pop(n_failed / n_docs) as v, avg(1 / n_docs) as noise from h),
-k as (select m, greatest(1.0, case when v - m * (1 - m) * noise > 1e-9 then m * (1 - m) / (v - m * (1 - m) * noise) - 1 else 1e9 end) as k from p),
-s as (select host, (n_failed + m * k) / (n_docs + k) as host_rate from h, k)
+p as (select avg(n_failed / n_docs) as m, var_pop(n_failed / n_docs) as v, sum(n_failed) / sum(n_docs) as p from h),
+k as (select m, p, greatest(1.0, case when v > 1e-12 then m * (1 - m) / v - 1 else 1e9 end) as k from p),
+r as (select host, n_docs, p, k, (n_failed + m * k) / (n_docs + k) as host_rate from h, k),
+z as (select *, sqrt(host_rate * (1 - host_rate) / (n_docs + k + 1)) as spread from r),
+s as (select host, case when host_rate - p > 0.84 * spread then case when host_rate - 0.5 > 1.645 * spread then 'blocked' else 'poor' end else 'good' end as standing from z)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    not base_failed and (n_soft = 0 or (n_soft = 1 and host_rate < 0.5)) as kept, cast(n_soft as int) as n_soft
+    not base_failed and standing <> 'blocked' and (n_soft = 0 or (n_soft = 1 and standing = 'good')) as kept, cast(n_soft as int) as n_soft, standing
 from f left join s on f.host is not distinct from s.host
 """

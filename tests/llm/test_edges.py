@@ -148,12 +148,41 @@ def test_quality(docs, empty, pairs):
     columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     assert order(tuple(r[c] for c in columns) for r in found) == order((d, *brute.quality_counts(t)) for d, t in pairs)
     assert all(not r["kept"] for r in found if r["base_failed"])
-    assert all(r["kept"] for r in found if not r["base_failed"] and r["n_soft"] == 0)
+    assert all(r["kept"] for r in found if not r["base_failed"] and r["n_soft"] == 0 and r["standing"] != "blocked")
+    assert order((r["doc_id"], r["kept"], r["host_rate"]) for r in quality.judged(docs, broadcast_hosts=0).collect()) == order((r["doc_id"], r["kept"], r["host_rate"]) for r in found)
     assert quality.judged(empty).count() == 0
     kept = quality.kept(docs)
     assert kept.columns == docs.columns and kept.count() == sum(r["kept"] for r in found)
 
 
+def test_hosts_decide_for_their_documents(spark):
+    """Twenty hosts of 60 documents: soft failures are one in ten, but half on host 3, and nine tenths fail on host 7."""
+    from tessera.llm import quality
+
+    made = []
+    for h in range(20):
+        for k in range(60):
+            plain = prose(1000 * h + k, 60)
+            soft, bad = k % 10 == 0 or (h == 3 and k % 2 == 0), h == 7 and k % 10 != 5
+            made.append((100 * h + k, "too short" if bad else plain + " ##$$ %%&& ||<>" * 4 if soft else plain, f"host{h}"))
+    found = {r["doc_id"]: r for r in quality.judged(spark.createDataFrame(made, "doc_id long, text string, source string")).collect()}
+    soft = {d for d, r in found.items() if not r["base_failed"] and r["n_soft"] == 1}
+    assert {d for d in soft if d // 100 == 3} and all(not found[d]["kept"] for d in soft if d // 100 in (3, 7))
+    assert sum(found[d]["kept"] for d in soft if d // 100 not in (3, 7)) == len([d for d in soft if d // 100 not in (3, 7)])
+    clean = {d for d, r in found.items() if not r["base_failed"] and r["n_soft"] == 0}
+    assert {d // 100 for d in clean if not found[d]["kept"]} == {7}
+    assert {found[d]["standing"] for d in clean if d // 100 == 3} == {"poor"} and {found[d]["standing"] for d in found if d // 100 == 7} == {"blocked"}
+
+
+def test_repeats_in_texts_of_many_words(spark):
+    from tessera.llm import quality
+
+    r = random.Random(4)
+    made = [(k, " ".join(r.choice(["a", "b", "c", "d", "e", "f", "g"]) + str(r.randrange(m)) for _ in range(n))) for k, (n, m) in enumerate([(30_000, 40), (5000, 3), (200, 1), (3, 1), (2, 1)])]
+    found = quality.text_counts(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    assert {x["doc_id"]: x["n_repeat_words"] for x in found} == {d: brute.quality_counts(t)[-1] for d, t in made}
+
+
 def test_decontamination(docs, empty, benchmark, pairs):
     from tessera.llm import decontaminate
 
