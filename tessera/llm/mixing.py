@@ -2,22 +2,31 @@
 
 A classifier learned from the labelled table gives each document a posterior over domains; a document counts for a
 domain by its posterior share of its tokens. Rates (how often a document is repeated, a fraction being a chance) are
-nonnegative, at least 1 for documents whose likeliest domain is the first, and solve
+nonnegative and solve
 
     min over r >= 0 of  sum_k ((sum_d r_d t_d p_dk - target_k) / total)^2 + ridge * sum_d (t_d / total) (r_d - 1)^2
 
-The minimum has r_d = max(least_d, 1 - p_d . m) with one multiplier m_k a domain, ridge * m being the K residuals, so
-Newton steps find the multipliers of the convex dual problem: one sum over the documents a step, until the residuals
-agree with the multipliers to ``TOLERANCE``; a document's rate follows from the multipliers and nothing is kept for each
-document. The ridge is ``RIDGE`` of the smallest domain's share, so it only decides between rates that meet targets alike.
+The minimum has r_d = max(0, 1 - p_d . m) with one multiplier m_k a domain, ridge * m being the K residuals: the
+projected gradient step in r is the projection of a point that K numbers describe. So steps are taken on the multipliers,
+along gradients scaled by the curvature, one sum over the documents a step, until the residuals agree with the
+multipliers to ``TOLERANCE``; a document's rate follows from the multipliers and nothing is kept for each document. The
+ridge is ``RIDGE`` of the smallest domain's share, so it only decides between rates that meet targets alike.
 
-Domains are the labelled combinations of quality and toxic; the classifier is a multinomial logistic regression on at
-most ``MOST_WORDS`` words and a few marks of style, fitted on at most ``MOST_LABELLED`` labelled documents, those with the smallest hashes of their ids. Everything else
-covers all documents.
+Target weights are shares of the tokens by likeliest domain. Posteriors are soft, so a mix of nothing but likely good
+documents still has some expected tokens of every domain: a weight w_k stands for w_k of the tokens with the mean
+posterior of the documents that are likeliest of domain k. Such targets can always be met, by rates that are equal
+within a domain if by no others; ``totals`` gives targets and expected totals.
 
-Defined results: a null text has no tokens, keeps the prior as posterior and a rate of its own; labels of absent documents
-and null labels are not used; without labels there is one domain and every rate is 1; a target without documents is
-left unmet, as is a share that documents kept at a rate of 1 or soft posteriors hold above its target; rows with equal ids are rows of their own; an empty table gives an empty table; further columns stay.
+Domains are the labelled combinations of quality and toxic; the classifier is a multinomial logistic regression on at
+most ``MOST_WORDS`` words and a few marks of style, fitted on at most ``MOST_LABELLED`` labelled documents, those with
+the smallest hashes of their ids. Everything else covers all documents. Words are chosen from counts that Spark sums,
+and only marks and the chosen words of labelled documents reach the driver, a kilobyte or two for each.
+
+Defined results: a null text has no tokens, keeps the prior as posterior and a rate of its own; labels of absent documents,
+null labels and labels other than the domains' are not used; without labels there is one domain and every rate is 1; a
+weight of a domain that no document is likeliest of goes to the other domains in proportion; if there is no such other
+domain the shares stay as they are; rows with equal ids are rows of their own; an empty table gives an empty table;
+further columns stay.
 """
 
 from __future__ import annotations
@@ -25,6 +34,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -39,7 +49,7 @@ from tessera.llm.rows import fresh
 from tessera.llm.store import bounded_batches, saved
 from tessera.llm.textkit import slices, word_hashes, words
 
-#: (quality, toxic) of each domain, and the share of the tokens that each should have.
+#: (quality, toxic) of each domain, and the share of the tokens that documents likeliest of each should have.
 DOMAINS = {"good": (1, 0), "poor": (0, 0), "toxic": (1, 1), "poor_toxic": (0, 1)}
 TARGETS = {"good": 0.97, "poor": 0.03, "toxic": 0.0, "poor_toxic": 0.0}
 MOST_LABELLED = 4000
@@ -96,24 +106,43 @@ class Classifier:
         return p / p.sum(axis=1, keepdims=True), counts
 
 
-def fit(texts: list[str | None], label: np.ndarray, k: int, steps: int = 400, rate: float = 1.0, penalty: float = 1e-3) -> Classifier:
-    """Select the words that tell domains apart best (chi square) and fit the regression with accelerated gradient steps."""
-    row, word, marks, _ = features(pa.array(texts, pa.string()))
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, domain, documents with the word) of labelled texts, summed for each slice."""
+    for whole in batches:
+        for batch in slices(whole, "text", 2 << 20):
+            row, word, _, _ = features(batch.column("text"))
+            domain = np.asarray(batch.column("domain")).astype(np.int64)
+            found, place = np.unique(word, return_inverse=True)
+            k = len(DOMAINS)
+            n = np.bincount(place * k + domain[row], minlength=len(found) * k).reshape(-1, k)
+            at, of = np.nonzero(n)
+            yield pa.RecordBatch.from_pydict({"word": found[at].astype(np.int64), "domain": of.astype(np.int32), "n": n[at, of].astype(np.int64)})
+
+
+def chosen_words(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words that tell domains apart best by chi square, sorted; documents of each domain)."""
+    k = len(DOMAINS)
+    sizes = {r["domain"]: r["n"] for r in labelled.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    share = np.array([sizes.get(d, 0) for d in range(k)], dtype=float)
+    if not share.sum():
+        return np.zeros(0, np.uint64), share
+    expect = share / share.sum()
+    table = labelled.mapInArrow(lean(_counted), "word long, domain int, n long").groupBy("word").agg(*(F.sum(F.when(F.col("domain") == d, F.col("n")).otherwise(0)).alias(f"n{d}") for d in range(k)))
+    n = sum((F.col(f"n{d}") for d in range(1, k)), F.col("n0"))
+    parts = [F.pow(F.col(f"n{d}") - n * float(expect[d]), 2) / F.greatest(n * float(expect[d]), F.lit(1e-9)) for d in range(k)]
+    best = table.where(n >= 3).select("word", F.greatest(*parts).alias("score")).orderBy(F.desc("score"), "word").limit(MOST_WORDS).select("word").toArrow()
+    return np.sort(np.asarray(best.column("word")).astype(np.int64).view(np.uint64)), share
+
+
+def fit(held: list[np.ndarray], marks: np.ndarray, label: np.ndarray, found: np.ndarray, k: int, steps: int = 400, rate: float = 1.0, penalty: float = 1e-3) -> Classifier:
+    """Fit the regression on the places of ``found`` that each text holds and on its marks, by accelerated gradient steps."""
     y = np.eye(k)[label]
-    found, place = np.unique(word, return_inverse=True)
-    table = np.zeros((len(found), k))
-    np.add.at(table, place, y[row])
     share = y.mean(axis=0)
-    expected = table.sum(axis=1, keepdims=True) * share
-    score = np.where(table.sum(axis=1) >= 3, ((table - expected) ** 2 / np.maximum(expected, 1e-9)).max(axis=1, initial=0), 0)
-    best = np.sort(np.argsort(-score, kind="stable")[:MOST_WORDS])
-    at = np.full(len(found), -1)
-    at[best] = np.arange(len(best))
-    x = np.zeros((len(label), len(best) + marks.shape[1] + 1))
-    hit = at[place] >= 0
-    x[row[hit], at[place][hit]] = 1.0
+    x = np.zeros((len(label), len(found) + marks.shape[1] + 1))
+    for i, at in enumerate(held):
+        x[i, at] = 1.0
     center = marks.mean(axis=0)
-    x[:, len(best) : -1] = (marks - center) * 4
+    x[:, len(found) : -1] = (marks - center) * 4
     x[:, -1] = 1.0
     w = np.zeros((x.shape[1], k))
     w[-1] = np.log(share + 1e-3)
@@ -127,20 +156,33 @@ def fit(texts: list[str | None], label: np.ndarray, k: int, steps: int = 400, ra
         new = v - scale * (x.T @ (p - y) / len(label) + shrink * v)
         v = new + t / (t + 3) * (new - w)
         w = new
-    w[len(best) : -1] *= 4
-    return Classifier(found[best], w, center)
+    w[len(found) : -1] *= 4
+    return Classifier(found, w, center)
 
 
-def learned(docs: DataFrame, labels: DataFrame) -> Classifier:
+def learned(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Classifier:
     """The classifier, fitted on the bounded sample of labelled documents."""
-    pair = labels.select(F.col("doc_id").alias("labelled"), "quality", "toxic").where("quality is not null and toxic is not null").distinct()
-    chosen = pair.orderBy(F.xxhash64("labelled"), "labelled", "quality", "toxic").limit(MOST_LABELLED)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).orderBy(F.xxhash64("doc_id"), "text").limit(MOST_LABELLED).toPandas()
-    kinds = {v: k for k, v in enumerate(DOMAINS.values())}
-    label = np.array([kinds.get((int(q), int(t)), 0) for q, t in zip(rows["quality"], rows["toxic"], strict=True)], dtype=int)
-    if not len(rows):
+    bounded_batches(docs.sparkSession)
+    domain = reduce(lambda e, kd: e.when((F.col("quality") == kd[1][0]) & (F.col("toxic") == kd[1][1]), kd[0]), enumerate(DOMAINS.values()), F)
+    pair = labels.select(F.col("doc_id").cast("long").alias("labelled"), domain.cast("int").alias("domain")).where("domain is not null and labelled is not null").distinct()
+    chosen = pair.orderBy(F.xxhash64("labelled"), "labelled", "domain").limit(most)
+    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).select("doc_id", "text", "domain")
+    found, share = chosen_words(labelled)
+    if not share.sum():
         return Classifier(np.zeros(0, np.uint64), np.vstack([np.zeros((4, len(DOMAINS))), [0.0, *[-60.0] * (len(DOMAINS) - 1)]]), np.zeros(4))
-    return fit(rows["text"].tolist(), label, len(DOMAINS))
+
+    @lean
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", 2 << 20):
+                row, word, marks, _ = features(batch.column("text"))
+                place = np.minimum(np.searchsorted(found, word), max(len(found) - 1, 0))
+                hit = found[place] == word if len(found) else np.zeros(len(word), bool)
+                at, to = place[hit].astype(np.int32), np.searchsorted(row[hit], np.arange(batch.num_rows + 1))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("domain"), pa.ListArray.from_arrays(pa.array(to.astype(np.int32)), pa.array(at)), pa.FixedSizeListArray.from_arrays(pa.array(marks.ravel()), 4).cast(pa.list_(pa.float64()))], names=["doc_id", "domain", "held", "marks"])
+
+    rows = labelled.mapInArrow(marked, "doc_id long, domain int, held array<int>, marks array<double>").orderBy(F.xxhash64("doc_id"), "doc_id", "domain", "marks", "held").limit(most).collect()
+    return fit([np.array(r["held"], dtype=int) for r in rows], np.array([r["marks"] for r in rows]), np.array([r["domain"] for r in rows]), found, len(DOMAINS))
 
 
 def memberships(docs: DataFrame, w: Classifier) -> DataFrame:
@@ -162,7 +204,7 @@ def memberships(docs: DataFrame, w: Classifier) -> DataFrame:
 class Rates:
     """Rates of documents as a function of their posteriors and of a multiplier for each domain."""
 
-    def __init__(self, targets: np.ndarray, total: float, keep_first: bool = True, ridge: float = RIDGE) -> None:
+    def __init__(self, targets: np.ndarray, total: float, keep_first: bool = False, ridge: float = RIDGE) -> None:
         """keep_first: a document whose likeliest domain is the first has a rate of 1 at least, so that none is lost."""
         self.keep_first, self.ridge = keep_first, ridge
         self.targets, self.total = targets, max(total, 1.0)
@@ -204,15 +246,37 @@ class Rates:
         return float(error[at]), -np.array([np.linalg.solve(curve + d * np.eye(k), slopes[at]) for d in DAMPINGS])
 
 
-def solved(members: DataFrame, targets: dict[str, float] | None = None, steps: int = STEPS) -> Rates:
-    """The rates of least squares: each step is one sum over all documents, for several dampings of the Newton step at once."""
+def sums_of(members: DataFrame) -> tuple[float, np.ndarray]:
+    """(tokens of all documents, K x K: expected tokens of each domain in documents likeliest of each; rows are the likeliest)."""
+    names = [f"p_{d}" for d in DOMAINS]
+    most = F.greatest(*names)
+    likeliest = reduce(lambda e, k: e.when(F.col(names[k]) == most, k), range(len(names)), F)
+    rows = members.withColumn("likeliest", likeliest).groupBy("likeliest").agg(F.sum("tokens").alias("n"), *(F.sum(F.col("tokens") * F.col(n)).alias(n) for n in names)).collect()
+    out = np.zeros((len(names), len(names)))
+    for r in rows:
+        if r["likeliest"] is not None:
+            out[r["likeliest"]] = [r[n] or 0.0 for n in names]
+    return float(sum(r["n"] or 0 for r in rows)), out
+
+
+def soft_targets(weights: np.ndarray, total: float, held: np.ndarray) -> np.ndarray:
+    """Expected tokens of each domain in a mix whose tokens are of documents likeliest of domain k by weights[k]."""
+    own = held.sum(axis=1)
+    some = (own > 0) & (weights > 0)
+    if not some.any():
+        return held.sum(axis=0)
+    share = np.where(some, weights, 0.0)
+    return total * (share / share.sum()) @ (held / np.maximum(own, 1e-300)[:, None])
+
+
+def solved(members: DataFrame, targets: dict[str, float] | None = None, keep_first: bool = False, steps: int = STEPS) -> Rates:
+    """The rates of least squares: each step is one sum over all documents, for several dampings of the step at once."""
     names = [f"p_{d}" for d in DOMAINS]
-    share = np.array([(targets or TARGETS)[d] for d in DOMAINS])
-    first = members.agg(F.sum("tokens").alias("n"), *(F.sum(F.col("tokens") * F.col(n)).alias(n) for n in names)).first()
-    total = float(first["n"] or 0)
-    shares = np.array([first[n] or 0.0 for n in names]) / max(total, 1.0)
-    smallest = min((s for s in (*shares, *share) if s > 0), default=1.0)
-    rates = Rates(share * total, total, ridge=max(LEAST_RIDGE, RIDGE * smallest))
+    total, held = sums_of(members)
+    wanted = soft_targets(np.array([(targets or TARGETS)[d] for d in DOMAINS]), total, held)
+    shares = np.concatenate([held.sum(axis=0), wanted]) / max(total, 1.0)
+    smallest = min((s for s in shares if s > 0), default=1.0)
+    rates = Rates(wanted, total, keep_first, ridge=max(LEAST_RIDGE, RIDGE * smallest))
     tried = np.zeros((1, len(names)))
     for _ in range(steps):
 
@@ -244,6 +308,14 @@ def repeats(rate: Column, *identity: Column) -> Column:
     return (F.floor(rate) + (chance < rate - F.floor(rate)).cast("long")).cast("long")
 
 
+def totals(rated_docs: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+    """(domain, target, expected): target and expected tokens of each domain under the rates of ``rated_docs``."""
+    total, held = sums_of(rated_docs)
+    wanted = soft_targets(np.array([(targets or TARGETS)[d] for d in DOMAINS]), total, held)
+    row = rated_docs.agg(*(F.sum(F.col("rate") * F.col("tokens") * F.col(f"p_{d}")).alias(d) for d in DOMAINS)).first()
+    return rated_docs.sparkSession.createDataFrame([(d, float(t), float(row[d] or 0.0)) for d, t in zip(DOMAINS, wanted, strict=True)], "domain string, target double, expected double")
+
+
 def rated(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """(doc_id, tokens, p_<domain>..., rate, copies) of each row of ``docs``."""
     members = saved(memberships(docs, learned(docs, labels)), "members")
@@ -258,10 +330,13 @@ def rated(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     return members.mapInPandas(rate, schema).withColumn("copies", repeats(F.col("rate"), F.col("doc_id")))
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """The rows of ``docs``, each as often as its rate says; scored where they are, so that texts are not shuffled."""
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, keep_first: bool = False) -> DataFrame:
+    """The rows of ``docs``, each as often as its rate says; scored where they are, so that texts are not shuffled.
+
+    keep_first: a document whose likeliest domain is the first is taken once at least.
+    """
     w = learned(docs, labels)
-    rates = solved(saved(memberships(docs, w), "members"), targets)
+    rates = solved(saved(memberships(docs, w), "members"), targets, keep_first)
     held = docs.sparkSession.sparkContext.broadcast(w)
     rate, copies, copy = (fresh(docs.columns, c) for c in ("_rate", "_copies", "_copy"))
 

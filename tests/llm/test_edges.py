@@ -220,18 +220,55 @@ def test_mixing(spark, docs, empty, labels, pairs):
     assert {round(r["rate"], 6) for r in mixing.rated(docs, labels.limit(0), {"good": 1.0, "poor": 0.0, "toxic": 0.0, "poor_toxic": 0.0}).collect()} == {1.0}
 
 
-def test_rates_meet_targets():
+def test_rates_meet_targets(spark):
     from tessera.llm import mixing
 
-    r = np.random.default_rng(0)
-    p = np.eye(4)[r.choice(4, 5000, p=[0.7, 0.2, 0.05, 0.05])] * 0.94 + 0.015
-    tokens = r.integers(50, 500, 5000)
-    target = np.array([0.9, 0.08, 0.01, 0.01]) * tokens.sum()
-    rates = mixing.Rates(target, float(tokens.sum()))
-    for _ in range(mixing.STEPS):
-        rates.residuals.append(((rates.of(p) * tokens) @ p - rates.targets) / rates.total)
-    before, after = np.abs(tokens @ p - target).sum(), np.abs((rates.of(p) * tokens) @ p - target).sum()
-    assert after < 0.25 * before and (rates.of(p)[p.argmax(axis=1) == 0] >= 1).all()
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = mixing.rated(table, spark.read.parquet("/root/testdata/sf0.001/labels.parquet")).persist()
+    out = mixing.totals(found).collect()
+    total = found.agg(F.sum("tokens")).first()[0]
+    assert all(abs(r["target"] - r["expected"]) <= 1e-4 * total for r in out)
+    rows_ = found.collect()
+    assert all(r["rate"] >= 0 for r in rows_) and min(r["rate"] for r in rows_ if r["p_good"] > 0.9) >= 1
+    assert max(r["rate"] for r in rows_ if max(r["p_toxic"], r["p_poor_toxic"]) > 0.8) < 0.1
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_rates_are_those_of_exact_least_squares(spark, seed):
+    """Against every choice of documents at rate 0, the rest solved without constraint."""
+    from itertools import product
+
+    from tessera.llm import mixing
+
+    r = np.random.default_rng(seed)
+    n, k = 8, len(mixing.DOMAINS)
+    p, t = r.dirichlet(np.full(k, 0.4), n), r.integers(5, 60, n).astype(float)
+    members = spark.createDataFrame([(i, int(t[i]), *map(float, p[i])) for i in range(n)], "doc_id long, tokens long, " + ", ".join(f"p_{d} double" for d in mixing.DOMAINS))
+    rates = mixing.solved(members, {"good": 0.7, "poor": 0.3, "toxic": 0.0, "poor_toxic": 0.0})
+    total, best = t.sum(), (np.inf, None)
+    for free in product([False, True], repeat=n):
+        on = np.flatnonzero(free)
+        a = np.vstack([(p[on] * t[on][:, None]).T / total, np.diag(np.sqrt(rates.ridge * t[on] / total))])
+        b = np.concatenate([rates.targets / total, np.sqrt(rates.ridge * t[on] / total)])
+        x = np.zeros(n)
+        x[on] = np.linalg.lstsq(a, b, rcond=None)[0]
+        if (x >= -1e-12).all():
+            value = (((x * t) @ p - rates.targets) ** 2).sum() / total**2 + rates.ridge * (t / total * (x - 1) ** 2).sum()
+            best = min(best, (value, tuple(x)))
+    assert np.allclose(rates.of(p), best[1], atol=1e-4)
+
+
+def test_mixing_of_ties_and_unknown_labels(spark):
+    from tessera.llm import mixing
+
+    made = spark.createDataFrame([(k, prose(k % 3, 30)) for k in range(12)], "doc_id long, text string")
+    odd = spark.createDataFrame([(1, 7, 0), (2, 0, 9), (3, None, None)], "doc_id long, quality int, toxic int")
+    assert {round(r["rate"], 6) for r in mixing.rated(made, odd).collect()} == {1.0}
+    same = mixing.rated(made, spark.createDataFrame([(0, 1, 0), (1, 0, 0), (3, 1, 0), (4, 0, 0)], "doc_id long, quality int, toxic int")).collect()
+    by_text = {}
+    for x in same:
+        by_text.setdefault(x["doc_id"] % 3, set()).add(round(x["rate"], 9))
+    assert all(len(v) == 1 for v in by_text.values())
 
 
 def test_pii(docs, empty, pairs):
