@@ -6,8 +6,12 @@ emails, phone numbers without a plus, identity numbers, account numbers, credent
 from its format and context, a calibrated threshold per kind decides, and of overlapping selections the most
 probable stays.
 
-The trees are fitted on generated candidates, seeded, on the driver (under a second), half of which calibrate the
-scores and pick each kind's threshold for a target precision. Nothing depends on the corpus.
+The trees are fitted on generated candidates, seeded, on the driver (a few seconds). Candidates of another generator, with
+other cues, contexts and look-alikes, calibrate them: a logistic curve of each kind turns scores into probabilities, and
+the kind's threshold is the probability half-way between the last candidate above it and the first below, at the lowest
+place where the target precision holds. Nothing depends on the corpus.
+
+Runs of credentials have no longest length, and every generator takes time linear in the text.
 
 Defined results: a null text is an empty one and has no spans; offsets count code points; rows with equal ids are
 rows of their own; an empty table gives an empty table; further columns are not looked at.
@@ -15,6 +19,7 @@ rows of their own; an empty table gives an empty table; further columns are not
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import random
@@ -44,20 +49,23 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PLUS = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-#: Generators of further candidates: (kind, pattern, a string that a text must hold for it to be worth a scan or None).
-#: Runs of credentials have no longest length: each starts at a boundary of its own, so a scan stays linear in the text.
+#: Generators of further candidates: (kind, pattern, strings of which a text must hold one for it to be worth a scan, or None).
+#: Each run starts at a boundary of its own, so a scan stays linear in the text.
 GENERATORS = (
-    ("email", re.compile(r"[A-Za-z0-9._%+-]{2,64}\s?(?:\(at\)|\[at\]|\{at\}|&#64;)\s?[A-Za-z0-9-]{2,63}\s?(?:\(dot\)|\[dot\]|\{dot\}|\.)\s?[A-Za-z]{2,12}\b", re.I), ("(at)", "[at]", "{at}", "&#64;")),
     ("phone", re.compile(r"(?<![\w+.-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)\x20?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-])"), None),
     ("id_number", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"), None),
     ("account", re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?!\w)"), None),
     ("credential", re.compile(r"(?<!\w)(?:AKIA|ASIA)[0-9A-Z]{16}(?!\w)"), ("AKIA", "ASIA")),
     ("credential", re.compile(r"(?<=[=:])\s{0,2}[\"']?([A-Za-z0-9_+/.-]{8,})[\"']?(?![\w])"), ("=", ":")),
     ("credential", re.compile(r"(?<!\w)[0-9a-f]{32,}(?!\w)"), None),
+    ("credential", re.compile(r"(?<![\w.-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*"), ("eyJ",)),
 )
+_AT = re.compile(r"\(at\)|\[at\]|\{at\}|&#64;", re.I)
+_AFTER = re.compile(r"\s?[A-Za-z0-9-]{2,}\s?(?:\(dot\)|\[dot\]|\{dot\}|\.)\s?[A-Za-z]{2,}\b", re.I)
+_PEM = "PRIVATE KEY-----"
 CUES = {
     "phone": ("phone", "tel", "call", "fax", "mobile", "cell", "sms"),
-    "id_number": ("ssn", "social", "security", "tax", "passport", "insurance"),
+    "id_number": ("ssn", "social", "sec", "security", "tax", "passport", "insurance"),
     "account": ("iban", "account", "bank", "transfer", "konto"),
     "credential": ("password", "passwd", "pwd", "token", "secret", "key", "apikey", "api_key", "credential", "auth"),
     "email": ("mail", "contact", "write", "reach"),
@@ -106,15 +114,41 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def obfuscated(text: str) -> list[tuple[str, int, int]]:
+    """Emails whose sign is spelled out: the run before the sign, the sign, a domain."""
+    found = []
+    for m in _AT.finditer(text):
+        end = m.start() - (m.start() > 0 and text[m.start() - 1].isspace())
+        start = end
+        while start > 0 and text[start - 1] in _LOCAL:
+            start -= 1
+        if end - start >= 2 and (after := _AFTER.match(text, m.end())):
+            found.append(("email", start, after.end()))
+    return found
+
+
+def key_blocks(text: str) -> list[tuple[str, int, int]]:
+    """Private keys from their first line to their last, or to the end of the text without one."""
+    found, at = [], text.find("-----BEGIN ")
+    while at >= 0:
+        head = text.find("-----", at + 11)
+        stop = at + 11
+        if head >= 0 and text[head - 11 : head + 5] == _PEM:
+            last = text.find("-----END ", head)
+            stop = len(text) if last < 0 else text.find("-----", last + 9)
+            stop = len(text) if stop < 0 else stop if last < 0 else stop + 5
+            found.append(("credential", at, stop))
+        at = text.find("-----BEGIN ", stop)
+    return found
+
+
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Spans that the generators propose; they may overlap one another."""
-    found = []
-    lower = text.lower() if "at" in text or "AT" in text else text
+    found = obfuscated(text) + (key_blocks(text) if _PEM in text else [])
     for kind, pattern, needs in GENERATORS:
-        if needs is None or any(n in (lower if kind == "email" else text) for n in needs):
-            for m in pattern.finditer(text):
-                k = 1 if pattern.groups and m.group(1) is not None else 0
-                found.append((kind, m.start(k), m.end(k)))
+        if needs is None or any(n in text for n in needs):
+            k = 1 if pattern.groups else 0
+            found += [(kind, m.start(k), m.end(k)) for m in pattern.finditer(text)]
     return found
 
 
@@ -131,7 +165,9 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     out += [float(any(c == w or (len(c) > 3 and c in w) for c in CUES[k] for w in near)) for k in ("phone", "id_number", "account", "credential", "email", "none")]
     flat = "".join(c for c in s if c.isdigit())
     out += [float(bool(re.search(r"[=:]\s*[\"']?\Z", before))), float(before[-1:] in "\"'"), float(after[:1] in "\"'"), float(len(flat)), float(bool(flat) and len(set(flat)) == 1), float(sum(c in " .-()" for c in s))]
-    out += [float("/" in s or "." in s), float(flat[:3] in ("000", "666") or flat[:1] == "9"), float(s.startswith(("AKIA", "ASIA")))]
+    # Letters of the last part, and signs in brackets without a space around them.
+    out += [float(n - 1 - max(s.rfind(c) for c in ".)]} ")), float(any(c in s for c in ("[", "{", "&#64;"))), float("(" in s and " (" not in s)]
+    out += [float("/" in s or "." in s), float(flat[:3] in ("000", "666") or flat[:1] == "9"), float(s.startswith(("AKIA", "ASIA", "eyJ", "-----BEGIN")))]
     return out
 
 
@@ -195,11 +231,11 @@ def generated(n: int, seed: int) -> list[tuple[str, str, int, int, int]]:
     path = lambda k, by: by.join(word() for _ in range(k))
     signed = lambda: f"eyJ{mixed(r.randint(15, 40))}.eyJ{mixed(r.randint(40, 500))}.{mixed(43)}"
     good = {
-        "email": lambda: (r.choice(["", "mail ", "contact "]), f"{word()}.{digit(2)}{r.choice(['(at)', ' [at] ', '&#64;'])}{word()}{r.choice(['.', ' (dot) '])}{r.choice(['com', 'org', 'net'])}", ""),
+        "email": lambda: (r.choice(["", "mail ", "contact "]), f"{word()}{r.choice(['.' + digit(2), '_' + word(), '.' + word(), digit(1)])}{r.choice(['(at)', ' (at) ', '[at]', ' [at] ', '{at}', '&#64;'])}{word()}{r.choice(['.', ' (dot) ', '[dot]'])}{r.choice(['com', 'org', 'net', 'de', 'gov', 'name'])}", ""),
         "phone": lambda: (r.choice(["call ", "tel ", "phone ", "fax ", ""]), r.choice([f"({digit(3)}) {digit(3)}-{digit(4)}", f"{digit(3)}-{digit(3)}-{digit(4)}", f"{digit(3)} {digit(3)} {digit(4)}"]), ""),
-        "id_number": lambda: (r.choice(["ssn ", "social security ", "tax number ", "passport "]), f"{r.randint(100, 665)}-{digit(2)}-{digit(4)}", ""),
+        "id_number": lambda: (r.choice(["ssn ", "ssn: ", "social security ", "social security no ", "tax number ", "tax ", "passport ", "insurance "]), f"{r.randint(100, 665)}-{digit(2)}-{digit(4)}", ""),
         "account": lambda: (r.choice(["iban ", "account ", "bank transfer ", ""]), f"{r.choice(['DE', 'FR', 'ES', 'GB'])}{digit(2)} " + " ".join(digit(4) for _ in range(r.randint(4, 5))), ""),
-        "credential": lambda: r.choice([("password=", hexa(18), ""), ('token = "', hexa(40), '"'), ("", "AKIA" + caps(16), ""), ("secret: ", caps(24), ""), ("api_key=", hexa(32), ""), ("password=", caps(10).lower(), ""), ('secret = "', hexa(r.randint(65, 400)), '"'), (r.choice(["api_key=", "key: "]), mixed(r.randint(40, 400)), ""), (r.choice(["token=", "auth: "]), signed(), "")]),
+        "credential": lambda: r.choice([("password=", hexa(18), ""), ('token = "', hexa(40), '"'), ("", r.choice(["AKIA", "ASIA"]) + r.choice([caps(16), "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(16))]), ""), ("pwd: ", mixed(r.randint(9, 20)), ""), ("secret: ", caps(24), ""), ("api_key=", hexa(32), ""), ("password=", caps(10).lower(), ""), ('secret = "', hexa(r.randint(65, 400)), '"'), (r.choice(["api_key=", "key: "]), mixed(r.randint(40, 400)), ""), (r.choice(["token=", "auth: "]), signed(), "")]),
     }
     bad = {
         "email": lambda: ("", f"{word()} (at) {word()}.{word()[:6]}", ""),
@@ -219,38 +255,119 @@ def generated(n: int, seed: int) -> list[tuple[str, str, int, int, int]]:
     return out
 
 
+def held_out_candidates(n: int, seed: int) -> list[tuple[str, str, int, int, int]]:
+    """As ``generated``, by other rules: sentences, settings and tables with other cues, words and look-alikes."""
+    r = random.Random(seed)
+    pick = lambda letters, k: "".join(r.choice(letters) for _ in range(k))
+    digits, low, upper = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    name = lambda: pick(low, r.randint(3, 10)).capitalize()
+    filler = lambda: " ".join(pick("aeioulnrst", r.randint(1, 8)) for _ in range(r.randint(0, 9)))
+    out = []
+    while len(out) < n:
+        kind, label = r.choice(("email", "phone", "id_number", "account", "credential")), int(r.random() < 0.5)
+        if kind == "email":
+            span = f"{pick(low, 5)}_{pick(low, 4)}{r.choice([' (AT) ', '{at}', '[at]'])}{pick(low, 7)}{r.choice([' [dot] ', '.', '{dot}'])}{r.choice(['co', 'info', 'edu', 'io'])}" if label else f"{name()} (at) {pick(low, r.randint(7, 11))}.{pick(low, r.randint(6, 9))}"
+            cue, tail = r.choice(["e-mail: ", "", "reach me, "]) if label else r.choice(["meeting ", "", "we were "]), " "
+        elif kind == "phone":
+            a, b, c = pick(digits, 3), pick(digits, 3), pick(digits, 4)
+            span = r.choice([f"({a}){b}-{c}", f"{a}-{b}-{c}", f"+1 {a}-{b}-{c}"]) if label else f"{a}.{b}.{c}"
+            cue, tail = r.choice(["mobile: ", "sms to ", "", f"{name()}, "]) if label else r.choice(["figure ", "isbn ", "version ", "part no "]), "."
+        elif kind == "id_number":
+            span = f"{r.randint(101, 599)}-{pick(digits, 2)}-{pick(digits, 4)}" if label else f"{r.choice(['000', '666', '9' + pick(digits, 2)])}-{pick(digits, 2)}-{pick(digits, 4)}"
+            cue, tail = r.choice(["SSN: ", "insurance no ", "social sec. ", "tax id "]) if label else r.choice(["page ", "serial ", "order no ", "item "]), ","
+        elif kind == "account":
+            body = " ".join(pick(digits, 4) for _ in range(r.randint(4, 5)))
+            span = f"{r.choice(['NL', 'IT', 'CH', 'AT'])}{pick(digits, 2)} {body}" if label else f"{pick(upper, 2)}{pick(digits, 2)} " + " ".join(pick(upper + digits, 4) for _ in range(3))
+            cue, tail = r.choice(["IBAN: ", "konto ", "pay to ", "transfer "]) if label else r.choice(["serial ", "build ", "part ", "item "]), ";"
+        elif label:
+            cue, span, tail = r.choice([("passwd=", pick(low + digits, 14), ""), ('"token": "', pick("0123456789abcdef", r.choice([32, 48, 300])), '"'), ("key=", pick(low + upper + digits, r.choice([24, 90, 260])), ""), ("", "ASIA" + pick(upper + digits, 16), ""), ("auth: ", f"eyJ{pick(low + upper, 18)}.eyJ{pick(low + upper + digits, r.randint(60, 400))}.{pick(low + upper + digits, 40)}", "")])
+        else:
+            cue, span, tail = r.choice([("Title: ", pick(low, r.randint(8, 14)), ""), ("url=", f"//{pick(low, 8)}.{pick(low, 3)}/{pick(low, 6)}/{pick(low, 9)}", ""), ("revision: ", pick("0123456789abcdef", 40), ""), ("sha: ", pick("0123456789abcdef", 64), ""), ("name='", pick(low, 6) + "_" + pick(low, 6), "'"), ("id: ", pick(digits, 9), ""), ("ratio: ", pick(digits, 2) + "." + pick(digits, 6), "")])
+        text = f"{filler()} {cue}"
+        out.append((f"{text}{span}{tail} {filler()}", kind, len(text), len(text) + len(span), label))
+    return out
+
+
+def logistic(score: np.ndarray, truth: np.ndarray, steps: int = 100) -> tuple[float, float]:
+    """(slope, offset) of the logistic curve from scores to probabilities, by Newton steps halved until they descend; truths
+    are smoothed so that none is certain."""
+    n1, n0 = truth.sum(), len(truth) - truth.sum()
+    y = np.where(truth > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    x, w = np.stack([score, np.ones(len(score))], axis=1), np.zeros(2)
+    loss = lambda w: float((np.logaddexp(0, x @ w) - y * (x @ w)).sum())
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        move = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (p - y))
+        while loss(w - move) > loss(w) and np.abs(move).max() > 1e-9:
+            move = move / 2
+        w = w - move
+        if np.abs(move).max() < 1e-9:
+            break
+    return float(w[0]), float(w[1])
+
+
+class Model:
+    """Trees, and for each kind a curve from scores to probabilities and a threshold."""
+
+    def __init__(self, trees: Trees, curves: dict[str, tuple[float, float]], limits: dict[str, float]) -> None:
+        self.trees, self.curves, self.limits = trees, curves, limits
+
+    def probabilities(self, texts: list[str], found: list[tuple[str, int, int]]) -> np.ndarray:
+        score = self.trees.score(np.array([features(t, *c) for t, c in zip(texts, found, strict=True)]))
+        slope, offset = (np.array([self.curves[k][i] for k, _, _ in found]) for i in (0, 1))
+        return 1 / (1 + np.exp(-np.clip(slope * score + offset, -30, 30)))
+
+
 @lru_cache(maxsize=1)
-def model(n: int = 3000, seed: int = 7) -> tuple[Trees, dict[str, float]]:
-    """(trees, threshold of each kind on their raw score), fitted and calibrated on generated candidates."""
-    made = generated(n, seed)
-    x = np.array([features(t, k, a, b) for t, k, a, b, _ in made])
-    y = np.array([m[4] for m in made], dtype=float)
-    half = n // 2
-    trees = Trees().fit(x[:half], y[:half])
-    score, truth, kinds = trees.score(x[half:]), y[half:], [m[1] for m in made[half:]]
-    limits = {}
-    for kind in set(kinds):
-        own = np.array([k == kind for k in kinds])
-        order = np.argsort(-score[own])
-        precision = np.cumsum(truth[own][order]) / np.arange(1, own.sum() + 1)
-        enough = np.flatnonzero(precision >= TARGET_PRECISION)
-        limits[kind] = max(0.0, float(score[own][order][enough[-1]])) if len(enough) else math.inf
-    return trees, limits
-
-
-def selected(text: str, base: list[tuple[str, int, int]], trees: Trees, limits: dict[str, float]) -> list[tuple[str, int, int]]:
+def model(n: int = 3000, seed: int = 7) -> Model:
+    """Trees of generated candidates, calibrated on those of the other generator."""
+    made, held = generated(n, seed), held_out_candidates(n, seed + 1)
+    numbers = lambda rows: np.array([features(t, k, a, b) for t, k, a, b, _ in rows])
+    trees = Trees().fit(numbers(made), np.array([m[4] for m in made], dtype=float))
+    score, truth, kinds = trees.score(numbers(held)), np.array([m[4] for m in held], dtype=float), np.array([m[1] for m in held])
+    curves, limits = {}, {}
+    for kind in sorted(set(kinds.tolist())):
+        own = kinds == kind
+        slope, offset = curves[kind] = logistic(score[own], truth[own])
+        p = 1 / (1 + np.exp(-np.clip(slope * score[own] + offset, -30, 30)))
+        order = np.argsort(-p, kind="stable")
+        p, right = p[order], np.cumsum(truth[own][order]) / np.arange(1, own.sum() + 1)
+        # A cut never parts equal probabilities.
+        enough = [i for i in np.flatnonzero(right >= TARGET_PRECISION).tolist() if i + 1 == len(p) or p[i + 1] < p[i]]
+        limits[kind] = math.inf if not enough else float((p[enough[-1]] + (p[enough[-1] + 1] if enough[-1] + 1 < len(p) else 0.0)) / 2)
+    return Model(trees, curves, limits)
+
+
+class Taken:
+    """Disjoint runs of places that are spoken for."""
+
+    def __init__(self, spans: list[tuple[int, int]]) -> None:
+        self.starts, self.ends = [], []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def take(self, a: int, b: int) -> bool:
+        """Whether a run is free; it is taken then."""
+        at = bisect.bisect_right(self.starts, a)
+        if (at and self.ends[at - 1] > a) or (at < len(self.starts) and self.starts[at] < b):
+            return False
+        self.starts.insert(at, a)
+        self.ends.insert(at, b)
+        return True
+
+
+def selected(text: str, base: list[tuple[str, int, int]], how: Model) -> list[tuple[str, int, int]]:
     """Candidates that the trees select: none overlaps a base span or a more probable one."""
     found = candidates(text)
     if not found:
         return []
-    score = trees.score(np.array([features(text, *c) for c in found]))
-    taken, out = [(a, b) for _, a, b in base], []
-    for k in sorted(range(len(found)), key=lambda k: (-score[k], found[k][1], found[k][2])):
-        kind, a, b = found[k]
-        if score[k] >= limits.get(kind, math.inf) and all(b <= c or d <= a for c, d in taken):
-            taken.append((a, b))
-            out.append(found[k])
-    return out
+    p, taken = how.probabilities([text] * len(found), found), Taken([(a, b) for _, a, b in base])
+    ranked = sorted(range(len(found)), key=lambda k: (-p[k], found[k][1], found[k][2], found[k][0]))
+    return [found[k] for k in ranked if p[k] >= how.limits[found[k][0]] and taken.take(found[k][1], found[k][2])]
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
@@ -268,35 +385,31 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-_ANY = re.compile(r"[0-9@=:{\[(]")
-
-
 def found(docs: DataFrame, text: str = "text", redacted: bool = False) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (and the redacted text if asked for)."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans (and the redacted text if asked for)."""
     bounded_batches(docs.sparkSession)
-    trees, limits = model()
+    how = model()
     nothing = hashlib.sha256(b"").hexdigest()
 
     @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                out = {k: [] for k in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "redacted")}
+                out = {k: [] for k in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans", "redacted")}
                 for t in batch.column("text").to_pylist():
                     t = t or ""
-                    base, more = [], []
-                    if _ANY.search(t):
-                        base = base_spans(t)
-                        more = selected(t, base, trees, limits)
+                    base = base_spans(t)
+                    more = selected(t, base, how)
                     kinds = Counter(k for k, _, _ in base)
                     for k in BASE:
                         out[f"n_{k}"].append(kinds[k])
                     out["base_sha256"].append(hashlib.sha256(joined(base).encode()).hexdigest() if base else nothing)
                     out["spans"].append(joined(base + more))
+                    out["n_spans"].append(len(base) + len(more))
                     out["redacted"].append(redact(t, base + more) if redacted else None)
-                columns = [batch.column("doc_id")] + [pa.array(out[f"n_{k}"], pa.int64()) for k in BASE] + [pa.array(out[c], pa.string()) for c in ("base_sha256", "spans", "redacted")]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "redacted"])
+                columns = [batch.column("doc_id")] + [pa.array(out[f"n_{k}"], pa.int64()) for k in BASE] + [pa.array(out[c], pa.int64() if c == "n_spans" else pa.string()) for c in ("base_sha256", "spans", "n_spans", "redacted")]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *out])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    out = rows.mapInArrow(scan, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string")
+    out = rows.mapInArrow(scan, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, redacted string")
     return out if redacted else out.drop("redacted")

@@ -4,9 +4,10 @@ Rows with equal texts are one group and never part. Groups are ordered by a 128-
 shards are consecutive runs of that order, and the largest shard is as small as any such cut allows: the
 smallest feasible capacity is found by binary search, each capacity being checked greedily.
 
-No group list reaches the driver. It gets the sums of at most ``BLOCKS`` runs of groups, finds from them the
-interval of capacities that could be the answer, and fetches the groups of just the runs in which a cut could
-then fall. Cuts are keys, so rows find their shard by comparing hashes, without a join.
+No group list reaches the driver. It gets the sums of at most 16**``DIGITS`` runs of groups, finds from them the
+interval of capacities that could be the answer, and looks closer at just the runs in which a cut could then fall: runs of
+few groups are fetched, larger ones are summed again by further digits, and only the finer run in which the cut falls is
+looked into. Cuts are keys, so rows find their shard by comparing hashes, without a join.
 
 Defined results: a null text counts as an empty one (size 1, crc of no bytes); rows with equal ids are rows
 of their own; with fewer groups than shards the last shards stay empty; an empty table gives an empty table;
@@ -18,6 +19,7 @@ from __future__ import annotations
 import bisect
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,9 @@ from pyspark.sql import functions as F
 from tessera.llm.lean import lean
 from tessera.llm.store import saved
 
-#: Runs of groups whose sums the driver holds at most.
-BLOCKS = 1 << 16
+#: Hexadecimal digits of a key that name a block: the driver holds the sums of 16**DIGITS blocks at most, and fetches at most
+#: MOST_FETCHED groups of a block at once; larger blocks are summed by further digits first.
+DIGITS, MOST_FETCHED = 4, 1 << 16
 
 
 def greedy_cuts(sizes: list[int], capacity: int, shards: int) -> list[int] | None:
@@ -53,11 +56,37 @@ def smallest_capacity(sizes: list[int], shards: int) -> int:
     return lo
 
 
+class Block:
+    """The groups of a block in order: a list where they are few, else finer blocks that are looked into when a cut falls there."""
+
+    def __init__(self, parts: list[tuple[int, str, object]]) -> None:
+        """parts: (sum, least key, None for a group or a function that gives the finer block)."""
+        self.parts = parts
+        self.ends = np.cumsum([p[0] for p in parts]).tolist()
+
+    def cut(self, room: int) -> tuple[int, str]:
+        """(sum of the longest run from the first group with sum <= room, key of the group after it); the block's sum is larger."""
+        at = bisect.bisect_right(self.ends, room)
+        before, (_, key, finer) = self.ends[at - 1] if at else 0, self.parts[at]
+        if finer is None:
+            return before, key
+        more, key = finer().cut(room - before)
+        return before + more, key
+
+
+def refined(prefix: str, number: int, summed, listed, most: int = MOST_FETCHED) -> Block:
+    """The block of the keys that begin with ``prefix``: ``summed(prefixes, digits)`` sums finer ones, ``listed(prefix)`` fetches groups."""
+    if number <= most or len(prefix) >= 32:
+        return Block([(size, key, None) for key, size in sorted(listed(prefix))])
+    finer = summed([prefix], min(DIGITS, 32 - len(prefix)))
+    return Block([(s, key, lru_cache(maxsize=1)(lambda p=p, n=n: refined(p, n, summed, listed, most))) for p, (s, _, n, key) in sorted(finer.items())])
+
+
 class Sums:
-    """Group sizes by block, fetched only where a cut could fall."""
+    """Group sizes by block, looked into only where a cut could fall."""
 
     def __init__(self, blocks: list[tuple[int, int]], fetch) -> None:
-        """blocks: (sum, largest group) by number; fetch(numbers) gives {number: [(key, size), ...] in order}."""
+        """blocks: (sum, largest group) by number; fetch(numbers) gives {number: ``Block``}."""
         self.ends = np.cumsum([s for s, _ in blocks]).tolist()
         self.largest = max((m for _, m in blocks), default=0)
         self.fetch, self.known = fetch, {}
@@ -70,11 +99,8 @@ class Sums:
         if b not in self.known:
             self.known |= self.fetch([b])
         at = self.ends[b - 1] if b else 0
-        for key, size in self.known[b]:
-            if at + size > target:
-                return at, key
-            at += size
-        raise AssertionError("a block's sum differs from that of its groups")
+        more, key = self.known[b].cut(target - at)
+        return at + more, key
 
     def fill(self, capacity: int, shards: int) -> list[str | None] | None:
         """First keys of shards 1, 2, ...; None if the groups do not fit."""
@@ -121,27 +147,26 @@ def _rows(docs: DataFrame, text: str) -> DataFrame:
     return docs.select("doc_id", (F.octet_length(value) + 1).cast("long").alias("size"), F.crc32(value.cast("binary")).alias("text_crc32"), F.md5(value.cast("binary")).alias("key"))
 
 
-def _partition_sums(ordered: DataFrame) -> list[tuple[int, int]]:
-    """(partition number, rows) of a table with a column ``part``."""
-    return [(r["part"], r["n"]) for r in ordered.groupBy("part").agg(F.count("*").alias("n")).collect()]
-
-
 def sharded(docs: DataFrame, shards: int = 8, text: str = "text") -> DataFrame:
     """Put every row into a shard: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     spark = docs.sparkSession
     ordered = saved(_rows(docs, text).repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id").withColumn("part", F.spark_partition_id()), "rows")
-    width = F.lit(16**8 // BLOCKS)
-    block = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") / width).cast("int")
-    groups = saved(ordered.groupBy("key").agg(F.sum("size").alias("size")).withColumn("block", block), "groups")
-    sums = {r["block"]: (r["s"], r["m"]) for r in groups.groupBy("block").agg(F.sum("size").alias("s"), F.max("size").alias("m")).collect()}
+    groups = saved(ordered.groupBy("key").agg(F.sum("size").alias("size")), "groups")
+
+    def summed(prefixes: list[str], digits: int) -> dict[str, tuple[int, int, int, str]]:
+        """(sum, largest, number, least key) of the groups whose keys begin with the prefixes, by ``digits`` more digits."""
+        some = groups.where(F.substring("key", 1, len(prefixes[0])).isin(prefixes)) if prefixes != [""] else groups
+        block = F.substring("key", 1, len(prefixes[0]) + digits).alias("block")
+        rows = some.groupBy(block).agg(F.sum("size").alias("s"), F.max("size").alias("m"), F.count("*").alias("n"), F.min("key").alias("key")).collect()
+        return {r["block"]: (r["s"], r["m"], r["n"], r["key"]) for r in rows}
+
+    found = summed([""], DIGITS)
+    blocks = sorted(found)
 
     def fetch(numbers: list[int]) -> dict[int, list[tuple[str, int]]]:
-        found = {n: [] for n in numbers}
-        for r in groups.where(F.col("block").isin([int(n) for n in numbers])).collect():
-            found[r["block"]].append((r["key"], r["size"]))
-        return {n: sorted(x) for n, x in found.items()}
+        return {n: refined(blocks[n], found[blocks[n]][2], summed, lambda p: [(r["key"], r["size"]) for r in groups.where(F.col("key").startswith(p)).collect()]) for n in numbers}
 
-    _, cuts = Sums([sums.get(b, (0, 0)) for b in range(BLOCKS)], fetch).solve(shards)
+    _, cuts = Sums([found[b][:2] for b in blocks], fetch).solve(shards)
     shard = F.lit(0)
     for key in cuts:
         if key is not None:
@@ -179,3 +204,24 @@ def _by_part(placed: DataFrame) -> DataFrame:
 def text_crc(text: str | None) -> int:
     """text_crc32 as brute force has it."""
     return zlib.crc32((text or "").encode())
+
+
+#: The same cut in SQL: the smallest capacity by binary search over prefix sums of groups, each capacity filled greedily.
+ORACLE = """
+with recursive r as (select doc_id, cast(octet_length(encode(coalesce(text, ''))) + 1 as bigint) as size, md5(coalesce(text, '')) as key from documents),
+g as (select key, sum(size) as size from r group by key),
+e as (select key, size, sum(size) over (order by key) as upto from g),
+o as (select list(upto order by key) as ends, list(key order by key) as keys, max(size) as largest, max(upto) as total from e),
+-- One row a step: a search interval, the capacity tried, and how far its greedy fill has come.
+f(lo, hi, cap, at, n, cuts, step) as (
+    select cast(greatest(largest, ceil(total / 8)) as bigint), cast(total as bigint), cast((greatest(largest, ceil(total / 8)) + total)::bigint // 2 as bigint), cast(0 as bigint), 0, cast([] as varchar[]), 0 from o
+    union all
+    select case when done and not fits then cap + 1 else lo end, case when done and fits then cap else hi end,
+        case when not done then cap when fits then (lo + cap) // 2 else (cap + 1 + hi) // 2 end,
+        case when done then 0 else next end, case when done then 0 else n + 1 end, case when done then [] else cuts || coalesce(keys[next_at + 1], '~') end, step + 1
+    from (select f.*, keys, next_at, case when next_at = 0 then 0 else ends[next_at] end as next, at >= total or n = 8 as done, at >= total as fits
+        from f, o, lateral (select len(list_filter(ends, x -> x <= f.at + f.cap)) as next_at)) where not (lo = hi and done)),
+c as (select cuts from f, o where lo = hi and cap = lo and at >= total limit 1),
+p as (select r.*, cast((select len(list_filter(cuts, k -> k <= r.key)) from c) as int) as shard from r)
+select doc_id, size, 'bytes' as law, shard, cast(row_number() over (partition by shard order by key, doc_id) - 1 as bigint) as slot, cast(null as int) as grown_shard from p
+"""
