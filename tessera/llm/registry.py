@@ -54,4 +54,4 @@ def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op9_lm_scores": op9_lm_scores, "op2_licenses": op2_licenses, "op3_mixing": op3_mixing, "op6_decontaminate": op6_decontaminate, "op5_ngram_join": op5_ngram_join, "op7_pii": op7_pii, "op8_warc": op8_warc, "op1_token_files": op1_token_files, "op4_shards": op4_shards, "op10_quality_rules": op10_quality_rules}
 
-ORACLES: dict[str, str] = {"op6_decontaminate": decontaminate.ORACLE, "op5_ngram_join": ngram_join.ORACLE, "op8_warc": warc.ORACLE, "op10_quality_rules": quality.ORACLE}
+ORACLES: dict[str, str] = {"op6_decontaminate": decontaminate.ORACLE, "op5_ngram_join": ngram_join.ORACLE, "op4_shards": shards.ORACLE, "op8_warc": warc.ORACLE, "op10_quality_rules": quality.ORACLE}

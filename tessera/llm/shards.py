@@ -213,15 +213,19 @@ g as (select key, sum(size) as size from r group by key),
 e as (select key, size, sum(size) over (order by key) as upto from g),
 o as (select list(upto order by key) as ends, list(key order by key) as keys, max(size) as largest, max(upto) as total from e),
 -- One row a step: a search interval, the capacity tried, and how far its greedy fill has come.
-f(lo, hi, cap, at, n, cuts, step) as (
+f(lo, hi, cap, pos, n, cuts, step) as (
     select cast(greatest(largest, ceil(total / 8)) as bigint), cast(total as bigint), cast((greatest(largest, ceil(total / 8)) + total)::bigint // 2 as bigint), cast(0 as bigint), 0, cast([] as varchar[]), 0 from o
     union all
     select case when done and not fits then cap + 1 else lo end, case when done and fits then cap else hi end,
         case when not done then cap when fits then (lo + cap) // 2 else (cap + 1 + hi) // 2 end,
-        case when done then 0 else next end, case when done then 0 else n + 1 end, case when done then [] else cuts || coalesce(keys[next_at + 1], '~') end, step + 1
-    from (select f.*, keys, next_at, case when next_at = 0 then 0 else ends[next_at] end as next, at >= total or n = 8 as done, at >= total as fits
-        from f, o, lateral (select len(list_filter(ends, x -> x <= f.at + f.cap)) as next_at)) where not (lo = hi and done)),
-c as (select cuts from f, o where lo = hi and cap = lo and at >= total limit 1),
-p as (select r.*, cast((select len(list_filter(cuts, k -> k <= r.key)) from c) as int) as shard from r)
-select doc_id, size, 'bytes' as law, shard, cast(row_number() over (partition by shard order by key, doc_id) - 1 as bigint) as slot, cast(null as int) as grown_shard from p
+        case when done then 0 else next end, case when done then 0 else n + 1 end, case when done then [] else list_append(cuts, coalesce(keys[next_at + 1], '~')) end, step + 1
+    from (select f.*, keys, next_at, case when next_at = 0 then 0 else ends[next_at] end as next, pos >= total or n = 8 as done, pos >= total as fits
+        from f, o, lateral (select len(list_filter(ends, lambda x: x <= f.pos + f.cap)) as next_at)) where not (lo = hi and done)),
+c as (select cuts from f, o where lo = hi and cap = lo and pos >= total limit 1),
+-- The crc of each distinct text, byte by byte.
+t as (select list(c order by n) as t from (select n, list_reduce(range(0, 8), lambda a, k: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end, n) as c from (select unnest(range(0, 256)) as n))),
+x as (select key, hex(encode(any_value(text))) as h from (select coalesce(text, '') as text, md5(coalesce(text, '')) as key from documents) group by key),
+y as (select key, xor(list_reduce(list_transform(range(0, len(h) // 2), lambda i: cast('0x' || h[2 * i + 1:2 * i + 2] as bigint)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295), 4294967295) as text_crc32 from x, t),
+p as (select r.*, cast((select len(list_filter(cuts, lambda k: k <= r.key)) from c) as int) as shard from r)
+select doc_id, size, text_crc32, 'bytes' as law, shard, cast(row_number() over (partition by shard order by key, doc_id) - 1 as bigint) as slot, cast(null as int) as grown_shard from p join y using (key)
 """
