@@ -480,16 +480,47 @@ def test_language_model(docs, empty, pairs):
     assert maxent.scored(empty).count() == 0
 
 
-def test_language_model_is_a_distribution_and_learns(spark):
+def test_language_model_learns_and_no_layout_matters(spark, monkeypatch):
     from tessera.llm import maxent
     from tests.conftest import SMALL
 
-    table = spark.read.parquet(f"{SMALL}/documents.parquet")
-    out = maxent.scored(table).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
-    assert out[0] > out[1]
+    table = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    one, many = ({r["doc_id"]: r for r in maxent.scored(table.repartition(n)).collect()} for n in (1, 16))
+    held = [r for r in one.values() if r["held_out"]]
+    # An unknown word counts as one outcome here, as in the base, which spells none out.
     _, _, model = maxent.learned(table)
-    total = np.exp(model.bias_f).sum(), (np.exp(model.bias_g) * np.exp(model.bias_f)[:, None]).sum()
-    assert np.allclose(total, 1, atol=1e-5)
+    assert sum(r["known_score"] + (r["n_tokens"] - r["n_known"]) * np.log10(model.unknown) for r in held) > sum(r["base_score"] for r in held)
+    monkeypatch.setattr(maxent, "RATE", 0.0)
+    plain = maxent.scored(table).where("held_out").agg(F.sum("known_score")).first()[0]
+    assert sum(r["known_score"] for r in held) > plain + 0.02 * sum(r["n_known"] for r in held)
+    assert set(one) == set(many) and all(abs(one[d]["score"] - many[d]["score"]) <= 1e-9 * abs(one[d]["score"]) for d in one)
+
+
+def test_language_model_is_a_distribution_that_the_history_moves(spark):
+    """Over every known word after several histories: probabilities sum to one, and depend on the words before."""
+    from tessera.llm import maxent
+
+    r = random.Random(2)
+    pairs_ = [("red", "fox"), ("blue", "sky"), ("old", "man"), ("new", "car")]
+    made = [(k, " ".join(w for _ in range(30) for w in r.choice(pairs_))) for k in range(300)]
+    _, _, model = maxent.learned(spark.createDataFrame(made, "doc_id long, text string"))
+    import pyarrow as pa
+
+    names = [w for p in pairs_ for w in p]
+    train = [t.split() for d, t in made if not maxent.held_out(d)]
+    value = np.append(maxent._ids(pa.array(names)), maxent.END)
+    count = np.array([sum(t.count(w) for t in train) for w in names] + [len(train)])
+    order_ = np.argsort(value)
+    at = {w: int(np.flatnonzero(order_ == k)[0]) for k, w in enumerate([*names, "end"])}
+    after = {}
+    for history in ([], ["red"], ["blue"], ["sky", "old"], ["car", "new", "red"]):
+        probabilities = []
+        for w in [*names, "end"]:
+            tokens = np.array([at[x] for x in [*history, w]], np.uint32)
+            probabilities.append(10 ** maxent.token_scores(model, value[order_], count[order_], np.full(9, 3), tokens, np.array([len(tokens)]))[-1])
+        assert abs(sum(probabilities) - (1 - model.unknown)) < 1e-5
+        after[" ".join(history)] = dict(zip([*names, "end"], probabilities, strict=True))
+    assert after["red"]["fox"] > 3 * after["red"]["sky"] and after["blue"]["sky"] > 3 * after["blue"]["fox"]
 
 
 def test_pipeline(spark, tmp_path, docs, empty, labels, benchmark):
