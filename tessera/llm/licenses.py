@@ -1,15 +1,18 @@
 """Licence scans by a trained paragraph classifier (DataFrame functions only).
 
-Scored are every line of every text and, within runs of lines that are not blank, overlapping windows over neighbouring
-lines and inside long ones: runs of ``WINDOWS`` pieces, a piece being at most ``PIECE`` words of a line. Of overlapping
-notices the best stays, those of a known family first; its place is the line where it starts. A sparse logistic regression on hashed word n-grams (one and two words) scores
-each for being a licence notice; those that pass are scored by one regression a family, whose calibrated probabilities
-name the family or the unknown class. A prediction stands only if the paragraph also shares enough words with one of the
-family's templates; a notice that no family explains stays as ``unknown`` if it is a whole line or shares enough words with an unnamed notice.
-
-The regressions are fitted by gradient steps, each one aggregation over the training paragraphs: variants of the templates
-below, and at most ``MOST_BACKGROUND`` lines, without any but the commonest words of a template, of about ``BACKGROUND_DOCS``
-documents that a hash of their ids picks. Weights are arrays of ``DIMENSIONS`` numbers a class, a bound that does not grow with the corpus.
+A paragraph is a run of lines with a letter or digit, its lines stripped of comment marks. Paragraphs that hold a cue
+(``CUES``: every template and every unnamed notice holds one) are read as candidates: each of their lines with a cue, the
+whole paragraph, and of long lines and paragraphs windows of ``WINDOWS`` words, half a window apart. A sparse logistic
+regression on hashed word n-grams (one and two words) scores each candidate for being a licence notice, and one regression
+a family names it; calibrated probabilities decide. A family stands only if the candidate also shares enough words with one
+of its templates. A notice that no family explains is of the ``unknown`` class if it shares enough words with some notice.
+A paragraph has the families of its lines, or else that of its best candidate.
+
+The regressions are fitted on the driver from a bounded table of n-grams: variants of the templates below, sentences that
+hold cues but are no notices, and at most ``MOST_BACKGROUND`` lines of about ``BACKGROUND_DOCS`` documents that a hash of
+their ids picks, without those that hold a cue. Other frames and other sentences, unseen by the fit, calibrate each
+regression by a logistic curve. Weights are a table of the n-grams of notices and sentences, a bound that does not grow
+with the corpus; it is broadcast to the n-grams of the candidates, which only paragraphs with cues have.
 
 Defined results: a null text has no paragraphs; a document without notices has family null and 0 notices; of several
 families the one with the most notices is named, then the first by name; rows with equal doc_ids are judged together; an
@@ -19,11 +22,13 @@ empty table gives an empty table; further columns are not looked at.
 from __future__ import annotations
 
 import json
-import math
 
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.calibration import logistic
 from tessera.llm.store import bounded_batches, saved
 
 #: Notices of the licence families.
@@ -31,16 +36,19 @@ TEMPLATES = {
     "apache-2.0": (
         "Licensed under the Apache License, Version 2.0",
         "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND",
         "SPDX-License-Identifier: Apache-2.0",
     ),
     "mit": (
         "Released under the MIT License",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so",
         "SPDX-License-Identifier: MIT",
     ),
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+        "You should have received a copy of the GNU General Public License along with this program",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ),
     "bsd": (
@@ -48,6 +56,10 @@ TEMPLATES = {
         "Distributed under the BSD 3-Clause License",
         "SPDX-License-Identifier: BSD-3-Clause",
     ),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+        "SPDX-License-Identifier: ISC",
+    ),
     "mpl-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
         "SPDX-License-Identifier: MPL-2.0",
@@ -67,228 +79,185 @@ TEMPLATES = {
     "all-rights-reserved": ("All rights reserved", "Copyright. All rights reserved. No part of this publication may be reproduced without prior written permission"),
 }
 #: Notices that name no family; they teach the first regression only.
-UNNAMED = ("Licensed under the terms of the license in the accompanying file", "This software is provided under its own license agreement", "See LICENSE for the license of this work")
+UNNAMED = ("Licensed under the terms of the license in the accompanying file", "This software is provided under its own license agreement", "See LICENSE for the license of this work", "Use of this file is governed by the license agreement that comes with it")
 FAMILIES = tuple(TEMPLATES)
-DIMENSIONS, STEPS, RATE, PENALTY = 2048, 12, 1.5, 0.002
+#: What a candidate must hold to be scored; every notice above does.
+CUES = r"(?i)licen[cs]|copyright|rights reserved|redistribut|permission (?:is|to)|hereby granted|deal in the software|public domain|spdx|\bcc0\b|\bcc[ -]by\b|creative commons|applicable law"
+DIMENSIONS, STEPS, RATE, PENALTY = 1 << 18, 300, 2.0, 1e-4
 MOST_BACKGROUND, BACKGROUND_DOCS = 1500, 400
-#: Probabilities from which a line is a notice and a family is named, and the share of a template's words that a line must have.
-NOTICE, NAMED, TEMPLATE_SHARE = 0.75, 0.35, 0.6
-#: Words a piece and pieces a window.
-PIECE, WINDOWS = 4, (2, 3, 4, 6, 8, 10)
+#: Probabilities from which a candidate may be a notice, is one of no known family, and a family is named; the share of a
+#: template's words that it must have, and the words of the shortest template that confirms an unknown notice.
+NOTICE, UNKNOWN, NAMED, TEMPLATE_SHARE, TELLING = 0.3, 0.75, 0.5, 0.6, 8
+#: Words of windows, of the longest line and of the longest paragraph that are candidates as they are.
+WINDOWS, LONGEST_LINE, LONGEST = (12, 40), 24, 140
+_COMMENT = r"^[\x20\t]*(?:/{2,}|#+|/?\*+/?|-{2,}|;+|%+|<!--|\|)?[\x20\t]*"
+#: Sentences with cues that are no notices: (frame, fillers of its places), the first ones to fit and the others to calibrate.
+NEGATIVES = (
+    ("the license plate of the {0} was {1}", ("car", "truck", "bus", "trailer"), ("reserved", "lost", "stolen", "changed")),
+    ("he lost his {0} licence in {1}", ("driving", "fishing", "hunting", "pilot"), ("may", "town", "the snow", "spring")),
+    ("{0} rights reserved for members of the {1} are few", ("water", "fishing", "parking", "hunting"), ("club", "village", "guild", "court")),
+    ("permission is {0} from the {1} before you enter", ("needed", "asked", "given", "expected"), ("guard", "owner", "teacher", "office")),
+    ("the book on copyright law was {0} by a {1}", ("read", "sold", "found", "kept"), ("student", "judge", "clerk", "printer")),
+    ("the public domain of the {0} was once {1}", ("king", "city", "church", "state"), ("forest", "pasture", "marsh", "meadow")),
+    ("a dog license costs {0} in {1}", ("ten dollars", "little", "more", "nothing"), ("winter", "the county", "june", "this town")),
+    ("all {0} of the {1} were reserved", ("seats", "rooms", "tables", "rights"), ("hotel", "train", "theatre", "boat")),
+    ("the software was {0} in the {1} without charge", ("copied", "tested", "used", "installed"), ("office", "school", "lab", "library")),
+    ("the {0} applicable law is that of the {1}", ("only", "old", "new", "strict"), ("land", "sea", "state", "market")),
+)
+OTHER_NEGATIVES = (
+    ("the teacher gave her {0} a poetic licence to {1}", ("class", "son", "choir", "friend"), ("sing", "dream", "write", "wander")),
+    ("our {0} renewed a liquor license at the {1}", ("aunt", "neighbour", "tavern", "host"), ("court", "bank", "town hall", "harbour")),
+    ("questions of copyright {0} the {1} for years", ("divided", "troubled", "amused", "bored"), ("band", "heirs", "court", "press")),
+    ("the {0} redistributed grain to {1}", ("king", "council", "abbey", "army"), ("farmers", "the poor", "soldiers", "widows")),
+    ("children need permission to {0} the {1}", ("leave", "cross", "climb", "visit"), ("yard", "river", "tower", "barn")),
+)
 
 
-def word_hashes(line: Column) -> Column:
-    """Hashes of the words of a line, in order."""
-    clean = F.lower(F.regexp_replace(line, r"[^\p{L}\p{N}]+", " "))
-    return F.transform(F.filter(F.split(clean, " "), lambda x: x != ""), lambda x: F.xxhash64(x))
-
-
-def pair_hashes(words: Column) -> Column:
-    """Hashes of neighbouring words."""
-    n = F.greatest(F.size(words) - 1, F.lit(0))
-    return F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.xxhash64(a, b))
+def _words(text: str) -> list[str]:
+    return [w for w in "".join(c if c.isalnum() else " " for c in text.lower()).split() if w]
 
 
-def _bucket(h: Column) -> Column:
-    return F.pmod(h, F.lit(DIMENSIONS)).cast("int")
+def clean_words(text: Column) -> Column:
+    """Words of a text: runs of letters and digits in lower case."""
+    return F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")), " "), lambda x: x != "")
 
 
 def grams(words: Column) -> Column:
-    """Buckets of the one- and two-word grams of a line."""
-    return F.transform(F.concat(words, pair_hashes(words)), _bucket)
-
-
-def _literal(numbers: list[float]) -> Column:
-    """An array constant: folded once when the plan is optimised, then read by index."""
-    return F.from_json(F.lit(json.dumps(numbers)), "array<double>")
-
-
-def _logit(idx: str, weights: list[float], bias: float) -> Column:
-    """Bias and weights of the grams of a line, damped by the square root of their number."""
-    w = _literal(weights)
-    total = F.aggregate(idx, F.lit(0.0), lambda acc, i: acc + F.get(w, i))
-    return F.lit(bias) + total / F.sqrt(F.greatest(F.size(idx), F.lit(1)))
-
-
-def _notice_probability(line: Column, model: tuple[list[float], float], curve: tuple[float, float]) -> Column:
-    """``_probability`` of a line without a list of grams: what every line goes through.
-
-    The hashes are bound by a lambda over an array of one, so that a filter on the result computes them once.
-    """
-    w, (_, bias), (slope, offset) = _literal(model[0]), model, curve
-
-    def of(h: Column) -> Column:
-        total = F.aggregate(pair_hashes(h), F.aggregate(h, F.lit(0.0), add), add)
-        z = F.lit(bias) + total / F.sqrt(F.greatest(2 * F.size(h) - 1, F.lit(1)))
-        return 1 / (1 + F.exp(-(F.lit(slope) * z + F.lit(offset))))
-
-    add = lambda acc, x: acc + F.get(w, _bucket(x))
-    return F.get(F.transform(F.array(word_hashes(line)), of), F.lit(0))
-
-
-def training(spark: SparkSession, lines: DataFrame) -> DataFrame:
-    """(idx, family) of the training paragraphs; family null for background, '' for unnamed notices."""
-    frames = ("{0}", "{0}.", "Copyright 2021 the authors. {0}.", "{0} - see the file for details", "Note: {0}", "{0} All other terms apply.")
-    made = [(f.format(t), family) for family, texts in [*TEMPLATES.items(), ("", UNNAMED)] for t in texts for f in frames]
-    halves = [(" ".join(t.split()[: max(3, len(t.split()) * 2 // 3)]), family) for family, texts in TEMPLATES.items() for t in texts if len(t.split()) > 4]
-    notices = spark.createDataFrame(made + halves, "line string, family string")
-    known = sorted({w for texts in TEMPLATES.values() for t in texts for w in _words(t)} - {"the", "of", "and", "to", "in", "a", "is", "this", "that", "with", "or", "are", "for", "be", "by", "an", "it", "on", "at"})
-    own = F.array_intersect(F.split(F.lower(F.regexp_replace("line", r"[^\p{L}\p{N}]+", " ")), " "), F.from_json(F.lit(json.dumps(known)), "array<string>"))
-    background = lines.where(F.size(own) == 0).select("line").orderBy(F.xxhash64("line"), "line").limit(MOST_BACKGROUND).select("line", F.lit(None).cast("string").alias("family"))
-    return notices.unionByName(background).select(word_hashes(F.col("line")).alias("h"), "family").select(grams(F.col("h")).alias("idx"), "family").where(F.size("idx") > 0)
-
-
-def _words(text: str) -> list[str]:
-    return [w for w in "".join(c if c.isalnum() else " " for c in text.lower()).split() if w]
-
-
-def fitted(rows: DataFrame) -> dict[str, tuple[list[float], float]]:
-    """(weights, bias) of the notice regression (key '') and of each family's, by gradient steps over ``rows`` (idx, family)."""
-    classes = ("", *FAMILIES)
-    model = {c: ([0.0] * DIMENSIONS, 0.0) for c in classes}
-    truth = {c: F.col("family").isNotNull() if c == "" else F.coalesce(F.col("family") == c, F.lit(False)) for c in classes}
-    counts = rows.agg(*(F.sum(t.cast("long")).alias(f"n{k}") for k, t in enumerate(truth.values())), F.count("*").alias("n")).first()
-    for step in range(STEPS):
-        errors = []
-        for k, c in enumerate(classes):
-            weights, bias = model[c]
-            positive = max(counts[f"n{k}"], 1)
-            balance = F.when(truth[c], 0.5 / positive).otherwise(0.5 / max(counts["n"] - positive, 1))
-            p = 1 / (1 + F.exp(-_logit("idx", weights, bias)))
-            errors.append(((p - truth[c].cast("double")) * balance).alias(f"e{k}"))
-        per_row = rows.select("idx", F.sqrt(F.size("idx")).alias("size"), *errors)
-        per_gram = per_row.select(F.explode(F.concat("idx", F.array(F.lit(-1)))).alias("i"), "size", *(f"e{k}" for k in range(len(classes))))
-        x = F.when(F.col("i") < 0, 1.0).otherwise(1 / F.col("size"))
-        got = per_gram.groupBy("i").agg(*(F.sum(F.col(f"e{k}") * x).alias(f"g{k}") for k in range(len(classes)))).collect()
-        rate = RATE * DIMENSIONS**0.5 / (1 + 0.1 * step)
-        for k, c in enumerate(classes):
-            weights, bias = [w * (1 - PENALTY) for w in model[c][0]], model[c][1]
-            for row in got:
-                if row["i"] < 0:
-                    bias -= rate * 0.2 * row[f"g{k}"]
-                else:
-                    weights[row["i"]] -= rate * row[f"g{k}"]
-            model[c] = ([round(w, 6) for w in weights], bias)
-    return model
-
-
-def calibrated(rows: DataFrame, model: dict[str, tuple[list[float], float]]) -> dict[str, tuple[float, float]]:
-    """(slope, offset) of each class: a logistic curve through the mean scores of its own and of other paragraphs."""
-    classes = ("", *FAMILIES)
-    columns = []
-    for k, c in enumerate(classes):
-        own = F.col("family").isNotNull() if c == "" else F.coalesce(F.col("family") == c, F.lit(False))
-        z = _logit("idx", *model[c])
-        columns += [F.percentile(F.when(own, z), F.lit(0.1)).alias(f"p{k}"), F.percentile(F.when(~own, z), F.lit(0.95)).alias(f"q{k}")]
-    row = rows.agg(*columns).first()
-    out = {}
-    for k, c in enumerate(classes):
-        hi, lo = row[f"p{k}"] or 0.0, row[f"q{k}"] or 0.0
-        gap = max(hi - lo, 0.2)
-        out[c] = (2 * math.log(9) / gap, -math.log(9) * (hi + lo) / gap)
+    """Buckets of the one- and two-word grams of a candidate."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    hashes = F.concat(F.transform(words, lambda x: F.xxhash64(x)), F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.xxhash64(a, b)))
+    return F.transform(hashes, lambda h: F.pmod(h, F.lit(DIMENSIONS)).cast("int"))
+
+
+def examples() -> list[tuple[str, str | None, bool]]:
+    """(text, family, held out): notices in frames, '' being no family, and sentences that are none (null)."""
+    frames = ("{0}", "Copyright 2021 the authors. {0}.", "{0} - see the file for details", "Note: {0}", "before it {0} and after it", "{0} All other terms apply.")
+    others = ("# {0}", "(c) 2019 Somebody and others. {0}.", "{0} Please read on.", "as said there {0} which ends this part")
+    out: list[tuple[str, str | None, bool]] = []
+    for family, texts in [*TEMPLATES.items(), ("", UNNAMED)]:
+        for t in texts:
+            out += [(f.format(t), family, held) for fs, held in ((frames, False), (others, True)) for f in fs]
+            if len(w := t.split()) > 8:
+                out += [(" ".join(w[: len(w) * 3 // 4]), family, False), (" ".join(w[len(w) // 4 :]), family, False), (" ".join(w[len(w) // 8 :]), family, True)]
+        if len(texts) > 1:
+            out += [(" ".join(texts), family, False), (" ".join(reversed(texts)), family, True)]
+    for rules, held in ((NEGATIVES, False), (OTHER_NEGATIVES, True)):
+        out += [(f.format(a, b), None, held) for f, xs, ys in rules for a in xs for b in ys]
     return out
 
 
-def _probability(idx: str, model, curve) -> Column:
-    slope, offset = curve
-    return 1 / (1 + F.exp(-(F.lit(slope) * _logit(idx, *model) + F.lit(offset))))
+class Model:
+    """For the notice regression (key '') and each family's: weights of n-grams, a bias, and the curve to a probability."""
+
+    def __init__(self, buckets: np.ndarray, weights: np.ndarray, bias: np.ndarray, curves: list[tuple[float, float]]) -> None:
+        self.buckets, self.weights, self.bias, self.curves = buckets, weights, bias, curves
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(bucket, weights): a row for each n-gram that has weights."""
+        return spark.createDataFrame([(int(b), [float(x) for x in w]) for b, w in zip(self.buckets, self.weights, strict=True)], "bucket int, weights array<double>")
+
+
+def fitted(spark: SparkSession, background: DataFrame) -> Model:
+    """The regressions, from the examples and at most ``MOST_BACKGROUND`` lines of ``background`` (line)."""
+    made = examples()
+    notices = spark.createDataFrame(made, "line string, family string, held boolean")
+    lines = background.select("line").where(~F.col("line").rlike(CUES)).orderBy(F.xxhash64("line"), "line").limit(MOST_BACKGROUND)
+    lines = lines.select("line", F.lit(None).cast("string").alias("family"), (F.pmod(F.xxhash64("line"), F.lit(4)) == 0).alias("held"))
+    rows = notices.unionByName(lines).select(grams(clean_words(F.col("line"))).alias("idx"), "family", "held").where(F.size("idx") > 0).collect()
+    taught = len(made)
+    buckets = np.unique(np.concatenate([r["idx"] for r in rows[:taught]]))
+    x = np.zeros((len(rows), len(buckets)), np.float32)
+    for i, r in enumerate(rows):
+        at = np.searchsorted(buckets, r["idx"])
+        hit = buckets[np.minimum(at, len(buckets) - 1)] == r["idx"]
+        np.add.at(x[i], at[hit], np.float32(1 / len(r["idx"]) ** 0.5))
+    held = np.array([r["held"] for r in rows])
+    truth = np.array([[r["family"] is not None, *(r["family"] == f for f in FAMILIES)] for r in rows], np.float32)
+    xf, y = x[~held], truth[~held]
+    balance = np.where(y > 0, 0.5 / np.maximum(y.sum(axis=0), 1), 0.5 / np.maximum((1 - y).sum(axis=0), 1)).astype(np.float32)
+    w, bias = np.zeros((len(buckets), y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
+    v, vb = w, bias
+    for t in range(STEPS):
+        error = (1 / (1 + np.exp(-np.clip(xf @ v + vb, -30, 30))) - y) * balance
+        new, new_bias = v - RATE * (xf.T @ error + PENALTY * v), vb - RATE * error.sum(axis=0)
+        v, vb = new + t / (t + 3) * (new - w), new_bias + t / (t + 3) * (new_bias - bias)
+        w, bias = new, new_bias
+    z = x[held] @ w + bias
+    curves = [logistic(z[:, k].astype(float), truth[held][:, k].astype(float)) for k in range(y.shape[1])]
+    return Model(buckets, w.astype(float).round(9), bias.astype(float), curves)
 
 
 def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, place, line): every line with a letter or digit; place counts lines from 0."""
-    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("place", "line"))
-    return lines.where(F.col("line").rlike(r"[\p{L}\p{N}]"))
-
-
-def _windows(text: Column, model: tuple[list[float], float], curve: tuple[float, float]) -> Column:
-    """Array of (line, notice, start, end, window) of a text's windows that are notices; start and end are places in the text."""
-    w, (_, bias), (slope, offset) = _literal(model[0]), model, curve
-    add = lambda acc, x: acc + F.get(w, _bucket(x))
-    once = lambda x, of: F.get(F.transform(F.array(x), of), F.lit(0))
-
-    def pieces(line: Column, place: Column) -> Column:
-        piece = lambda ws, at: F.struct(_at(place, at).alias("start"), F.slice(ws, at, PIECE).alias("words"))
-        cut = lambda ws: F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws), F.lit(1)), F.lit(PIECE)), lambda at: piece(ws, at))
-        return once(F.filter(F.split(line, " "), lambda x: x != ""), cut)
-
-    def scored(p: Column) -> Column:
-        # A blank line is a piece without words that no window passes over.
-        of = lambda h: F.struct(
-            F.size(h).alias("n"), F.when(F.size(h) == 0, -1e9).otherwise(F.aggregate(pair_hashes(h), F.aggregate(h, F.lit(0.0), add), add)).alias("s"),
-            F.get(h, F.lit(0)).alias("first"), F.get(h, F.size(h) - 1).alias("last"),
-        )
-        return once(F.transform(p["words"], lambda x: F.xxhash64(x)), of)
-
-    def linked(t: Column) -> Column:
-        link = lambda a, b: F.struct(a["n"].alias("n"), a["s"].alias("s"), F.when(b["n"] > 0, F.get(w, _bucket(F.xxhash64(a["last"], b["first"])))).otherwise(0.0).alias("link"))
-        return F.zip_with(t, F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), link)
-
-    def found(ps: Column, t: Column, size: int) -> Column:
-        def of(i: Column) -> Column:
-            part = lambda q: F.aggregate(q, F.lit(0.0), lambda acc, x: acc + x["s"] + x["link"]) - F.get(q, F.lit(size - 1))["link"]
-            n = lambda q: F.aggregate(q, F.lit(0), lambda acc, x: acc + x["n"])
-            z = lambda q: F.lit(bias) + part(q) / F.sqrt(F.greatest(2 * n(q) - 1, F.lit(1)))
-            return F.struct(i.alias("i"), once(F.slice(t, i, size), lambda q: 1 / (1 + F.exp(-(F.lit(slope) * z(q) + F.lit(offset))))).alias("p"))
-
-        def whole(x: Column) -> Column:
-            q = F.slice(ps, x["i"], size)
-            last = F.get(q, F.lit(size - 1))
-            line = F.array_join(F.flatten(F.transform(q, lambda p: p["words"])), " ")
-            return F.struct(line.alias("line"), x["p"].alias("notice"), F.get(q, F.lit(0))["start"].alias("start"), (last["start"] + F.size(last["words"])).alias("end"), F.lit(1).alias("window"))
-
-        # No sequence runs downwards: a text of fewer pieces has no windows.
-        starts = F.slice(F.sequence(F.lit(1), F.greatest(F.size(t) - size + 1, F.lit(1)), F.lit(1)), 1, F.greatest(F.size(t) - size + 1, F.lit(0)))
-        return F.transform(F.filter(F.transform(starts, of), lambda x: x["p"] >= NOTICE), whole)
-
-    clean = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}\n]+", " "))
-    every = lambda ps: once(linked_of(ps), lambda t: F.concat(*(found(ps, t, k) for k in WINDOWS)))
-    linked_of = lambda ps: once(F.transform(ps, scored), linked)
-    return once(F.flatten(F.transform(F.split(clean, "\n"), pieces)), every)
-
-
-def _at(place: Column, word: Column) -> Column:
-    """Places of words (from 1) of lines as numbers in the order of the text."""
-    return F.shiftleft(place.cast("long"), 32) + word
-
-
-def _lines(text: Column, model: tuple[list[float], float], curve: tuple[float, float]) -> Column:
-    """As ``_windows``, of a text's whole lines."""
-    def of(line: Column, place: Column) -> Column:
-        p = F.when(line.rlike(r"[\p{L}\p{N}]"), _notice_probability(line, model, curve)).otherwise(0.0)
-        return F.struct(line.alias("line"), p.alias("notice"), _at(place, F.lit(1)).alias("start"), (_at(place, F.lit(1)) + F.size(word_hashes(line))).alias("end"), F.lit(0).alias("window"))
-
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), of), lambda x: x["notice"] >= NOTICE)
-
-
-def _apart(found: Column) -> Column:
-    """Of sorted candidates those that overlap none before them."""
-    kept = F.filter(found, lambda x: F.lit(False))
-    return F.aggregate(found, kept, lambda acc, x: F.when(F.exists(acc, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])), acc).otherwise(F.concat(acc, F.array(x))))
+    """(doc_id, place, lines): runs of lines with a letter or digit, stripped of comment marks; place counts lines from 0."""
+    lines = F.transform(F.split(F.col(text), "\n"), lambda x: F.regexp_replace(x, _COMMENT, ""))
+    rows = docs.where(F.col(text).rlike(CUES)).select("doc_id", lines.alias("_lines"))
+    full = F.transform("_lines", lambda x: x.rlike(r"[\p{L}\p{N}]"))
+    n, every = F.size("_full"), F.sequence(F.lit(0), F.size("_full") - 1)
+    at = lambda i: F.coalesce(F.get("_full", i), F.lit(False))
+    first = F.filter(every, lambda i: at(i) & ((i == 0) | ~at(i - 1)))
+    last = F.filter(every, lambda i: at(i) & ((i == n - 1) | ~at(i + 1)))
+    runs = rows.withColumn("_full", full).withColumn("_runs", F.arrays_zip(first.alias("a"), last.alias("b")))
+    return runs.select("doc_id", "_lines", F.explode("_runs").alias("r")).select("doc_id", F.col("r.a").alias("place"), F.slice("_lines", F.col("r.a") + 1, F.col("r.b") - F.col("r.a") + 1).alias("lines"))
+
+
+def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, part, place, kind, words) of what is scored: kind 0 lines, 1 whole paragraphs, 2 windows; part numbers paragraphs."""
+    parts = paragraphs(docs, text).withColumn("whole", F.array_join("lines", " ")).where(F.col("whole").rlike(CUES)).withColumn("part", F.monotonically_increasing_id())
+    held = lambda place, kind, words: F.struct(place.cast("int").alias("place"), F.lit(kind).alias("kind"), words.alias("words"))
+    lines = F.filter(F.transform("lines", lambda x, i: held(F.col("place") + i, 0, F.when(x.rlike(CUES), clean_words(x)))), lambda c: (F.size(c["words"]) > 0) & (F.size(c["words"]) <= LONGEST_LINE))
+    whole = F.filter(F.array(held(F.col("place"), 1, F.col("words"))), lambda c: ((F.size("lines") > 1) | (F.size("words") > LONGEST_LINE)) & (F.size("words") <= LONGEST))
+
+    def windows(size: int) -> Column:
+        starts = F.when(F.size("words") > LONGEST_LINE, F.sequence(F.lit(1), F.greatest(F.size("words"), F.lit(1)), F.lit(size // 2))).otherwise(F.array().cast("array<int>"))
+        return F.filter(F.transform(starts, lambda i: held(F.col("place"), 2, F.slice("words", i, size))), lambda c: F.array_join(c["words"], " ").rlike(CUES))
+
+    rows = parts.withColumn("words", clean_words(F.col("whole"))).select("doc_id", "part", F.explode(F.concat(lines, whole, *map(windows, WINDOWS))).alias("c"))
+    return rows.select("doc_id", "part", "c.*")
+
+
+def _share(words: Column, texts: tuple[str, ...]) -> Column:
+    """The largest share of the words of one of ``texts`` that a candidate has."""
+    sets = [sorted(set(_words(t))) for t in texts]
+    found = [F.size(F.array_intersect(words, F.from_json(F.lit(json.dumps(s)), "array<string>"))) / len(s) for s in sets]
+    return F.greatest(*found) if len(found) > 1 else found[0]
+
+
+def scored(found: DataFrame, model: Model) -> DataFrame:
+    """``found`` (with a column id) and of each candidate notice, share (of a telling notice's words), family (null without one), strength."""
+    idx = found.select("id", F.explode(grams(F.col("words"))).alias("bucket"), F.sqrt(F.greatest(2 * F.size("words") - 1, F.lit(1))).alias("by"))
+    sums = idx.join(F.broadcast(model.table(found.sparkSession)), "bucket").groupBy("id").agg(*(F.sum(F.get("weights", F.lit(k)) / F.col("by")).alias(f"z{k}") for k in range(1 + len(FAMILIES))))
+    both = found.join(sums, "id", "left")
+
+    def probability(k: int) -> Column:
+        slope, offset = model.curves[k]
+        return 1 / (1 + F.exp(-(F.lit(slope) * (F.coalesce(f"z{k}", F.lit(0.0)) + float(model.bias[k])) + F.lit(offset))))
+
+    telling = tuple(t for ts in (UNNAMED, *TEMPLATES.values()) for t in ts if len(set(_words(t))) >= TELLING)
+    shares = [_share(F.col("words"), ts) for ts in (telling, *TEMPLATES.values())]
+    wide = both.withColumns({"p": F.array(*(probability(k) for k in range(1 + len(FAMILIES)))), "share": F.array(*shares)})
+    likes = F.array(*(F.struct((F.get("p", F.lit(k)) * F.get("share", F.lit(k))).alias("s"), F.lit(f).alias("family"), F.get("p", F.lit(k)).alias("p"), F.get("share", F.lit(k)).alias("share")) for k, f in enumerate(FAMILIES, 1)))
+    best = F.array_max(F.filter(likes, lambda x: (x["p"] >= NAMED) & (x["share"] >= TEMPLATE_SHARE)))
+    return wide.withColumn("best", best).select("id", "doc_id", "part", "place", "kind", "words", F.get("p", F.lit(0)).alias("notice"), F.get("share", F.lit(0)).alias("share"), F.col("best.family").alias("family"), F.coalesce("best.s", F.get("p", F.lit(0)) * 0.0).alias("strength"))
 
 
 def notices(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, place, line, notice, family, confidence): the lines and windows that are licence notices."""
+    """(doc_id, place, family, notice): the notices of each paragraph."""
     bounded_batches(docs.sparkSession)
     every = max(1, docs.count() // BACKGROUND_DOCS)
-    rows = training(docs.sparkSession, paragraphs(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0), text))
-    rows = saved(rows, "licence-training")
-    model = fitted(rows)
-    curves = calibrated(rows, model)
-    both = F.concat(_lines(F.col(text), model[""], curves[""]), _windows(F.col(text), model[""], curves[""]))
-    scored = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.explode(both).alias("x")).select("doc_id", "row", "x.*").withColumn("idx", grams(word_hashes(F.col("line"))))
-    words = F.array_distinct(F.filter(F.split(F.lower(F.regexp_replace("line", r"[^\p{L}\p{N}]+", " ")), " "), lambda w: w != ""))
-    likes, shared = [], lambda texts: [F.size(F.array_intersect(words, F.array(*map(F.lit, sorted(set(_words(t))))))) / len(set(_words(t))) for t in texts]
-    for f in FAMILIES:
-        shares = shared(TEMPLATES[f])
-        likes.append(F.struct(_probability("idx", model[f], curves[f]).alias("p"), (F.greatest(*shares) if len(shares) > 1 else shares[0]).alias("share"), F.lit(f).alias("family")))
-    found = scored.withColumn("likes", F.filter(F.array(*likes), lambda x: (x["p"] >= NAMED) & (x["share"] >= TEMPLATE_SHARE)))
-    # Of confirmed families the one with the larger product of probability and shared words; none confirmed: unknown.
-    best = F.array_max(F.transform("likes", lambda x: F.struct((x["p"] * x["share"]).alias("s"), x["p"].alias("p"), x["family"].alias("family"))))
-    # Many more windows than lines are tried, so that one of no family must share words with an unnamed notice.
-    found = found.where((F.col("window") == 0) | (F.size("likes") > 0) | (F.greatest(*shared(UNNAMED)) >= TEMPLATE_SHARE))
-    named = found.withColumn("best", best).select("doc_id", "row", F.struct(F.col("best").isNull().alias("unnamed"), (-F.coalesce("best.s", "notice")).alias("order"), "window", "start", "end", "line", "notice", F.coalesce("best.family", F.lit("unknown")).alias("family"), F.coalesce("best.p", "notice").alias("confidence")).alias("x"))
-    kept = named.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list("x")).alias("found")).select("doc_id", F.explode(_apart(F.col("found"))).alias("x"))
-    return kept.select("doc_id", F.shiftright("x.start", 32).cast("int").alias("place"), "x.line", "x.notice", "x.family", "x.confidence")
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+    model = fitted(docs.sparkSession, some.select(F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line")).where(F.col("line").rlike(r"[\p{L}\p{N}]")))
+    found = saved(candidates(docs, text).withColumn("id", F.monotonically_increasing_id()), "licence-candidates")
+    all_ = scored(found, model).where(((F.col("notice") >= NOTICE) & F.col("family").isNotNull()) | ((F.col("notice") >= UNKNOWN) & (F.col("share") >= TEMPLATE_SHARE)))
+    line = F.struct((F.col("kind") == 0).alias("line"), "strength", "notice", (-F.col("place")).alias("after"), "family", "place")
+    parts = all_.groupBy("doc_id", "part").agg(
+        F.collect_set(F.when((F.col("kind") == 0) & F.col("family").isNotNull(), F.col("family"))).alias("named"),
+        F.max(F.when(F.col("family").isNotNull(), line)).alias("best"),
+        F.min(F.when((F.col("kind") == 0) & F.col("family").isNotNull(), F.col("place"))).alias("first"),
+        F.max("notice").alias("notice"),
+        F.min("place").alias("place"),
+    )
+    families = F.when(F.size("named") > 0, F.col("named")).when(F.col("best").isNotNull(), F.array("best.family")).otherwise(F.array(F.lit("unknown")))
+    return parts.select("doc_id", F.coalesce("first", "best.place", "place").alias("place"), F.explode(families).alias("family"), "notice")
 
 
 def scanned(docs: DataFrame, text: str = "text") -> DataFrame:

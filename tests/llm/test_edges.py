@@ -437,6 +437,82 @@ def test_licence_families(spark, line, family):
     assert {r["doc_id"]: r["family"] for r in licenses.scanned(made).collect()} == {1: family, 2: None}
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+GPL = """/*
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ */"""
+
+
+def test_licences_of_wrapped_notices_and_of_sentences_that_are_none(spark):
+    from tessera.llm import licenses
+
+    long = prose(9, 4000)
+    cases = {
+        1: (MIT, "mit"), 2: (GPL, "gpl"), 3: (GPL.replace("\n", " "), "gpl"), 4: ("the license plate of the car was reserved", None), 5: ("She has a driving licence and all rights to it.\nPermission is not needed.", None),
+        6: (f"{long} Licensed under the Apache License, Version 2.0 {long}", "apache-2.0"), 7: (f"{prose(1, 30)}\n\n{MIT}\n\n{prose(2, 30)}", "mit"),
+        8: ("Licensed under CC BY-NC 4.0\n\nReleased under the MIT License", "cc-by-nc"), 9: ("Use of this file is governed by the license agreement that comes with it.", "unknown"), 10: (None, None), 11: ("", None), 12: (long, None),
+        13: ("# SPDX-License-Identifier: BSD-3-Clause", "bsd"), 14: ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that", "isc"),
+        15: ("Released under the MIT License\n\nLicensed under CC BY 4.0\n\nReleased under the MIT License", "mit"),
+    }
+    found = {r["doc_id"]: r for r in licenses.scanned(spark.createDataFrame([(k, t) for k, (t, _) in cases.items()], "doc_id long, text string")).collect()}
+    assert {k: r["family"] for k, r in found.items()} == {k: f for k, (_, f) in cases.items()}
+    assert found[2]["first_line"] in (0, 1) and found[7]["first_line"] == 2 and found[15]["n_notices"] == 3 and found[8]["families"] == "cc-by-nc,mit"
+
+
+def test_every_notice_holds_a_cue():
+    import re
+
+    from tessera.llm import licenses
+
+    assert all(re.search(licenses.CUES, t) for t in [*licenses.UNNAMED, *(t for ts in licenses.TEMPLATES.values() for t in ts)])
+
+
+def test_licence_scores_like_brute_force(spark):
+    """Candidates and probabilities of the plan against a plain reading of the same weights."""
+    import math
+    import re
+
+    from tessera.llm import licenses
+
+    texts = [MIT, GPL, f"{prose(3, 50)} copyright {prose(4, 90)}", "the license plate was reserved\n  \n// See LICENSE for the license of this work\nnext"]
+    docs_ = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = licenses.fitted(spark, spark.createDataFrame([(prose(k, 12),) for k in range(60)], "line string"))
+    found = licenses.scored(licenses.candidates(docs_).withColumn("id", F.monotonically_increasing_id()).persist(), model).collect()
+    weights = dict(zip(model.buckets.tolist(), model.weights, strict=True))
+    buckets = {tuple(r["words"]): r["g"] for r in spark.createDataFrame([(list(r["words"]),) for r in found], "words array<string>").select("words", licenses.grams(F.col("words")).alias("g")).collect()}
+    for r in found:
+        g = buckets[tuple(r["words"])]
+        z = [model.bias[k] + sum(weights[b][k] for b in g if b in weights) / math.sqrt(len(g)) for k in range(1 + len(licenses.FAMILIES))]
+        p = [1 / (1 + math.exp(-(a * x + b))) for x, (a, b) in zip(z, model.curves, strict=True)]
+        share = [max(len(set(licenses._words(t)) & set(r["words"])) / len(set(licenses._words(t))) for t in licenses.TEMPLATES[f]) for f in licenses.FAMILIES]
+        named = [(q * s, f) for q, s, f in zip(p[1:], share, licenses.FAMILIES, strict=True) if q >= licenses.NAMED and s >= licenses.TEMPLATE_SHARE]
+        assert abs(r["notice"] - p[0]) < 1e-6 and r["family"] == (max(named)[1] if named else None)
+    want = set()
+    for d, t in enumerate(texts):
+        lines = [re.sub(r"^[ \t]*(?:/{2,}|#+|/?\*+/?|-{2,}|;+|%+|<!--|\|)?[ \t]*", "", x) for x in t.split("\n")]
+        run = []
+        for k, x in enumerate([*lines, ""]):
+            if re.search(r"[^\W_]", x):
+                run.append((k, x))
+                continue
+            whole = " ".join(x for _, x in run)
+            if run and re.search(licenses.CUES, whole):
+                w = licenses._words(whole)
+                want |= {(d, i, 0, tuple(licenses._words(x))) for i, x in run if re.search(licenses.CUES, x) and len(licenses._words(x)) <= 24}
+                want |= {(d, run[0][0], 1, tuple(w))} if (len(run) > 1 or len(w) > 24) and len(w) <= 140 else set()
+                want |= {(d, run[0][0], 2, tuple(w[i : i + n])) for n in (12, 40) for i in range(0, len(w), n // 2) if len(w) > 24 and re.search(licenses.CUES, " ".join(w[i : i + n]))}
+            run = []
+    assert {(r["doc_id"], r["place"], r["kind"], tuple(r["words"])) for r in found} == want
+
+
 def test_warc(spark):
     from tessera.llm import warc
 
