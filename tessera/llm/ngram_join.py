@@ -1,21 +1,27 @@
 """Jaccard self-join of word n-gram sets by parity sketches.
 
-A document's set holds its distinct shingles of five words. Its sketch cuts the range of shingle hashes into equal
-pieces and keeps the XOR of the hashes in each piece: two sketches differ in at most as many pieces as the sets'
-symmetric difference has shingles, and sets of similarity 0.75 or more differ in at most (|A| + |B|) / 7 of them.
-
-* **Size bands.** Band k has 2**k pieces and holds the sets of 2**k to 2**(k+1) - 1 shingles, and those up to a
-  third larger again as the larger partner.
-* **Pigeonhole.** Of T pieces that are not empty at most d can differ, so two similar sets share one of the first
-  d + 1 pieces of each in any common order. The order takes pieces without a very common shingle first, then pieces
-  with more shingles, so that passages that many documents share hardly ever meet in a piece.
-* **Verification.** In each piece, classes are first compared with their neighbours in the order of classes; the pairs
-  that neither sizes nor sketches rule out are verified on the sets, and the links found make components. Pieces
-  of three classes or more whose members are still of different components are then compared in blocks, sketch
-  against sketch, across components only; each class proposes its nearest while that joins many, and a last round verifies all that is left. So no link between different components is lost, though neither copies
-  nor the members of a piece are expanded into pairs.
-
-Equal sets are one class (a 64-bit fingerprint), whose pieces each task emits once. No cap on partners, candidates
+A document's set holds its distinct shingles of five words. A parity sketch has a bit for each place that a hash can name,
+and every shingle flips its bit: sketches differ in at most as many bits as the sets' symmetric difference has shingles,
+and sets of similarity 0.75 or more differ in at most (|A| + |B|) / 7 of them.
+
+* **Size bands.** Band k holds the sets of 2**k to 2**(k+1) - 1 shingles, and those up to a third larger again as the
+  larger partner. Its packed sketch has 8 bits for each of 2**k members; that of the band above folds into it by XOR of
+  its halves.
+* **Pigeonhole.** A wide sketch with a bit for every 64-bit hash, never stored, is cut into 2**k runs of bits. Of T runs that
+  are not empty at most d can differ, so two similar sets share one of the first d + 1 runs of each in any common order.
+  A run is known by the XOR of the hashes of its set bits. The order takes runs without a very common shingle first,
+  then runs with more shingles, so that passages that many documents share hardly ever meet.
+* **Hot runs.** A run that a task emits ``HOT`` times or more is chained where it is, and only two of its members meet the
+  rest of the corpus, so no task holds all members of a run that a third of the documents share.
+* **Verification.** In each run, classes are first compared with their neighbours in the order of classes; the pairs
+  that neither sizes nor the Hamming distance of packed sketches rule out are verified on the sets, and the links found
+  make components. Runs of three classes or more whose members are still of different components are then compared
+  in blocks, sketch against sketch, across components only: members outside a large run's main component meet the others,
+  members of the main component never meet each other. Each class proposes its nearest while that joins many, and a last
+  round verifies all that is left. So no link between different components is lost, though neither copies nor the
+  members of a run are expanded into pairs.
+
+Equal sets are one class (a 64-bit fingerprint), whose runs ("pieces") each task emits once. No cap on partners, candidates
 or pieces is set anywhere.
 
 Defined results: a text without words, an empty or a null one has an empty set and is its own component; a text of
@@ -50,6 +56,10 @@ STRETCH = 1_000_000
 BUCKET_PIECES = 1_500_000
 #: Members of pieces that a task compares at a time, about, and those of one piece from which on it is cut into blocks.
 CALL_MEMBERS, BLOCK = 100_000, 1 << 14
+#: The same in bytes of sketches.
+CALL_BYTES, BLOCK_BYTES = 64 << 20, 32 << 20
+#: Members of a piece in one task's stretch from which on they are chained there; salts of the join of classes and components.
+HOT, SALTS = 64, 16
 #: Document ids (8 bytes each) that are broadcast at most.
 MOST_BROADCAST = 500_000
 
@@ -90,12 +100,10 @@ def pieces(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """A byte for each piece of the set's own band."""
-    k = band(len(s))
-    out = np.zeros(1 << k, np.uint8)
-    at, starts = pieces(s, k)
-    out[at[starts].astype(np.int64)] = (np.bitwise_xor.reduceat(mix(s), starts) & np.uint64(255)).astype(np.uint8)
-    return out.tobytes()
+    """The packed parity bits of the set's own band: each member flips one of 8 * 2**k bits."""
+    bits = 8 << band(len(s))
+    place = (mix(s) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
 def signatures(s: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -106,7 +114,7 @@ def signatures(s: np.ndarray, common: np.ndarray) -> np.ndarray:
     roles[0] = (own, max(farthest(n, m) for m in {n, n * 100 // PERCENT, max(n * 100 // PERCENT - 1, n)}))
     least = -(-PERCENT * n // 100)
     if band(least) < own:
-        roles.append((band(least), max(farthest(n, m) for m in {least, min(n, (1 << own) - 1)})))
+        roles.append((band(least), max(farthest(n, m) for m in {least, least + 1, min(n, (1 << own) - 1), min(n, (1 << own) - 2)} if m >= least)))
     frequent = np.zeros(n, bool)
     if len(common):
         place = np.minimum(np.searchsorted(common, s), len(common) - 1)
@@ -158,20 +166,39 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield common()
 
 
-def _emitter(common, buckets: int):
+EMITTED = "bucket int, hot int, tokens binary, owners binary"
+
+
+def _emitter(common, buckets: int, hot: int, stretch: int):
     @lean
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a bucket (hot 0: its pieces and their owners; 1: the same of two members of each hot piece) and rows of
+        hot pieces themselves (hot 2: whole pieces and all their owners in this stretch)."""
         known, tokens, owners, count, seen = common.value, [], [], 0, set()
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             token, owner = np.concatenate(tokens), np.concatenate(owners)
             to = ((token >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-            order = np.argsort(to, kind="stable")
-            token, owner, to = token[order], owner[order], to[order]
+            piece = (to << np.uint64(32)) | (token & np.uint64(0xFFFFFFFF))
+            order = np.lexsort((owner, piece))
+            piece, owner = piece[order], owner[order]
+            starts = np.r_[0, np.flatnonzero(piece[1:] != piece[:-1]) + 1]
+            sizes = np.diff(np.r_[starts, len(piece)])
+            many = np.repeat(sizes >= hot, sizes)
+            if many.any():
+                ends = (starts + sizes - 1)[sizes >= hot]
+                two = np.r_[starts[sizes >= hot], ends]
+                two = two[np.argsort(piece[two], kind="stable")]
+                yield from rows(piece[two], owner[two], 1)
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([-1], pa.int32()), "hot": pa.array([2], pa.int32()), "tokens": pa.array([piece[many].tobytes()], pa.binary()), "owners": pa.array([owner[many].tobytes()], pa.binary())})
+            if not many.all():
+                yield from rows(piece[~many], owner[~many], 0)
+
+        def rows(piece: np.ndarray, owner: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
+            to, low = (piece >> np.uint64(32)).astype(np.int32), piece.astype(np.uint32)
             cuts = np.r_[0, np.flatnonzero(to[1:] != to[:-1]) + 1, len(to)].tolist()
             runs = list(zip(cuts[:-1], cuts[1:], strict=True))
-            low = token.astype(np.uint32)
-            return pa.RecordBatch.from_pydict({"bucket": to[cuts[:-1]].astype(np.int32), "tokens": pa.array([low[a:b].tobytes() for a, b in runs], pa.binary()), "owners": pa.array([owner[a:b].tobytes() for a, b in runs], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(to[cuts[:-1]], pa.int32()), "hot": pa.array([kind] * len(runs), pa.int32()), "tokens": pa.array([low[a:b].tobytes() for a, b in runs], pa.binary()), "owners": pa.array([owner[a:b].tobytes() for a, b in runs], pa.binary())})
 
         for whole in batches:
             for batch in slices(whole, "text"):
@@ -183,19 +210,42 @@ def _emitter(common, buckets: int):
                     tokens.append(token)
                     owners.append(np.full(len(token), c, np.int64))
                     count += len(token)
-                if count >= STRETCH:
-                    yield flush()
+                if count >= stretch:
+                    yield from flush()
                     tokens, owners, count = [], [], 0
         if tokens:
-            yield flush()
+            yield from flush()
 
     return emit
 
 
+MET = "kind int, a long, b long, n long"
+
+
+def _chained(piece: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs of owners that are neighbours in a piece, how many pieces) of sorted pieces and owners."""
+    next_to = np.flatnonzero(piece[1:] == piece[:-1]) if len(piece) else np.zeros(0, np.int64)
+    pairs = np.stack([owner[next_to], owner[next_to + 1]], axis=1) if len(next_to) else np.zeros((0, 2), np.int64)
+    return np.unique(pairs, axis=0, return_counts=True) if len(pairs) else (pairs, np.zeros(0, np.int64))
+
+
+@lean
+def _hot_meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of hot pieces in a stretch: pairs of neighbours (kind 0) and members (kind 2: piece, class)."""
+    for batch in batches:
+        for t, o in zip(batch.column("tokens"), batch.column("owners"), strict=True):
+            piece, owner = np.frombuffer(t.as_buffer(), np.int64), np.frombuffer(o.as_buffer(), np.int64)
+            pairs, shared = _chained(piece, owner)
+            yield pa.RecordBatch.from_pydict({"kind": np.zeros(len(pairs), np.int32), "a": pairs[:, 0].copy(), "b": pairs[:, 1].copy(), "n": shared.astype(np.int64)})
+            yield pa.RecordBatch.from_pydict({"kind": np.full(len(piece), 2, np.int32), "a": piece, "b": owner, "n": np.zeros(len(piece), np.int64)})
+
+
 def _meetings(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Of a bucket: pairs of classes that are neighbours in a piece (kind 0: a, b, pieces), members of larger pieces (kind 1: piece, class)."""
+    """Of a bucket: pairs of classes that are neighbours in a piece (kind 0: a, b, pieces), members of larger pieces (kind 1: the
+    group's hash, class), and members of pieces that are hot in some stretch (kind 2: piece, class)."""
     token = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("tokens")])
     owner = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("owners")])
+    hot = np.unique(np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(x.as_buffer(), np.uint32) for x, h in zip(table.column("tokens"), table.column("hot").to_pylist(), strict=True) if h)]))
     order = np.argsort(token, kind="stable")
     token, owner = token[order], owner[order]
     same = token[1:] == token[:-1]
@@ -206,26 +256,35 @@ def _meetings(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     if len(token):
         fresh = np.r_[True, (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])]
         token, owner = token[fresh], owner[fresh]
-    next_to = np.flatnonzero(token[1:] == token[:-1]) if len(token) else np.zeros(0, np.int64)
-    pairs = np.stack([owner[next_to], owner[next_to + 1]], axis=1) if len(next_to) else np.zeros((0, 2), np.int64)
-    pairs, shared = np.unique(pairs, axis=0, return_counts=True) if len(pairs) else (pairs, np.zeros(0, np.int64))
+    pairs, shared = _chained(token, owner)
     a, b, n, kind = [pairs[:, 0]], [pairs[:, 1]], [shared], [np.zeros(len(pairs), np.int32)]
     if len(token):
         starts = np.r_[0, np.flatnonzero(token[1:] != token[:-1]) + 1]
         sizes = np.diff(np.r_[starts, len(token)])
         group = np.bitwise_xor.reduceat(mix(owner.astype(np.uint64)), starts).astype(np.int64)
+        known = np.isin(token[starts], hot)
         _, first = np.unique(group, return_index=True)
         large = np.zeros(len(starts), bool)
         large[first] = sizes[first] > 2
-        rows = np.repeat(large, sizes)
-        a.append(np.repeat(group, sizes)[rows])
-        b.append(owner[rows])
-        n.append(np.repeat(sizes, sizes)[rows])
-        kind.append(np.ones(int(rows.sum()), np.int32))
+        large &= ~known
+        for which, name, number in ((large, group, 1), (known, (np.int64(key[0].as_py()) << 32) | token[starts].astype(np.int64), 2)):
+            rows = np.repeat(which, sizes)
+            a.append(np.repeat(name, sizes)[rows])
+            b.append(owner[rows])
+            n.append(np.repeat(sizes, sizes)[rows])
+            kind.append(np.full(int(rows.sum()), number, np.int32))
     trim()
     return pa.table({"kind": np.concatenate(kind), "a": np.concatenate(a), "b": np.concatenate(b), "n": np.concatenate(n).astype(np.int64)})
 
 
+def _distinct_groups(members: DataFrame) -> DataFrame:
+    """(piece, cls) of one piece of all those that have the same members."""
+    members = saved(members.distinct(), "hot")
+    marks = members.groupBy("piece").agg(F.bit_xor(F.xxhash64("cls")).alias("mark"), F.count("*").alias("n"))
+    kept = marks.where("n > 2").groupBy("mark", "n").agg(F.min("piece").alias("piece")).select("piece")
+    return members.join(kept, "piece", "left_semi")
+
+
 def _maybe(classes: DataFrame, column: str):
     """A bitmap in which every value of ``column`` has its bit: 16 bits a value, 16 MB at most. It only spares work."""
     spark = classes.sparkSession
@@ -295,7 +354,8 @@ def _verified(pairs: DataFrame, payload: DataFrame) -> DataFrame:
 
 def _folded(sketches: np.ndarray) -> np.ndarray:
     """Sketches of a band as they are in the band below."""
-    return sketches[..., 0::2] ^ sketches[..., 1::2]
+    half = sketches.shape[-1] // 2
+    return sketches[..., :half] ^ sketches[..., half:]
 
 
 def _near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -308,9 +368,9 @@ def _near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
             for x, y, m, n in zip(batch.column("x"), batch.column("y"), batch.column("m").to_pylist(), batch.column("n").to_pylist(), strict=True):
                 ok = 100 * min(m, n) >= PERCENT * max(m, n)
                 if ok:
-                    x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+                    x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                     x, y = (_folded(x) if len(x) > len(y) else x), (_folded(y) if len(y) > len(x) else y)
-                    ok = len(x) == len(y) and int((x != y).sum()) <= farthest(m, n)
+                    ok = len(x) == len(y) and int(np.bitwise_count(x ^ y).sum()) <= farthest(m, n)
                 keep.append(ok)
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
@@ -321,13 +381,13 @@ def _near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
 
 def _apart(sketches: list[bytes], sizes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Pieces in which sketches i and j differ, in the band of the smaller set; -1 where bands are further apart."""
+    """Hamming distance of sketches i and j, in the band of the smaller set; -1 where bands are further apart."""
     bands = np.array([band(int(x)) for x in sizes])
     place, tables, folds = np.zeros(len(sizes), np.int64), {}, {}
     for k in np.unique(bands).tolist():
         at = np.flatnonzero(bands == k)
         place[at] = np.arange(len(at))
-        tables[k] = np.stack([np.frombuffer(sketches[x], np.uint8) for x in at.tolist()])
+        tables[k] = np.stack([np.frombuffer(sketches[x], np.uint64) for x in at.tolist()])
     i, j = np.where(bands[i] <= bands[j], i, j), np.where(bands[i] <= bands[j], j, i)
     out = np.full(len(i), -1)
     for k in tables:
@@ -337,10 +397,10 @@ def _apart(sketches: list[bytes], sizes: np.ndarray, i: np.ndarray, j: np.ndarra
                     folds[k + 1] = _folded(tables[k + 1])
                 x, y = tables[k], folds[k + 1] if up else tables[k]
                 some = np.flatnonzero((bands[i] == k) & (bands[j] == k + up))
-                step = max(1, (16 << 20) >> k)
+                step = max(1, (8 << 20) >> k)
                 for lo in range(0, len(some), step):
                     part = some[lo : lo + step]
-                    out[part] = (x[place[i[part]]] != y[place[j[part]]]).sum(axis=1)
+                    out[part] = np.bitwise_count(x[place[i[part]]] ^ y[place[j[part]]]).sum(axis=1, dtype=np.int64)
     return out
 
 
@@ -410,20 +470,32 @@ def _survivors(every: bool):
 
 
 def _across(groups: DataFrame, roots: DataFrame, sketches: DataFrame, every: bool) -> DataFrame:
-    """Pairs (a, b) that meet in a piece of three or more classes, are in different components and may link."""
-    rooted = sketches.select("cls").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    """Pairs (a, b) that meet in a piece of three or more classes, are in different components and may link.
+
+    Small pieces share calls. A large one is cut into blocks: those of the members outside its main component (as many as
+    they need) and those of the others; a call holds an outer block and another block, so that the rows are the pieces'
+    members times their outer blocks and never the square of a group that has already been joined.
+    """
+    rooted = sketches.select("cls", F.octet_length("sketch").cast("long").alias("bytes")).join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     rooted = saved(rooted, "rooted")
-    mixed = groups.join(rooted, "cls").groupBy("piece").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("piece", "members")
+    by_root = groups.join(rooted, "cls").groupBy("piece", "root").agg(F.count("*").alias("members"), F.sum("bytes").alias("bytes"))
+    load = lambda n, size: F.greatest(F.ceil(n / F.lit(BLOCK)), F.ceil(size / F.lit(BLOCK_BYTES)), F.lit(1)).cast("int")
+    main = F.struct("members", "bytes", "root")
+    mixed = by_root.groupBy("piece").agg(F.sum("members").alias("members"), F.sum("bytes").alias("bytes"), F.max(main).alias("main"), F.count("*").alias("roots")).where("roots > 1")
+    outer = load(F.col("members") - F.col("main.members"), F.col("bytes") - F.col("main.bytes"))
+    mixed = mixed.select("piece", "members", "bytes", F.col("main.root").alias("main"), (load(F.col("members"), F.col("bytes")) == 1).alias("small"), outer.alias("outer"), load(F.col("main.members"), F.col("main.bytes")).alias("inner"))
     mixed = saved(mixed, "mixed")
-    calls = max(1, (mixed.agg(F.sum("members")).first()[0] or 0) // CALL_MEMBERS)
-    blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    spread = groups.join(mixed, "piece").withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    call = F.when(F.col("blocks") > 1, F.col("piece")).otherwise(F.pmod(F.xxhash64("piece"), F.lit(calls)))
-    members = saved(spread.select(call.alias("call"), F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "piece", F.col("own").alias("side"), "cls"), "members")
-    kinds = members.select("call", "lo", "hi", "cls").distinct().join(sketches, "cls").join(rooted, "cls")
-    kinds = kinds.select(F.col("call").alias("call2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("cls").alias("cls2"), "n", "root", "sketch").toDF("call", "lo", "hi", "cls", "n", "root", "sketch")
-    keys = ("call", "lo", "hi")
+    sums = mixed.where("small").agg(F.sum("members"), F.sum("bytes")).first()
+    calls = max(1, (sums[0] or 0) // CALL_MEMBERS, (sums[1] or 0) // CALL_BYTES)
+    spread = groups.join(mixed.drop("members", "bytes"), "piece").join(rooted.select("cls", "root"), "cls").withColumn("out", F.col("root") != F.col("main"))
+    own = F.when(F.col("out"), F.pmod(F.xxhash64("cls"), F.col("outer"))).otherwise(F.col("outer") + F.pmod(F.xxhash64("cls"), F.col("inner"))).cast("int")
+    others = F.when(F.col("out"), F.sequence(F.lit(0), F.col("outer") + F.col("inner") - 1)).otherwise(F.sequence(F.lit(0), F.col("outer") - 1))
+    spread = spread.withColumn("own", F.when(F.col("small"), F.lit(0)).otherwise(own)).withColumn("other", F.explode(F.when(F.col("small"), F.array(F.lit(0))).otherwise(others)))
+    call = F.when(F.col("small"), F.pmod(F.xxhash64("piece"), F.lit(calls))).otherwise(F.col("piece"))
+    members = saved(spread.select("small", call.alias("call"), F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "piece", F.col("own").alias("side"), "cls"), "members")
+    keys = ("call", "lo", "hi", "small")
+    kinds = members.select(*keys, "cls").distinct().join(sketches, "cls").join(rooted.select("cls", "root"), "cls").select(*keys, "cls", "n", "root", "sketch")
+    kinds = kinds.select(*(F.col(c).alias(f"{c}2") for c in kinds.columns)).toDF(*kinds.columns)
     return members.toDF(*members.columns).groupBy(*keys).cogroup(kinds.groupBy(*keys)).applyInArrow(_survivors(every), "a long, b long").distinct()
 
 
@@ -440,10 +512,12 @@ def classes(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     frequent = summary.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).where(F.col("n") >= limit).select("a").toArrow()
     common = spark.sparkContext.broadcast(np.sort(np.asarray(frequent.column("a")).astype(np.int64).view(np.uint64)))
     buckets = max(64, -(-int(total["n"] or 0) // BUCKET_PIECES))
-    emitted = rows.mapInArrow(_emitter(common, buckets), "bucket int, tokens binary, owners binary")
-    met = saved(emitted.groupBy("bucket").applyInArrow(_meetings, "kind int, a long, b long, n long"), "met")
+    emitted = saved(rows.mapInArrow(_emitter(common, buckets, HOT, STRETCH), EMITTED), "emitted")
+    met = emitted.where("hot < 2").groupBy("bucket").applyInArrow(_meetings, MET)
+    met = saved(met.union(emitted.where("hot = 2").select("tokens", "owners").mapInArrow(_hot_meetings, MET)), "met")
     pairs = met.where("kind = 0").select("a", "b").distinct()
-    groups = saved(met.where("kind = 1").select(F.col("a").alias("piece"), F.col("b").alias("cls")).distinct(), "groups")
+    named = lambda kind: met.where(F.col("kind") == kind).select(F.col("a").alias("piece"), F.col("b").alias("cls"))
+    groups = saved(named(1).distinct().union(_distinct_groups(named(2))), "groups")
     seen = met.where("kind = 0").select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     sketches = summary.where("kind = 2").select(F.col("a").alias("cls"), "n", "sketch").join(seen, "cls", "left_semi").dropDuplicates(["cls"])
     sketches = saved(sketches, "sketches")
@@ -479,7 +553,10 @@ def joined(docs: DataFrame, text: str = "text") -> DataFrame:
     first = full.groupBy("cls").agg(F.min("doc_id").alias("first")).join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     first = saved(first, "classes")
     merged = first.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n_classes"))
-    placed = saved(first.join(merged, "root").select(F.col("cls").alias("of"), "component_id", "n_classes"), "placed")
+    # Each component's row meets its classes in SALTS places, as one component may hold very many of them.
+    merged = merged.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    first = first.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int"))
+    placed = saved(first.join(merged, ["root", "salt"]).select(F.col("cls").alias("of"), "component_id", "n_classes"), "placed")
     found = full.join(placed, F.col("cls") == F.col("of")).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_classes")
     return found.union(table.where("cls is null").select("doc_id", "n", "doc_id", F.lit(0).cast("long")))
 

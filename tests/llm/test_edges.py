@@ -147,9 +147,27 @@ def test_ngram_join(docs, empty, pairs):
     assert sorted(ids) == sorted({d for d, t in pairs if d is not None and want[d, t][1] == d})
 
 
-def test_ngram_join_of_random_near_copies(spark):
+def test_sketches_bound_the_difference():
     from tessera.llm import ngram_join
 
+    r = np.random.default_rng(1)
+    for n in (3, 60, 127, 128, 300, 1000):
+        a = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+        for d in (0, 1, n // 9, n // 3):
+            b = np.unique(np.r_[a[d:], r.integers(0, 1 << 63, d + n // 5).astype(np.uint64)])
+            x, y = (np.frombuffer(ngram_join.sketch(v), np.uint64) for v in (a, b))
+            x, y = (ngram_join._folded(x) if len(x) > len(y) else x), (ngram_join._folded(y) if len(y) > len(x) else y)
+            if len(x) == len(y):
+                assert int(np.bitwise_count(x ^ y).sum()) <= len(np.setxor1d(a, b))
+
+
+@pytest.mark.parametrize("limits", [{}, {"HOT": 2, "STRETCH": 300}, {"BLOCK": 3, "CALL_MEMBERS": 5, "HOT": 3}, {"BLOCK_BYTES": 200, "CALL_BYTES": 300, "MOST_BROADCAST": 0}])
+def test_ngram_join_of_random_near_copies(spark, limits, monkeypatch):
+    from tessera.llm import ngram_join
+
+    for name, value in limits.items():
+        monkeypatch.setattr(ngram_join, name, value)
+
     r, made = random.Random(9), []
     for family in range(12):
         base = prose(family, r.choice([4, 7, 12, 40, 130, 300])).split()
