@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from tessera.llm.store import saved
 
-MOST_ROUNDS = 60
 #: Edges (16 bytes each) up to which one task forms all components; more are formed by rounds of stars.
 LOCAL_EDGES = 1_000_000
 
@@ -43,7 +42,7 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(node, root) of every node that an edge (a, b) joins to another; root is the smallest node of its component.
 
-    Up to ``local_edges`` edges, after each partition has contracted its own, are a bounded task. Beyond, the number of rounds grows with the logarithm of a component's diameter. Stars are formed from minima and joins,
+    Up to ``local_edges`` edges, after each partition has contracted its own, are a bounded task. Beyond, rounds go on until nothing changes; their number grows with the logarithm of a component's diameter. Stars are formed from minima and joins,
     so that a node with very many neighbours is never gathered; each round is a table in the shared folder.
     """
     pairs = edges.select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v")).where("u <> v")
@@ -51,7 +50,7 @@ def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     seen, few = None, now.count() <= local_edges
     if few:
         now = saved(now.coalesce(1).mapInArrow(_contracted, "u long, v long"), "edges")
-    for _ in range(0 if few else MOST_ROUNDS):
+    while not few:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

@@ -14,12 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; set to a new one if it is unset."""
+    """The folder in ``spark.checkpoint.dir``; in local mode, where it is unset, a new folder of this machine, and an error on a cluster."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jvm_dir.isDefined():
             at = jvm_dir.get()
+        elif not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         else:
             at = tempfile.mkdtemp(prefix="tessera-")
             spark.sparkContext.setCheckpointDir(at)
@@ -47,13 +49,6 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(spark: SparkSession, path: str) -> None:
-    """Delete a path of the shared folder that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def filesystem(uri: str):
     """(pyarrow file system, path in it) of a URI or a local path."""
     from pyarrow import fs
