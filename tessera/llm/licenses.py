@@ -83,6 +83,8 @@ UNNAMED = ("Licensed under the terms of the license in the accompanying file", "
 FAMILIES = tuple(TEMPLATES)
 #: What a candidate must hold to be scored; every notice above does.
 CUES = r"(?i)licen[cs]|copyright|rights reserved|redistribut|permission (?:is|to)|hereby granted|deal in the software|public domain|spdx|\bcc0\b|\bcc[ -]by\b|creative commons|applicable law"
+#: A word or part of one, in lower case, of every cue: texts without any are passed over without a pattern being tried.
+STEMS = ("licens", "licenc", "copyright", "reserved", "redistribut", "permission", "granted", "software", "domain", "spdx", "cc0", "cc by", "cc-by", "creative", "applicable")
 DIMENSIONS, STEPS, RATE, PENALTY = 1 << 18, 300, 2.0, 1e-4
 MOST_BACKGROUND, BACKGROUND_DOCS = 1500, 400
 #: Probabilities from which a candidate may be a notice, is one of no known family, and a family is named; the share of a
@@ -190,7 +192,9 @@ def fitted(spark: SparkSession, background: DataFrame) -> Model:
 def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, place, lines): runs of lines with a letter or digit, stripped of comment marks; place counts lines from 0."""
     lines = F.transform(F.split(F.col(text), "\n"), lambda x: F.regexp_replace(x, _COMMENT, ""))
-    rows = docs.where(F.col(text).rlike(CUES)).select("doc_id", lines.alias("_lines"))
+    stems = F.array(*map(F.lit, STEMS))
+    maybe = F.get(F.transform(F.array(F.lower(F.col(text))), lambda t: F.exists(stems, lambda c: F.contains(t, c))), F.lit(0))
+    rows = docs.where(maybe).select("doc_id", lines.alias("_lines"))
     full = F.transform("_lines", lambda x: x.rlike(r"[\p{L}\p{N}]"))
     n, every = F.size("_full"), F.sequence(F.lit(0), F.size("_full") - 1)
     at = lambda i: F.coalesce(F.get("_full", i), F.lit(False))

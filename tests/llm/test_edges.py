@@ -490,7 +490,7 @@ def test_every_notice_holds_a_cue():
 
     from tessera.llm import licenses
 
-    assert all(re.search(licenses.CUES, t) for t in [*licenses.UNNAMED, *(t for ts in licenses.TEMPLATES.values() for t in ts)])
+    assert all(re.search(licenses.CUES, t) and any(c in t.lower() for c in licenses.STEMS) for t in [*licenses.UNNAMED, *(t for ts in licenses.TEMPLATES.values() for t in ts)])
 
 
 def test_licence_scores_like_brute_force(spark):
