@@ -190,32 +190,35 @@ def fitted(spark: SparkSession, background: DataFrame) -> Model:
 
 
 def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, place, lines): runs of lines with a letter or digit, stripped of comment marks; place counts lines from 0."""
-    lines = F.transform(F.split(F.col(text), "\n"), lambda x: F.regexp_replace(x, _COMMENT, ""))
+    """(doc_id, lines: array of (place, line)): runs of lines with a letter or digit, stripped of comment marks; places count from 0.
+
+    Every step is linear in the text: lines carry their places through a join and a split at blank lines.
+    """
     stems = F.array(*map(F.lit, STEMS))
     maybe = F.get(F.transform(F.array(F.lower(F.col(text))), lambda t: F.exists(stems, lambda c: F.contains(t, c))), F.lit(0))
-    rows = docs.where(maybe).select("doc_id", lines.alias("_lines"))
-    full = F.transform("_lines", lambda x: x.rlike(r"[\p{L}\p{N}]"))
-    n, every = F.size("_full"), F.sequence(F.lit(0), F.size("_full") - 1)
-    at = lambda i: F.coalesce(F.get("_full", i), F.lit(False))
-    first = F.filter(every, lambda i: at(i) & ((i == 0) | ~at(i - 1)))
-    last = F.filter(every, lambda i: at(i) & ((i == n - 1) | ~at(i + 1)))
-    runs = rows.withColumn("_full", full).withColumn("_runs", F.arrays_zip(first.alias("a"), last.alias("b")))
-    return runs.select("doc_id", "_lines", F.explode("_runs").alias("r")).select("doc_id", F.col("r.a").alias("place"), F.slice("_lines", F.col("r.a") + 1, F.col("r.b") - F.col("r.a") + 1).alias("lines"))
+    mark = F.lit("\x01")
+    placed = F.transform(F.split(F.col(text), "\n"), lambda x, i: F.when(x.rlike(r"[\p{L}\p{N}]"), F.concat(i.cast("string"), mark, F.regexp_replace(x, _COMMENT, ""))).otherwise(""))
+    runs = F.filter(F.split(F.array_join(placed, "\n"), r"\n{2,}"), lambda x: x.rlike(CUES))
+    rows = docs.where(maybe).select("doc_id", F.explode(runs).alias("run"))
+    line = lambda x: F.struct(F.substring_index(x, "\x01", 1).cast("int").alias("place"), F.regexp_replace(x, "^[0-9]+\x01", "").alias("line"))
+    return rows.select("doc_id", F.transform(F.filter(F.split("run", "\n"), lambda x: x != ""), line).alias("lines"))
 
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, part, place, kind, words) of what is scored: kind 0 lines, 1 whole paragraphs, 2 windows; part numbers paragraphs."""
-    parts = paragraphs(docs, text).withColumn("whole", F.array_join("lines", " ")).where(F.col("whole").rlike(CUES)).withColumn("part", F.monotonically_increasing_id())
-    held = lambda place, kind, words: F.struct(place.cast("int").alias("place"), F.lit(kind).alias("kind"), words.alias("words"))
-    lines = F.filter(F.transform("lines", lambda x, i: held(F.col("place") + i, 0, F.when(x.rlike(CUES), clean_words(x)))), lambda c: (F.size(c["words"]) > 0) & (F.size(c["words"]) <= LONGEST_LINE))
+    held = lambda place, kind, words: F.struct(place.alias("place"), F.lit(kind).alias("kind"), words.alias("words"))
+    parts = paragraphs(docs, text).withColumn("whole", F.array_join(F.col("lines.line"), " ")).where(F.col("whole").rlike(CUES))
+    parts = parts.select("doc_id", F.monotonically_increasing_id().alias("part"), "lines", clean_words(F.col("whole")).alias("words"), F.get("lines", F.lit(0))["place"].alias("place"))
+    lines = F.filter(F.transform("lines", lambda x: held(x["place"], 0, F.when(x["line"].rlike(CUES), clean_words(x["line"])))), lambda c: (F.size(c["words"]) > 0) & (F.size(c["words"]) <= LONGEST_LINE))
     whole = F.filter(F.array(held(F.col("place"), 1, F.col("words"))), lambda c: ((F.size("lines") > 1) | (F.size("words") > LONGEST_LINE)) & (F.size("words") <= LONGEST))
 
     def windows(size: int) -> Column:
-        starts = F.when(F.size("words") > LONGEST_LINE, F.sequence(F.lit(1), F.greatest(F.size("words"), F.lit(1)), F.lit(size // 2))).otherwise(F.array().cast("array<int>"))
-        return F.filter(F.transform(starts, lambda i: held(F.col("place"), 2, F.slice("words", i, size))), lambda c: F.array_join(c["words"], " ").rlike(CUES))
+        """Pairs of neighbouring halves; a slice for each window would read the whole array each time."""
+        halves = F.regexp_extract_all(F.when(F.size("words") > LONGEST_LINE, F.array_join("words", " ")).otherwise(""), F.lit(rf"(?:[^ ]+ ){{0,{size // 2 - 1}}}[^ ]+"), F.lit(0))
+        paired = F.get(F.transform(F.array(halves), lambda h: F.zip_with(h, F.slice(h, 2, F.greatest(F.size(h), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))), F.lit(0))
+        return F.transform(F.filter(paired, lambda x: x.rlike(CUES)), lambda x: held(F.col("place"), 2, F.split(x, " ")))
 
-    rows = parts.withColumn("words", clean_words(F.col("whole"))).select("doc_id", "part", F.explode(F.concat(lines, whole, *map(windows, WINDOWS))).alias("c"))
+    rows = parts.select("doc_id", "part", F.explode(F.concat(lines, whole, *map(windows, WINDOWS))).alias("c"))
     return rows.select("doc_id", "part", "c.*")
 
 
