@@ -326,7 +326,7 @@ def learned(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str, Model]
     model = Model(mass.reshape(N_F, N_G, N_U), number.reshape(N_F, N_G, N_U), int(number.reshape(N_F, -1)[1].sum()))
     texts = stored.where("bucket < 0").select("chunk", "bucket", "x", "y", "ids")
     # Few tasks, so that their sums are small beside the texts.
-    tasks = 2 * spark.sparkContext.defaultParallelism
+    tasks = max(1, spark.sparkContext.defaultParallelism)
     for now in range(ROUNDS if model.tokens else 0):
         held = spark.sparkContext.broadcast(model)
 
