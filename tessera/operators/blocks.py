@@ -115,9 +115,9 @@ def fuse_with(world: DataFrame, dims: list[str], fusion_func, weights_func=None,
     return haloed(world, dims, block, halo).groupBy(*(f"b_{d}" for d in dims)).applyInPandas(fuse, schema)
 
 
-def label_centroids(labels: DataFrame, dims: list[str], start: list[int], shape: list[int]) -> DataFrame:
-    """(label, n, c<dim>...): centroids of labels that fall into a core, half open, so that each is counted by one block."""
-    centres = labels.where("label <> 0").groupBy("label").agg(F.count("*").alias("n"), *(F.avg(d).alias(f"c{d}") for d in dims))
+def label_centroids(labels: DataFrame, dims: list[str], start: list[int], shape: list[int], by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., label, n, c<dim>...): centroids of labels that fall into a core, half open, so that each is counted by one block."""
+    centres = labels.where("label <> 0").groupBy(*by, "label").agg(F.count("*").alias("n"), *(F.avg(d).alias(f"c{d}") for d in dims))
     inside = [(F.col(f"c{d}") >= a) & (F.col(f"c{d}") < a + s) for d, a, s in zip(dims, start, shape, strict=True)]
     return centres.where(reduce(lambda a, b: a & b, inside))
 

@@ -21,16 +21,19 @@ def _checkpointed(df: DataFrame) -> DataFrame:
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         import tempfile
 
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and (not sc.master.startswith("local") or "cluster" in sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tessera-"))
     return df.checkpoint()
 
 
-def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(view_id, component): the smallest view reachable over edges (src, dst), by minima of neighbours and of labels' labels."""
     both = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))
     both = _checkpointed(both.union(both.select("v", "u")).distinct())
     label = nodes.select("view_id", F.col("view_id").alias("component"))
-    for _ in range(most_rounds):
+    while True:
         low = both.join(label.withColumnRenamed("view_id", "v"), "v").groupBy("u").agg(F.min("component").alias("low"))
         near = label.join(low, label["view_id"] == low["u"], "left").select("view_id", F.least("component", F.coalesce("low", "component")).alias("component"), F.col("component").alias("old"))
         jump = near.select(F.col("view_id").alias("j"), F.col("component").alias("jc"))

@@ -38,23 +38,23 @@ def descriptors(points: DataFrame, k: int, redundancy: int, position: list[str],
     return sets.select(on, point, F.explode(F.array(*rows)).alias("r")).select(on, point, "r.*")
 
 
-def matches(fixed: DataFrame, moving: DataFrame, ratio: float, limit: float, point: str = "point_id") -> DataFrame:
-    """(fixed, moving, distance): nearest descriptors within ``limit`` that are ``ratio`` times nearer than the nearest of any
+def matches(fixed: DataFrame, moving: DataFrame, ratio: float, limit: float, point: str = "point_id", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., fixed, moving, distance): nearest descriptors within ``limit`` that are ``ratio`` times nearer than the nearest of any
     other moving point; the smallest distance of each pair of points.
 
     Descriptors meet in cells of the limit's size along their first entry, in the own cell and the two beside it.
     """
-    a = fixed.select(F.col(point).alias("fixed"), F.col("combo").alias("ca"), F.col("descriptor").alias("da"))
-    b = moving.select(F.col(point).alias("moving"), F.col("combo").alias("cb"), F.col("descriptor").alias("db"))
+    a = fixed.select(*by, F.col(point).alias("fixed"), F.col("combo").alias("ca"), F.col("descriptor").alias("da"))
+    b = moving.select(*by, F.col(point).alias("moving"), F.col("combo").alias("cb"), F.col("descriptor").alias("db"))
     cell = lambda d: F.floor(F.get(d, F.lit(0)) / F.lit(float(limit)))
     a = a.withColumn("cell", F.explode(F.array(cell("da") - 1, cell("da"), cell("da") + 1)))
-    both = a.join(b.withColumn("cell", cell("db")), "cell")
+    both = a.join(b.withColumn("cell", cell("db")), [*by, "cell"])
     both = both.withColumn("d", F.sqrt(F.aggregate(F.zip_with("da", "db", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)))
-    near = both.groupBy("fixed", "ca", "moving").agg(F.min("d").alias("d"))
-    rank = Window.partitionBy("fixed", "ca").orderBy("d", "moving")
+    near = both.groupBy(*by, "fixed", "ca", "moving").agg(F.min("d").alias("d"))
+    rank = Window.partitionBy(*by, "fixed", "ca").orderBy("d", "moving")
     ranked = near.withColumns({"k": F.row_number().over(rank), "second": F.lead("d").over(rank)}).where((F.col("k") == 1) & (F.col("d") <= limit))
     good = ranked.where(F.col("second").isNull() | (F.col("d") * ratio < F.col("second")) | (F.col("d") == 0) & (F.col("second") > 0))
-    return good.groupBy("fixed", "moving").agg(F.min("d").alias("distance"))
+    return good.groupBy(*by, "fixed", "moving").agg(F.min("d").alias("distance"))
 
 
 def least_matches(kind: str, n: int) -> int:

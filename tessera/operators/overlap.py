@@ -57,15 +57,15 @@ def mask_pairs(world: DataFrame, dims: list[str], value: str = "v") -> DataFrame
     return neighbour_labels(labels, dims).select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
 
 
-def neighbour_labels(labels: DataFrame, dims: list[str], label: str = "label") -> DataFrame:
-    """Distinct directed pairs (a, b) of different non-zero labels on neighbouring pixels, 0-based.
+def neighbour_labels(labels: DataFrame, dims: list[str], label: str = "label", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., a, b): distinct directed pairs of different non-zero labels on neighbouring pixels of an image, 0-based.
 
     Neighbours are one step forward along each axis; in three dimensions also forward in-plane diagonals.
     """
     from itertools import product
 
     steps = [s for s in product((0, 1), repeat=len(dims)) if 0 < sum(s) < max(len(dims), 2)]
-    here = labels.where(F.col(label) != 0).select(*dims, F.col(label).alias("a"))
+    here = labels.where(F.col(label) != 0).select(*by, *dims, F.col(label).alias("a"))
     there = F.explode(F.array(*(F.struct(*((F.col(d) - k).alias(d) for d, k in zip(dims, s, strict=True))) for s in steps))).alias("to")
-    moved = labels.where(F.col(label) != 0).select(F.col(label).alias("b"), there).select("b", "to.*")
-    return here.join(moved, dims).where("a <> b").select((F.col("a") - 1).alias("a"), (F.col("b") - 1).alias("b")).distinct()
+    moved = labels.where(F.col(label) != 0).select(*by, F.col(label).alias("b"), there).select(*by, "b", "to.*")
+    return here.join(moved, [*by, *dims]).where("a <> b").select(*by, (F.col("a") - 1).alias("a"), (F.col("b") - 1).alias("b")).distinct()

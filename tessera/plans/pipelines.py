@@ -50,15 +50,19 @@ def register_views(levels: DataFrame, transforms: DataFrame, pixels: DataFrame,
 
 
 def fuse_views(pixels: DataFrame, transforms: DataFrame, shape: tuple[int, int], method: str = "weighted_average", widths: tuple[float, float] = (10.0, 10.0), dtype: str | None = None, **options) -> DataFrame:
-    """(y, x, fused) of the views' pixels (view_id, y, x, v) placed by translations (view_id, affine).
+    """(y, x, fused) of the views' pixels (view_id, y, x, v) placed by affines (view_id, affine).
 
-    Whole-pixel placements are joined as they are; others are interpolated first. method: max, simple_average,
+    Whole-pixel translations are joined as they are, others are interpolated first; views that are turned, scaled or
+    sheared are resampled, a view a task. method: max, simple_average,
     weighted_average, content, dct or deconvolution.
     """
     offsets = transforms.select("view_id", *(F.get("affine", F.lit(i)).alias(f"o_{d}") for i, d in ((2, "y"), (5, "x"))))
     part = offsets.where((F.abs(F.col("o_y") - F.round("o_y")) > 1e-6) | (F.abs(F.col("o_x") - F.round("o_x")) > 1e-6))
     weighted = fusion.blending(pixels, ["y", "x"], list(shape), list(widths))
-    if part.isEmpty():
+    turned = transforms.where(" or ".join(f"abs(affine[{i}] - {v}) > 1e-9" for i, v in ((0, 1), (1, 0), (3, 0), (4, 1))))
+    if not turned.isEmpty():
+        world = resample.resample_affine(weighted, transforms, ["y", "x"], ["v", "w"])
+    elif part.isEmpty():
         whole = offsets.select("view_id", F.round("o_y").cast("long").alias("o_y"), F.round("o_x").cast("long").alias("o_x"))
         world = fusion.placed(weighted, whole, ["y", "x"]).select("view_id", "wy", "wx", "v", "w")
     else:

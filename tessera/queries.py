@@ -470,12 +470,14 @@ def marker_descriptors(spark, sf_dir):
 
 
 @query(
-    f"""with {_TRIPLES}, x as (select a.point_id as fixed, a.combo as ca, b.point_id as moving, min(sqrt(list_sum(list_transform(list_zip(a.descriptor, b.descriptor), lambda z: pow(z[1] - z[2], 2))))) as d from d a join d b on a.view_id = 1 and b.view_id = 2 group by 1, 2, 3),
-    r as (select *, row_number() over (partition by fixed, ca order by d, moving) as k, lead(d) over (partition by fixed, ca order by d, moving) as second from x where d <= 10) select fixed, moving, round(min(d), 5) as distance from r where k = 1 and d <= 2 and (second is null or d * 1.2 < second) group by 1, 2"""
+    f"""with {_TRIPLES}, x as (select e.src, e.dst, a.point_id as fixed, a.combo as ca, b.point_id as moving, min(sqrt(list_sum(list_transform(list_zip(a.descriptor, b.descriptor), lambda z: pow(z[1] - z[2], 2))))) as d from fx_edges e join d a on a.view_id = e.src join d b on b.view_id = e.dst group by 1, 2, 3, 4, 5),
+    r as (select *, row_number() over (partition by src, dst, fixed, ca order by d, moving) as k, lead(d) over (partition by src, dst, fixed, ca order by d, moving) as second from x where d <= 10) select src, dst, fixed, moving, round(min(d), 5) as distance from r where k = 1 and d <= 2 and (second is null or d * 1.2 < second) group by 1, 2, 3, 4"""
 )
 def marker_matches(spark, sf_dir):
     d = _descriptors(spark, sf_dir)
-    found = markers.matches(d.where("view_id = 1"), d.where("view_id = 2"), 1.2, 2.0)
+    pairs = fx.edges(spark, sf_dir).select("src", "dst")
+    side = lambda end: pairs.join(d, F.col(end) == F.col("view_id")).drop("view_id")
+    found = markers.matches(side("src"), side("dst"), 1.2, 2.0, by=("src", "dst"))
     return found.withColumn("distance", F.round("distance", 5))
 
 
@@ -505,6 +507,15 @@ for _name, _method, _options in (("fuse_content_based", "content", {"sigma_1": 1
     query(name=_name)(lambda spark, sf_dir, m=_method, o=_options: blocks.fuse_blocks(_world_views(spark, sf_dir), ["y", "x"], m, **o).withColumn("fused", F.round("fused", 6)))
 
 
+@query("select oy + x as y, ox + 15 - y as x, max(v) as fused from fx_pixels p join fx_views w on p.view_id = w.view_id group by 1, 2")
+def fuse_affine(spark, sf_dir):
+    """Every view turned by a quarter before it is placed."""
+    from tessera.plans import pipelines
+
+    turned = F.array(F.lit(0.0), F.lit(1.0), F.col("oy").cast("double"), F.lit(-1.0), F.lit(0.0), F.col("ox").cast("double") + 15.0, F.lit(0.0), F.lit(0.0), F.lit(1.0))
+    return pipelines.fuse_views(fx.pixels(spark, sf_dir), fx.views(spark, sf_dir).select("view_id", turned.alias("affine")), (EDGE, EDGE), "max")
+
+
 # Set operations and transforms.
 @query("select view_id, y, x, v, 'a' as c from fx_pixels union all select view_id, y, x, v + 1, 'b' from fx_pixels where view_id % 2 = 0")
 def concat_channels(spark, sf_dir):
@@ -512,16 +523,16 @@ def concat_channels(spark, sf_dir):
     return combine.concat([p.withColumn("c", F.lit("a")), p.where("view_id % 2 = 0").withColumn("v", F.col("v") + 1).withColumn("c", F.lit("b"))], "c")
 
 
-@query("select view_id, y, x, v, 0 as t from fx_pixels where view_id < 5 union all select view_id, y, x, v, 1 from fx_pixels where view_id < 5 union all select view_id, y, x, v, 2 from fx_pixels where view_id < 5")
+@query("select view_id, y, x, v, 0 as t from fx_pixels  union all select view_id, y, x, v, 1 from fx_pixels  union all select view_id, y, x, v, 2 from fx_pixels ")
 def stack_time(spark, sf_dir):
-    p = fx.pixels(spark, sf_dir).where("view_id < 5")
+    p = fx.pixels(spark, sf_dir)
     return combine.stack([p, p, p], "t")
 
 
-@query("select view_id, y + 0 as y, x, v from fx_pixels where view_id = 1 union all select view_id, y + 16, x, v from fx_pixels where view_id = 2")
+@query("select view_id, y + 0 as y, x, v from fx_pixels union all select view_id, y + 16, x, v + 1 from fx_pixels")
 def concat_axis(spark, sf_dir):
     p = fx.pixels(spark, sf_dir)
-    return combine.concat([p.where("view_id = 1"), p.where("view_id = 2")], "y", [EDGE, EDGE])
+    return combine.concat([p, p.withColumn("v", F.col("v") + 1)], "y", [EDGE, EDGE])
 
 
 @query("select 'stage' as transform_key, view_id, cast(oy as double) as ty from fx_views union all select 'registered', view_id, cast(ry as double) from fx_views where view_id % 2 = 0")
@@ -534,17 +545,17 @@ def upsert_transforms(spark, sf_dir):
 
 
 # Clustering and labels.
-@query("with r as (select view_id, cast(oy as double) as y from fx_views where view_id % 7 <> 0), g as (select *, case when y - lag(y) over (order by y, view_id) > 1 then 1 else 0 end as b from r) select view_id, y, cast(sum(b) over (order by y, view_id rows unbounded preceding) as bigint) as cluster from g")
+@query("with r as (select view_id, cast(oy as double) as y from fx_views), g as (select *, case when y - lag(y) over (order by y, view_id) > 1 then 1 else 0 end as b from r) select view_id, y, cast(sum(b) over (order by y, view_id rows unbounded preceding) as bigint) as cluster from g")
 def group_views_1d(spark, sf_dir):
     from tessera.operators.cluster import gaps
 
-    return gaps(fx.views(spark, sf_dir).where("view_id % 7 <> 0").select("view_id", F.col("oy").cast("double").alias("y")), "y", "view_id", 1.0)
+    return gaps(fx.views(spark, sf_dir).select("view_id", F.col("oy").cast("double").alias("y")), "y", "view_id", 1.0)
 
 
-@query("with l as (select y, x, cast(v as bigint) % 4 as label from fx_pixels where view_id = 1), s as (select unnest([[0, 1], [1, 0]]) as d) select distinct a.label - 1 as a, b.label - 1 as b from l a, s, l b where b.y = a.y + s.d[1] and b.x = a.x + s.d[2] and a.label <> 0 and b.label <> 0 and a.label <> b.label")
+@query("with l as (select view_id, y, x, cast(v as bigint) % 4 as label from fx_pixels), s as (select unnest([[0, 1], [1, 0]]) as d) select distinct a.view_id, a.label - 1 as a, b.label - 1 as b from l a, s, l b where a.view_id = b.view_id and b.y = a.y + s.d[1] and b.x = a.x + s.d[2] and a.label <> 0 and b.label <> 0 and a.label <> b.label")
 def label_adjacency(spark, sf_dir):
-    labels = fx.pixels(spark, sf_dir).where("view_id = 1").select("y", "x", (F.col("v").cast("long") % 4).alias("label"))
-    return overlap.neighbour_labels(labels, ["y", "x"])
+    labels = fx.pixels(spark, sf_dir).select("view_id", "y", "x", (F.col("v").cast("long") % 4).alias("label"))
+    return overlap.neighbour_labels(labels, ["y", "x"], by=("view_id",))
 
 
 # Frames, channels and viewers.
@@ -587,19 +598,19 @@ def view_corners(spark, sf_dir):
     return both.select("view_id", "corner", F.get(world_, F.lit(0)).alias("wy"), F.get(world_, F.lit(1)).alias("wx"))
 
 
-@query("select view_id, y, x, v from fx_pixels where view_id < 8", name="scan_chunks")
+@query("select view_id, y, x, v from fx_pixels where v <> 0", name="scan_chunks")
 def scan_chunks(spark, sf_dir):
-    """A round trip of eight views through chunked images: zero pixels are not told from missing ones and are left out."""
+    """A round trip of every view through chunked images: zero pixels are not told from missing ones and are left out."""
     from tessera.sources import store
 
-    return store.round_trip(fx.pixels(spark, sf_dir).where("view_id < 8"), EDGE)
+    return store.round_trip(fx.pixels(spark, sf_dir).where("v <> 0"), EDGE)
 
 
-@query("with l as (select label, count(*) as n, avg(y) as cy, avg(x) as cx from (select cast(v as bigint) % 7 as label, y, x from fx_pixels where view_id = 2) q where label <> 0 group by label) select label, n, round(cy, 6) as cy, round(cx, 6) as cx from l where cy >= 4 and cy < 12 and cx >= 4 and cx < 12")
+@query("with l as (select view_id, label, count(*) as n, avg(y) as cy, avg(x) as cx from (select view_id, cast(v as bigint) % 7 as label, y, x from fx_pixels) q where label <> 0 group by view_id, label) select view_id, label, n, round(cy, 6) as cy, round(cx, 6) as cx from l where cy >= 4 and cy < 12 and cx >= 4 and cx < 12")
 def label_centroids(spark, sf_dir):
-    labels = fx.pixels(spark, sf_dir).where("view_id = 2").select((F.col("v").cast("long") % 7).alias("label"), "y", "x")
-    found = blocks.label_centroids(labels, ["y", "x"], [4, 4], [8, 8])
-    return found.select("label", "n", F.round("cy", 6).alias("cy"), F.round("cx", 6).alias("cx"))
+    labels = fx.pixels(spark, sf_dir).select("view_id", (F.col("v").cast("long") % 7).alias("label"), "y", "x")
+    found = blocks.label_centroids(labels, ["y", "x"], [4, 4], [8, 8], by=("view_id",))
+    return found.select("view_id", "label", "n", F.round("cy", 6).alias("cy"), F.round("cx", 6).alias("cx"))
 
 
 @query("select src as view_id, count(*) as links, round(avg(quality), 6) as quality from (select src, quality from fx_edges union all select dst, quality from fx_edges) group by 1")
