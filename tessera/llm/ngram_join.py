@@ -56,7 +56,9 @@ STRETCH = 1_000_000
 BUCKET_PIECES = 1_500_000
 #: Members of pieces that a task compares at a time, about, and those of one piece from which on it is cut into blocks.
 CALL_MEMBERS, BLOCK = 100_000, 1 << 14
-#: The same in bytes of sketches.
+#: Pairs that a call compares, about; a call holds at most as many at a time.
+CALL_TESTS = 1_000_000
+#: The same as members in bytes of sketches.
 CALL_BYTES, BLOCK_BYTES = 64 << 20, 32 << 20
 #: Members of a piece in one task's stretch from which on they are chained there; salts of the join of classes and components.
 HOT, SALTS = 64, 16
@@ -440,17 +442,20 @@ def _survivors(every: bool):
             # Members of the piece's largest component meet only the others, so a group of copies costs its outsiders alone.
             main = of[inside] == roots[np.argmax(number)]
             inside, half = np.r_[inside[main], inside[~main]], np.r_[half[main], half[~main]]
-            base = int(main.sum())
-            for row in range(base, len(inside)):
-                i, j, other = inside[row], np.r_[inside[:base], inside[row + 1 :]], np.r_[half[:base], half[row + 1 :]]
-                ok = (of[j] != of[i]) & (100 * np.minimum(size[i], size[j]) >= PERCENT * np.maximum(size[i], size[j]))
+            base, step = int(main.sum()), max(1, CALL_TESTS // len(inside))
+            for lo_row in range(base, len(inside), step):
+                rows = np.arange(lo_row, min(lo_row + step, len(inside)))
+                m, n = size[inside[rows]][:, None], size[inside][None, :]
+                ok = (of[inside[rows]][:, None] != of[inside][None, :]) & (100 * np.minimum(m, n) >= PERCENT * np.maximum(m, n))
+                ok[:, base:] &= np.arange(base, len(inside))[None, :] > rows[:, None]
                 if key[1].as_py() != key[2].as_py():
-                    ok &= other != half[row]
-                if ok.any():
-                    j = j[ok]
+                    ok &= half[rows][:, None] != half[None, :]
+                x, y = np.nonzero(ok)
+                if len(x):
+                    i, j = inside[rows[x]], inside[y]
                     held.append(np.minimum(i, j) * len(value) + np.maximum(i, j))
-                    count += len(j)
-                    if count > 1_000_000:
+                    count += len(x)
+                    if count > CALL_TESTS:
                         tested()
         if held:
             tested()
@@ -483,11 +488,12 @@ def _across(groups: DataFrame, roots: DataFrame, sketches: DataFrame, every: boo
     main = F.struct("members", "bytes", "root")
     mixed = by_root.groupBy("piece").agg(F.sum("members").alias("members"), F.sum("bytes").alias("bytes"), F.max(main).alias("main"), F.count("*").alias("roots")).where("roots > 1")
     outer = load(F.col("members") - F.col("main.members"), F.col("bytes") - F.col("main.bytes"))
-    mixed = mixed.select("piece", "members", "bytes", F.col("main.root").alias("main"), (load(F.col("members"), F.col("bytes")) == 1).alias("small"), outer.alias("outer"), load(F.col("main.members"), F.col("main.bytes")).alias("inner"))
+    tests = (F.col("members").cast("double") * (F.col("members") - F.col("main.members"))).alias("tests")
+    mixed = mixed.select("piece", "members", "bytes", tests, F.col("main.root").alias("main"), (load(F.col("members"), F.col("bytes")) == 1).alias("small"), outer.alias("outer"), load(F.col("main.members"), F.col("main.bytes")).alias("inner"))
     mixed = saved(mixed, "mixed")
-    sums = mixed.where("small").agg(F.sum("members"), F.sum("bytes")).first()
-    calls = max(1, (sums[0] or 0) // CALL_MEMBERS, (sums[1] or 0) // CALL_BYTES)
-    spread = groups.join(mixed.drop("members", "bytes"), "piece").join(rooted.select("cls", "root"), "cls").withColumn("out", F.col("root") != F.col("main"))
+    sums = mixed.where("small").agg(F.sum("members"), F.sum("bytes"), F.sum("tests")).first()
+    calls = max(1, (sums[0] or 0) // CALL_MEMBERS, (sums[1] or 0) // CALL_BYTES, int((sums[2] or 0) // CALL_TESTS))
+    spread = groups.join(mixed.drop("members", "bytes", "tests"), "piece").join(rooted.select("cls", "root"), "cls").withColumn("out", F.col("root") != F.col("main"))
     own = F.when(F.col("out"), F.pmod(F.xxhash64("cls"), F.col("outer"))).otherwise(F.col("outer") + F.pmod(F.xxhash64("cls"), F.col("inner"))).cast("int")
     others = F.when(F.col("out"), F.sequence(F.lit(0), F.col("outer") + F.col("inner") - 1)).otherwise(F.sequence(F.lit(0), F.col("outer") - 1))
     spread = spread.withColumn("own", F.when(F.col("small"), F.lit(0)).otherwise(own)).withColumn("other", F.explode(F.when(F.col("small"), F.array(F.lit(0))).otherwise(others)))
