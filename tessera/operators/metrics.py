@@ -6,15 +6,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def pair_pixels(edges: DataFrame, world: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
-    """(src, dst, keys, a, b): values of both views of an edge at shared world pixels.
+def pair_pixels(edges: DataFrame, world: DataFrame, keys: list[str], value: str = "v", bounds: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """(src, dst, keys, a, b): values of both views of an edge, src < dst, at shared world pixels.
 
-    world: (view_id, keys, value). Pixels join pixels on the world position first, so that the edge list filters pairs
-    and is not joined to pixels twice.
+    world: (view_id, keys, value). bounds names, for a key, the columns of ``edges`` with the overlap's first and last
+    position. Each side meets the edges of its view first, within those bounds, so that pixels outside every overlap are
+    not shuffled by position and pixels of views without a common edge never meet.
     """
-    a = world.select(F.col("view_id").alias("src"), *keys, F.col(value).alias("a"))
-    b = world.select(F.col("view_id").alias("dst"), *keys, F.col(value).alias("b"))
-    return a.join(b, keys).where("src < dst").join(edges.select("src", "dst").distinct(), ["src", "dst"])
+    bounds = bounds or {}
+    listed = edges.where("src < dst").select("src", "dst", *(c for pair in bounds.values() for c in pair)).distinct()
+
+    def side(name: str, c: str) -> DataFrame:
+        met = listed.join(world.select(F.col("view_id").alias(name), *keys, F.col(value).alias(c)), name)
+        for key, (first, last) in bounds.items():
+            met = met.where(F.col(key).between(F.col(first), F.col(last)))
+        return met.select("src", "dst", *keys, c)
+
+    return side("src", "a").join(side("dst", "b"), ["src", "dst", *keys])
 
 
 def cross_correlation(pairs: DataFrame) -> DataFrame:

@@ -300,7 +300,7 @@ _PAIRS = f"w as ({_WORLD}), p as (select e.src, e.dst, a.v as a, b.v as b from f
 
 
 def _pair_pixels(spark, sf_dir) -> DataFrame:
-    return metrics.pair_pixels(fx.edges(spark, sf_dir), world(spark, sf_dir).select("view_id", "wy", "wx", "v"), ["wy", "wx"])
+    return metrics.pair_pixels(fx.edges(spark, sf_dir), world(spark, sf_dir).select("view_id", "wy", "wx", "v"), ["wy", "wx"], bounds={"wy": ("lo_y", "hi_y"), "wx": ("lo_x", "hi_x")})
 
 
 _NCC = "n as (select src, dst, count(*) as n, corr(a, b) as r, stddev_pop(a) * stddev_pop(b) * count(*) as den from p group by src, dst), m as (select src, dst, n, case when n < 2 or den < 1e-10 or isnan(r) then null else r end as ncc from n)"

@@ -204,3 +204,35 @@ def test_resampling_by_any_affine(spark):
             back = np.linalg.inv(matrix if r["view_id"] == 1 else scaled)
             at = (back @ [*(r[f"w{d}"] for d in dims), 1.0])[:n]
             assert abs(r["v"] - plane(at)) < 1e-6 and abs(r["w"] - 1) < 1e-9
+
+
+@pytest.mark.parametrize("eps", [0.0, 0.5, 3.0])
+def test_gaps_across_stretches(spark, eps):
+    from tessera.operators.cluster import gaps
+
+    rng = np.random.default_rng(3)
+    values = np.r_[rng.uniform(0, 5000, 3000).round(1), rng.uniform(0, 10, 50), 1e6]
+    rows = spark.createDataFrame([(k, float(v)) for k, v in enumerate(values)] + [(9999, None), (9998, float(values[0]))], "view_id long, at double")
+    found = {r["view_id"]: r["cluster"] for r in gaps(rows, "at", "view_id", eps).collect()}
+    ordered = np.unique(values)
+    numbers = dict(zip(ordered.tolist(), np.r_[0, np.cumsum(np.diff(ordered) > eps)].tolist(), strict=True))
+    assert found == {k: numbers[float(v)] for k, v in enumerate(values)} | {9998: numbers[float(values[0])]}
+
+
+@pytest.mark.parametrize("values", [[], [2.0, 2.0], [None], [float("nan"), 1.0, 9.0]])
+def test_gaps_of_few_values(spark, values):
+    from tessera.operators.cluster import gaps
+
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "view_id long, at double")
+    found = {r["view_id"]: r["cluster"] for r in gaps(rows, "at", "view_id", 1.0).collect()}
+    assert found == {0: {}, 2: {0: 0, 1: 0}, 1: {}, 3: {0: 2, 1: 0, 2: 1}}[len(values)]
+
+
+def test_pair_pixels_are_bounded_before_they_meet(spark):
+    from tessera.operators import metrics
+
+    world = spark.createDataFrame([(v, y, float(10 * v + y)) for v in range(4) for y in range(8)], "view_id long, wy long, v double")
+    edges = spark.createDataFrame([(0, 1, 2, 4), (1, 2, 6, 9), (3, 0, 0, 7), (0, 1, 2, 4)], "src long, dst long, lo long, hi long")
+    found = {tuple(r) for r in metrics.pair_pixels(edges, world, ["wy"], bounds={"wy": ("lo", "hi")}).collect()}
+    assert found == {(0, 1, y, float(y), 10.0 + y) for y in (2, 3, 4)} | {(1, 2, y, 10.0 + y, 20.0 + y) for y in (6, 7)}
+    assert metrics.pair_pixels(edges, world, ["wy"]).count() == 16
