@@ -9,13 +9,14 @@ from __future__ import annotations
 import inspect
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import kernels
 
 GEOMETRY = {"fixed_origin", "moving_origin", "fixed_spacing", "moving_spacing", "initial_affine"}
+FIELDS = ["src", "dst", "t", "transform", "quality", "bbox_lower", "bbox_upper"]
 
 
 def phase_correlation(fixed: np.ndarray, moving: np.ndarray, **options) -> dict:
@@ -53,7 +54,7 @@ def register_pairs(edges: DataFrame, world: DataFrame, dims: list[str], method=p
     """(src, dst, t, transform, quality, bbox_lower, bbox_upper) of each edge and frame, the lower id fixed.
 
     edges: (src, dst, bbox_lower, bbox_upper, overlap) in whole world pixels. world: (view_id, t, <dims>, value). Each side's
-    pixels meet the edge by an equi-join and a range filter, and both sides become one group.
+    pixels meet the edge by an equi-join and a range filter, and both sides become one group of plain numeric columns.
     """
     n, space_ = len(dims), space_of(method)
     if space_ == "points":
@@ -64,14 +65,16 @@ def register_pairs(edges: DataFrame, world: DataFrame, dims: list[str], method=p
         test = test & more
 
     def side(name: str, k: int) -> DataFrame:
-        return edges.select("src", "dst", "bbox_lower", "bbox_upper").join(world.withColumnRenamed("view_id", name), name).where(test).select("src", "dst", "t", F.lit(k).alias("side"), *dims, F.col(value).alias("v"), "bbox_lower", "bbox_upper")
+        met = edges.select("src", "dst", "bbox_lower", "bbox_upper").join(world.withColumnRenamed("view_id", name), name).where(test)
+        limits = [F.get(c, F.lit(i)).cast("long").alias(f"_{c}_{i}") for c in ("bbox_lower", "bbox_upper") for i in range(n)]
+        return met.select("src", "dst", "t", F.lit(k).alias("_side"), *(F.col(d).cast("long").alias(f"_at_{i}") for i, d in enumerate(dims)), F.col(value).cast("double").alias("_v"), *limits)
 
-    def pair(key, part: pd.DataFrame) -> pd.DataFrame:
-        lo = np.array(part["bbox_lower"].iloc[0], dtype=int)
-        hi = np.array(part["bbox_upper"].iloc[0], dtype=int)
+    def pair(key: tuple, part: pa.Table) -> pa.Table:
+        lo = np.array([part[f"_bbox_lower_{i}"][0].as_py() for i in range(n)])
+        hi = np.array([part[f"_bbox_upper_{i}"][0].as_py() for i in range(n)])
         images = np.full((2, *(hi - lo + 1)), np.nan)
-        at = part[dims].to_numpy(dtype=int) - lo
-        images[(part["side"].to_numpy(), *at.T)] = part["v"].to_numpy()
+        at = tuple(part[f"_at_{i}"].to_numpy() - lo[i] for i in range(n))
+        images[(part["_side"].to_numpy(), *at)] = part["_v"].to_numpy()
         given = options
         if space_ == "physical":
             given = options | {"fixed_origin": lo, "moving_origin": lo, "fixed_spacing": np.ones(n), "moving_spacing": np.ones(n), "initial_affine": np.eye(n + 1)}
@@ -80,10 +83,14 @@ def register_pairs(edges: DataFrame, world: DataFrame, dims: list[str], method=p
         m, move = np.asarray(found["affine_matrix"], dtype=float), np.eye(n + 1)
         move[:n, n] = lo
         m = move @ m @ np.linalg.inv(move)
-        return pd.DataFrame([{"src": key[0], "dst": key[1], "t": key[2], "transform": m.ravel().tolist(), "quality": float(found["quality"]), "bbox_lower": lo.astype(float).tolist(), "bbox_upper": hi.astype(float).tolist()}])
-
-    both = side("src", 0).unionByName(side("dst", 1))
-    return both.groupBy("src", "dst", "t").applyInPandas(pair, "src long, dst long, t int, transform array<double>, quality double, bbox_lower array<double>, bbox_upper array<double>")
+        names = [k.as_py() for k in key]
+        lists = [[x.ravel().astype(float).tolist()] for x in (m, lo, hi)]
+        return pa.table([pa.array([names[0]], pa.int64()), pa.array([names[1]], pa.int64()), pa.array([names[2]], pa.int32()), pa.array(lists[0], pa.list_(pa.float64())), pa.array([float(found["quality"])], pa.float64()), *(pa.array(x, pa.list_(pa.float64())) for x in lists[1:])], FIELDS)
+
+    # A number of partitions, since by their few bytes the groups would be merged into few tasks, however long each takes.
+    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = side("src", 0).unionByName(side("dst", 1)).repartition(tasks, "src", "dst", "t")
+    return both.groupBy("src", "dst", "t").applyInArrow(pair, "src long, dst long, t int, transform array<double>, quality double, bbox_lower array<double>, bbox_upper array<double>")
 
 
 def binning(shape: dict[str, int], spacing: dict[str, float], most_pixels: int = 400**3) -> dict[str, int]:
