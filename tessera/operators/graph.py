@@ -15,7 +15,7 @@ class NotEnoughOverlapError(ValueError):
     """No pair of views overlaps."""
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
     """Lineage cut in the folder of spark.checkpoint.dir; a folder of this machine only where none is set."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
@@ -31,13 +31,13 @@ def _checkpointed(df: DataFrame) -> DataFrame:
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(view_id, component): the smallest view reachable over edges (src, dst), by minima of neighbours and of labels' labels."""
     both = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))
-    both = _checkpointed(both.union(both.select("v", "u")).distinct())
+    both = checkpointed(both.union(both.select("v", "u")).distinct())
     label = nodes.select("view_id", F.col("view_id").alias("component"))
     while True:
         low = both.join(label.withColumnRenamed("view_id", "v"), "v").groupBy("u").agg(F.min("component").alias("low"))
         near = label.join(low, label["view_id"] == low["u"], "left").select("view_id", F.least("component", F.coalesce("low", "component")).alias("component"), F.col("component").alias("old"))
         jump = near.select(F.col("view_id").alias("j"), F.col("component").alias("jc"))
-        new = _checkpointed(near.join(jump, near["component"] == jump["j"]).select("view_id", F.least("component", "jc").alias("component"), "old"))
+        new = checkpointed(near.join(jump, near["component"] == jump["j"]).select("view_id", F.least("component", "jc").alias("component"), "old"))
         label = new.select("view_id", "component")
         if new.where("component <> old").isEmpty():
             break

@@ -14,10 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import affine
-from tessera.operators.graph import components, shortest_paths
+from tessera.functions.laplacian import sparse_differences
+from tessera.operators.graph import checkpointed, components, shortest_paths
 
 PARAMS = "view_id long, t int, affine array<double>"
 RESOLVERS: dict = {}
+#: Unknowns up to which normal equations are solved as a dense matrix.
+DENSE = 500
 
 
 def register_resolver(name: str, resolver) -> None:
@@ -101,24 +104,24 @@ def _from_vector(v: np.ndarray) -> np.ndarray:
     return np.eye(3) + (np.sin(angle) / angle if angle > 1e-12 else 1.0) * k + ((1 - np.cos(angle)) / angle**2 if angle > 1e-12 else 0.5) * k @ k
 
 
-def _differences(pairs: list[tuple[int, int]], b: np.ndarray, w: np.ndarray, nodes: list[int], ref: int) -> dict[int, np.ndarray]:
-    """x with x_u - x_v = b for each pair in the weighted least squares sense, 0 at the reference: normal equations."""
-    at = {v: k for k, v in enumerate(v for v in nodes if v != ref)}
-    m = np.zeros((len(at), len(at)))
-    y = np.zeros((len(at), b.shape[1]))
-    for (u, v), value, weight in zip(pairs, b, w, strict=True):
-        for x, sign in ((u, 1.0), (v, -1.0)):
-            if x != ref:
-                m[at[x], at[x]] += weight
-                y[at[x]] += sign * weight * value
-        if u != ref and v != ref:
-            m[at[u], at[v]] -= weight
-            m[at[v], at[u]] -= weight
-    solved = np.linalg.lstsq(m, y, rcond=None)[0] if len(at) else np.zeros((0, b.shape[1]))
-    return {v: solved[k] for v, k in at.items()} | {ref: np.zeros(b.shape[1])}
-
-
-def _spanning(pairs: list[tuple[int, int]], cost: np.ndarray) -> set[int]:
+def _differences(pairs: np.ndarray, b: np.ndarray, w: np.ndarray, nodes: int, ref: int) -> np.ndarray:
+    """x with x_u - x_v = b for each pair (u, v) of nodes 0, 1, ... in the weighted least squares sense, 0 at the reference:
+    normal equations, dense up to ``DENSE`` unknowns and sparse beyond."""
+    out = np.zeros((nodes, b.shape[1]))
+    free = np.flatnonzero(np.arange(nodes) != ref)
+    if len(free) > DENSE:
+        return sparse_differences(pairs, b, w, nodes, ref)
+    m, y = np.zeros((nodes, nodes)), np.zeros((nodes, b.shape[1]))
+    for x, other, sign in ((0, 1, 1.0), (1, 0, -1.0)):
+        np.add.at(m, (pairs[:, x], pairs[:, x]), w)
+        np.add.at(m, (pairs[:, x], pairs[:, other]), -w)
+        np.add.at(y, pairs[:, x], sign * w[:, None] * b)
+    if len(free):
+        out[free] = np.linalg.lstsq(m[np.ix_(free, free)], y[free], rcond=None)[0]
+    return out
+
+
+def _spanning(pairs: list[list[int]], cost: np.ndarray) -> set[int]:
     """Edges of a spanning tree of least cost."""
     up: dict[int, int] = {}
 
@@ -141,30 +144,35 @@ def two_pass(edges: pd.DataFrame, nodes: list[int], n: int, reference: int | Non
     if transform not in ("translation", "rigid"):
         raise ValueError(f"{transform} is not a kind of transform for two passes")
     ref = reference if reference in nodes else _reference(edges, nodes)
-    pairs = [(int(a), int(b)) for a, b in zip(edges["src"], edges["dst"], strict=True)]
-    matrices = [np.array(m).reshape(n + 1, n + 1) for m in edges["transform"]]
+    place = {v: k for k, v in enumerate(nodes)}
+    pairs = np.array([(place[int(a)], place[int(b)]) for a, b in zip(edges["src"], edges["dst"], strict=True)], np.int64).reshape(-1, 2)
+    matrices = np.stack([np.asarray(m, dtype=float) for m in edges["transform"]]).reshape(-1, n + 1, n + 1)
     part = {"quality_overlap": edges["quality"] * edges["overlap"], "quality": edges["quality"], "overlap": edges["overlap"]}.get(weight, edges["quality"] * 0 + 1.0)
     w = part.to_numpy(dtype=float)
     w = np.where(np.isfinite(w) & (w > 0), w, 0.0)
-    middle = [(np.array(a) + np.array(b)) / 2 for a, b in zip(edges["bbox_lower"], edges["bbox_upper"], strict=True)]
+    middle = (np.stack(edges["bbox_lower"].tolist()).astype(float) + np.stack(edges["bbox_upper"].tolist())) / 2
+    moved = (matrices @ np.concatenate([middle, np.ones((len(middle), 1))], axis=1)[..., None])[:, :n, 0]
+    u, v = pairs.T
     use = np.arange(len(pairs))
     for last in (False, True):
-        some = [pairs[k] for k in use]
-        turns = {v: np.eye(n) for v in nodes}
+        turns = np.broadcast_to(np.eye(n), (len(nodes), n, n))
         if transform == "rigid":
             # A_u = A_v M: the rotation of u is that of v after the edge's.
-            seen = np.array([_to_vector(rotation_of(matrices[k][:n, :n])[0]) for k in use])
-            turns = {v: _from_vector(x) for v, x in _differences(some, seen, w[use], nodes, ref).items()}
+            seen = np.array([_to_vector(rotation_of(matrices[k, :n, :n])[0]) for k in use])
+            turns = np.stack([_from_vector(x) for x in _differences(pairs[use], seen, w[use], len(nodes), place[ref])])
         # At the edge's middle c: R_u c + t_u = R_v (M c) + t_v.
-        b = np.array([turns[pairs[k][1]] @ (matrices[k] @ np.append(middle[k], 1.0))[:n] - turns[pairs[k][0]] @ middle[k] for k in use])
-        shift = _differences(some, b, w[use], nodes, ref)
-        out = {v: np.block([[turns[v], shift[v][:, None]], [np.zeros((1, n)), np.ones((1, 1))]]) for v in nodes}
-        off = np.array([np.linalg.norm((out[u] @ np.append(c, 1.0) - out[v] @ m @ np.append(c, 1.0))[:n]) for (u, v), m, c in zip(pairs, matrices, middle, strict=True)])
+        b = (turns[v] @ moved[..., None] - turns[u] @ middle[..., None])[..., 0]
+        shift = _differences(pairs[use], b[use], w[use], len(nodes), place[ref])
+        affines = np.broadcast_to(np.eye(n + 1), (len(nodes), n + 1, n + 1)).copy()
+        affines[:, :n, :n], affines[:, :n, n] = turns, shift
+        out = dict(zip(nodes, affines, strict=True))
+        off = np.linalg.norm(shift[u] - shift[v] - b, axis=1)
         if last or len(pairs) < 2:
             return out
         limit = residual_threshold if residual_threshold is not None else np.median(off) + mad_k * np.median(np.abs(off - np.median(off)))
-        tree = _spanning(pairs, off)
-        use = np.array([k for k in range(len(pairs)) if off[k] <= limit + 1e-12 or k in tree])
+        tree = np.zeros(len(pairs), bool)
+        tree[list(_spanning(pairs.tolist(), off))] = True
+        use = np.flatnonzero((off <= limit + 1e-12) | tree)
         if len(use) == len(pairs):
             return out
     return out
@@ -242,6 +250,7 @@ def resolve(edges: DataFrame, nodes: DataFrame, n: int, method: str = "global_op
     if method not in RESOLVERS:
         raise ValueError(f"unknown method {method}")
     resolver = RESOLVERS[method]
+    edges = checkpointed(edges)  # registered once, not for the components, the solution and the frames each
     label = components(nodes, edges.select("src", "dst").distinct())
     own = edges.join(label.withColumnRenamed("view_id", "src"), "src")
 

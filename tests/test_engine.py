@@ -236,3 +236,22 @@ def test_pair_pixels_are_bounded_before_they_meet(spark):
     found = {tuple(r) for r in metrics.pair_pixels(edges, world, ["wy"], bounds={"wy": ("lo", "hi")}).collect()}
     assert found == {(0, 1, y, float(y), 10.0 + y) for y in (2, 3, 4)} | {(1, 2, y, 10.0 + y, 20.0 + y) for y in (6, 7)}
     assert metrics.pair_pixels(edges, world, ["wy"]).count() == 16
+
+
+def test_resolve_computes_its_edges_once(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(a, a + 1, 1, 0.5, 4.0) for a in range(6)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    edges = spark.createDataFrame(rows, "src long, dst long, t int, quality double, overlap double").mapInArrow(counted, "src long, dst long, t int, quality double, overlap double")
+    box = lambda x: F.array(F.lit(x), F.lit(x))
+    edges = edges.select("*", F.array(*(F.lit(x) for x in (1.0, 0.0, 1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0))).alias("transform"), box(0.0).alias("bbox_lower"), box(2.0).alias("bbox_upper"))
+    out = resolve.resolve(edges, spark.range(7).select(F.col("id").alias("view_id")), 2, "linear_two_pass", transform="translation")
+    assert {r["view_id"]: round(r["affine"][2] - out.where("view_id = 0").first()["affine"][2], 6) for r in out.collect()} == {v: -float(v) for v in range(7)}
+    assert seen.value == len(rows)

@@ -116,3 +116,40 @@ def test_two_pass_rejects_an_outlier():
     for solver in (resolve.two_pass, resolve.relaxed):
         out = solver(edges, list(range(5)), 2)
         assert max(np.abs(m - eye).max() for m in out.values()) < 0.05
+
+
+def test_sparse_differences_equal_dense_ones():
+    from tessera.functions.laplacian import sparse_differences
+
+    r = np.random.default_rng(1)
+    for links in (200, 700):
+        pairs = r.integers(0, 250, (links, 2))
+        w, b = r.random(links) * (r.random(links) < 0.8), r.normal(size=(links, 2))
+        want = resolve._differences(pairs, b, w, 250, 7)
+        for most in (10**9, 0):
+            assert np.abs(sparse_differences(pairs, b, w, 250, 7, most) - want).max() < 1e-8
+
+
+def test_two_pass_of_a_long_strip_takes_no_square_of_its_views():
+    import tracemalloc
+
+    import pandas as pd
+
+    n, eye = 2500, np.eye(3)
+    truth = np.random.default_rng(2).integers(-3, 4, (n, 2)).astype(float)
+    rows = []
+    for a in range(n):
+        for c in (a + 1, a + 9, a + 10, a + 11):
+            if c < n:
+                m = eye.copy()
+                m[:2, 2] = truth[a] - truth[c]
+                rows.append((a, c, [0.0, 0.0], [10.0, 10.0], 0.5, 45.0, m.ravel().tolist()))
+    edges = pd.DataFrame(rows, columns=["src", "dst", "bbox_lower", "bbox_upper", "quality", "overlap", "transform"])
+    tracemalloc.start()
+    try:
+        out = resolve.two_pass(edges, list(range(n)), 2, 0)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 8 * n * n
+    assert max(np.abs(out[v][:2, 2] - (truth[v] - truth[0])).max() for v in out) < 1e-6
