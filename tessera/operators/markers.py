@@ -7,19 +7,31 @@ from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.nearest import nearest
 from tessera.operators.resolve import fit
 
 
 def neighbours(points: DataFrame, k: int, position: list[str], on: str = "view_id", point: str = "point_id") -> DataFrame:
-    """(view_id, point_id, other, rank, d2): the k nearest points in the same view, exactly; ties by id."""
-    a = points.select(on, point, *position)
-    b = points.select(on, F.col(point).alias("other"), *(F.col(p).alias(f"_{p}") for p in position))
-    d2 = sum(((F.col(p) - F.col(f"_{p}")) ** 2 for p in position), F.lit(0.0))
-    both = a.join(b, on).where(F.col(point) != F.col("other")).withColumn("d2", d2)
-    return both.withColumn("rank", F.row_number().over(Window.partitionBy(on, point).orderBy("d2", "other"))).where(F.col("rank") <= k).select(on, point, "other", "rank", "d2")
+    """(view_id, point_id, other, rank, d2): the k nearest points in the same view, exactly; ties by id. A view a task; points
+    without a position go."""
+    a = points.select(on, point, *(F.col(p).cast("double").alias(p) for p in position)).dropna()
+    kinds = dict(a.dtypes)
+
+    def find(key: tuple, part: pa.Table) -> pa.Table:
+        ids, at = np.asarray(part[point]), np.stack([np.asarray(part[p]) for p in position], axis=1)
+        d2, near = nearest(at, ids, at, k + 1)
+        # A point is not its own neighbour; others at the same place with smaller ids may stand before it, or all in its stead.
+        keep = (near >= 0) & (ids[near] != ids[:, None])
+        rank = np.cumsum(keep, axis=1)
+        row, column = np.nonzero(keep & (rank <= k))
+        out = [pa.array([key[0].as_py()] * len(row), part.schema.field(on).type), ids[row], ids[near[row, column]], rank[row, column].astype(np.int32), d2[row, column]]
+        return pa.table(out, names=[on, point, "other", "rank", "d2"])
+
+    return a.groupBy(on).applyInArrow(find, f"`{on}` {kinds[on]}, `{point}` {kinds[point]}, other {kinds[point]}, rank int, d2 double")
 
 
 def descriptors(points: DataFrame, k: int, redundancy: int, position: list[str], on: str = "view_id", point: str = "point_id") -> DataFrame:
@@ -42,19 +54,36 @@ def matches(fixed: DataFrame, moving: DataFrame, ratio: float, limit: float, poi
     """(by..., fixed, moving, distance): nearest descriptors within ``limit`` that are ``ratio`` times nearer than the nearest of any
     other moving point; the smallest distance of each pair of points.
 
-    Descriptors meet in cells of the limit's size along their first entry, in the own cell and the two beside it.
+    A group of ``by`` is a task. Of a descriptor's nearest ones, one more than a point has, two are of different points.
     """
-    a = fixed.select(*by, F.col(point).alias("fixed"), F.col("combo").alias("ca"), F.col("descriptor").alias("da"))
-    b = moving.select(*by, F.col(point).alias("moving"), F.col("combo").alias("cb"), F.col("descriptor").alias("db"))
-    cell = lambda d: F.floor(F.get(d, F.lit(0)) / F.lit(float(limit)))
-    a = a.withColumn("cell", F.explode(F.array(cell("da") - 1, cell("da"), cell("da") + 1)))
-    both = a.join(b.withColumn("cell", cell("db")), [*by, "cell"])
-    both = both.withColumn("d", F.sqrt(F.aggregate(F.zip_with("da", "db", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)))
-    near = both.groupBy(*by, "fixed", "ca", "moving").agg(F.min("d").alias("d"))
-    rank = Window.partitionBy(*by, "fixed", "ca").orderBy("d", "moving")
-    ranked = near.withColumns({"k": F.row_number().over(rank), "second": F.lead("d").over(rank)}).where((F.col("k") == 1) & (F.col("d") <= limit))
-    good = ranked.where(F.col("second").isNull() | (F.col("d") * ratio < F.col("second")) | (F.col("d") == 0) & (F.col("second") > 0))
-    return good.groupBy(*by, "fixed", "moving").agg(F.min("d").alias("distance"))
+    keys = list(by) or ["_all"]
+    side = lambda df, end: df.withColumn("_all", F.lit(0)).select(*keys, F.col(point).alias(end), F.col("descriptor").cast("array<double>").alias("d"))
+    a, b = side(fixed, "fixed"), side(moving, "moving")
+    b = b.select(*(F.col(c).alias(f"{c}2") for c in b.columns)).toDF(*b.columns)  # the sides may share columns of one table
+    kinds = dict(a.dtypes) | dict(b.dtypes)
+    fields = [f"`{c}` {kinds[c]}" for c in keys] + [f"fixed {kinds['fixed']}", f"moving {kinds['moving']}", "distance double"]
+
+    def known(part: pa.Table, end: str) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.asarray(part[end])
+        at = part["d"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        whole = ~np.isnan(at).any(axis=1)
+        return ids[whole], at[whole]
+
+    def find(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = pd.DataFrame({"fixed": [], "moving": [], "distance": []})
+        if len(left) and len(right):
+            (own, p), (others, q) = known(left, "fixed"), known(right, "moving")
+            if len(own) and len(others):
+                most = int(np.unique(others, return_counts=True)[1].max())
+                d2, near = nearest(q, others, p, most + 1, limit * max(ratio, 1.0) * (1 + 1e-9))
+                d, who = np.sqrt(d2), others[near]
+                second = np.where((near >= 0) & (who != who[:, :1]), d, np.inf).min(axis=1)
+                good = (near[:, 0] >= 0) & (d[:, 0] <= limit) & ((d[:, 0] * ratio < second) | (d[:, 0] == 0) & (second > 0))
+                rows = pd.DataFrame({"fixed": own[good], "moving": who[good, 0], "distance": d[good, 0]}).groupby(["fixed", "moving"], as_index=False)["distance"].min()
+        ends = [pa.array([k.as_py()] * len(rows), k.type) for k in key]
+        return pa.table([*ends, pa.array(rows["fixed"], left.schema.field("fixed").type), pa.array(rows["moving"], right.schema.field("moving").type), pa.array(rows["distance"], pa.float64())], names=[*keys, "fixed", "moving", "distance"])
+
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(find, ", ".join(fields)).select(*by, "fixed", "moving", "distance")
 
 
 def least_matches(kind: str, n: int) -> int:

@@ -255,3 +255,18 @@ def test_resolve_computes_its_edges_once(spark):
     out = resolve.resolve(edges, spark.range(7).select(F.col("id").alias("view_id")), 2, "linear_two_pass", transform="translation")
     assert {r["view_id"]: round(r["affine"][2] - out.where("view_id = 0").first()["affine"][2], 6) for r in out.collect()} == {v: -float(v) for v in range(7)}
     assert seen.value == len(rows)
+
+
+def test_marker_matches_of_many_points_make_no_square_of_rows(spark):
+    """The ratio counts a second point beyond the limit, wherever its first entry lies; neighbours are found without a join."""
+    from pyspark.sql import functions as F
+
+    from tessera.operators import markers
+
+    columns = "point_id long, combo int, descriptor array<double>"
+    left = spark.createDataFrame([(1, 0, [3.9, 5.0]), (2, 0, [20.0, 21.0])], columns)
+    right = spark.createDataFrame([(7, 0, [3.9, 7.0]), (8, 0, [6.1, 5.0]), (9, 0, [20.0, 21.0])], columns)
+    assert [tuple(r) for r in markers.matches(left, right, 1.2, 2.0).collect()] == [(2, 9, 0.0)]
+    points = spark.range(3000).select(F.lit(0).alias("view_id"), F.col("id").alias("point_id"), F.rand(1).alias("py"), F.rand(2).alias("px"))
+    near = markers.neighbours(points, 4, ["py", "px"])
+    assert near.count() == 12000 and "Join" not in near._jdf.queryExecution().executedPlan().toString()

@@ -153,3 +153,20 @@ def test_two_pass_of_a_long_strip_takes_no_square_of_its_views():
         tracemalloc.stop()
     assert peak < 8 * n * n
     assert max(np.abs(out[v][:2, 2] - (truth[v] - truth[0])).max() for v in out) < 1e-6
+
+
+def test_nearest_points_equal_brute_force():
+    from tessera.functions.nearest import nearest
+
+    r = np.random.default_rng(3)
+    for points in (r.normal(size=(700, 6)), r.integers(0, 9, (700, 2)).astype(float), np.zeros((300, 2)), np.zeros((0, 2))):
+        ids = r.permutation(len(points))
+        queries = r.normal(size=(150, 6)) if points.shape[1] == 6 else points[:150]
+        for k, most in ((1, np.inf), (5, np.inf), (5, 1.0)):
+            d2, at = nearest(points, ids, queries, k, most, 16)
+            for x, d, p in zip(queries, d2, at, strict=True):
+                apart = sum((x[c] - points[:, c]) ** 2 for c in range(points.shape[1]))
+                want = np.lexsort((ids, apart))
+                want = want[apart[want] <= most * most][:k]
+                assert p[: len(want)].tolist() == want.tolist() and (p[len(want) :] == -1).all()
+                assert np.array_equal(d[: len(want)], apart[want])
