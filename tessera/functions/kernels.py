@@ -76,27 +76,61 @@ def resample(image: np.ndarray, matrix: np.ndarray, offset: np.ndarray, shape: t
     return np.where(ok, out, fill)
 
 
+def shifted_all(image: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """The image read at index + t for each t of ``moves``, by the rules of ``resample``."""
+    n, moves = image.ndim, np.round(np.asarray(moves, dtype=float), 10)
+    whole = np.round(moves)
+    moves = np.where(np.abs(moves - whole) < 1e-6, whole, moves)
+    across = lambda x, d: x.reshape(len(moves), *(image.shape[d] if e == d else 1 for e in range(n)))
+    ok, low, frac = True, [], []
+    for d, size in enumerate(image.shape):
+        at = np.arange(size, dtype=float) + moves[:, d, None]
+        ok = ok & across((at >= -1e-9) & (at <= size - 1 + 1e-9), d)
+        at = np.clip(at, 0, size - 1)
+        low.append(np.minimum(np.floor(at).astype(int), max(size - 2, 0)))
+        frac.append(at - low[d])
+    out = np.zeros((len(moves), *image.shape))
+    for far in product((0, 1), repeat=n):
+        w, index = 1.0, []
+        for d in range(n):
+            w = w * across(frac[d] if far[d] else 1 - frac[d], d)
+            index.append(across(np.minimum(low[d] + far[d], image.shape[d] - 1), d))
+        out += np.where(w > 0, w * np.where(w > 0, image[tuple(index)], 0.0), 0.0)
+    return np.where(ok, out, np.nan)
+
+
 def shifted(image: np.ndarray, t) -> np.ndarray:
     """The image read at index + t."""
-    return resample(image, np.eye(image.ndim), np.asarray(t, dtype=float), image.shape)
+    return shifted_all(image, np.asarray(t, dtype=float)[None])[0]
 
 
-def _box_mean(x: np.ndarray, w: int) -> np.ndarray:
-    for d in range(x.ndim):
-        c = np.cumsum(np.insert(np.moveaxis(x, d, -1), 0, 0.0, axis=-1), axis=-1)
-        x = np.moveaxis((c[..., w:] - c[..., :-w]) / w, -1, d)
+def _box_mean(x: np.ndarray, w: int, n: int) -> np.ndarray:
+    """Means of the windows of w entries along each of the last n axes."""
+    for d in range(-n, 0):
+        c = np.cumsum(x, axis=d)
+        at = lambda *s, d=d: (..., slice(*s), *[slice(None)] * (-d - 1))
+        top = c[at(w - 1, None)].copy()
+        top[at(1, None)] -= c[at(None, x.shape[d] - w)]
+        x = top / w
     return x
 
 
-def structural_similarity(a: np.ndarray, b: np.ndarray, span: float, window: int = 7) -> float:
-    """Mean structural similarity over whole windows."""
+def similarities(a: np.ndarray, many: np.ndarray, span: float, window: int = 7) -> np.ndarray:
+    """Mean structural similarity of ``a`` and each image of ``many`` over whole windows."""
     n = window**a.ndim
-    ma, mb = _box_mean(a, window), _box_mean(b, window)
+    mean = lambda x: _box_mean(x, window, a.ndim)
+    ma, aa = mean(np.stack([a, a * a]))
+    mb, bb, ab = mean(np.stack([many, many * many, a * many]))
     unbiased = n / max(n - 1, 1)
-    va, vb = unbiased * (_box_mean(a * a, window) - ma * ma), unbiased * (_box_mean(b * b, window) - mb * mb)
-    cov = unbiased * (_box_mean(a * b, window) - ma * mb)
+    va, vb = unbiased * (aa - ma * ma), unbiased * (bb - mb * mb)
+    cov = unbiased * (ab - ma * mb)
     c1, c2 = (0.01 * span) ** 2, (0.03 * span) ** 2
-    return float((((2 * ma * mb + c1) * (2 * cov + c2)) / ((ma**2 + mb**2 + c1) * (va + vb + c2))).mean())
+    return (((2 * ma * mb + c1) * (2 * cov + c2)) / ((ma**2 + mb**2 + c1) * (va + vb + c2))).reshape(len(many), -1).mean(axis=1)
+
+
+def structural_similarity(a: np.ndarray, b: np.ndarray, span: float, window: int = 7) -> float:
+    """Mean structural similarity over whole windows."""
+    return float(similarities(a, b[None], span, window)[0])
 
 
 def average_ranks(x: np.ndarray) -> np.ndarray:
@@ -144,21 +178,30 @@ def masked_correlation_shift(a: np.ndarray, b: np.ndarray, least: float = 0.3) -
     size = tuple(x + y - 1 for x, y in zip(a.shape, b.shape, strict=True))
     ma, mb = (~np.isnan(a)).astype(float), (~np.isnan(b)).astype(float)
     fa, fb = np.nan_to_num(a), np.nan_to_num(b)
-    flip = tuple(slice(None, None, -1) for _ in size)
-    f = lambda x: np.fft.rfftn(x, size)
-    corr = lambda x, y: np.fft.irfftn(f(x) * f(y[flip]), size)
-    n = np.maximum(np.round(corr(ma, mb)), 0)
+    flip, axes = tuple(slice(None, None, -1) for _ in size), tuple(range(1, a.ndim + 1))
+    xa = np.fft.rfftn(np.stack([ma, fa, fa**2]), size, axes)
+    xb = np.fft.rfftn(np.stack([mb, fb, fb**2])[(slice(None), *flip)], size, axes)
+    n, sa, sb, top, qa, qb = np.fft.irfftn(xa[[0, 1, 0, 1, 2, 0]] * xb[[0, 0, 1, 1, 0, 2]], size, axes)
+    n = np.maximum(np.round(n), 0)
     some = np.maximum(n, 1)
-    sa, sb = corr(fa, mb), corr(ma, fb)
-    top = corr(fa, fb) - sa * sb / some
-    va, vb = np.maximum(corr(fa**2, mb) - sa**2 / some, 0), np.maximum(corr(ma, fb**2) - sb**2 / some, 0)
+    top = top - sa * sb / some
+    va, vb = np.maximum(qa - sa**2 / some, 0), np.maximum(qb - sb**2 / some, 0)
     score = np.where((n >= least * n.max()) & (va * vb > 1e-12), top / np.sqrt(np.maximum(va * vb, 1e-12)), -np.inf)
     best = np.array(np.unravel_index(np.argmax(score), score.shape))
     return (best - (np.array(b.shape) - 1)).astype(float)
 
 
-def _box(mask: np.ndarray) -> list[tuple[int, int]]:
-    return [(int(w.min()), int(w.max()) + 1) for w in np.nonzero(mask)]
+#: Pixels of shifted images that are held at a time, about.
+SHIFTED_PIXELS = 1 << 16
+
+
+def _boxes(masks: np.ndarray) -> np.ndarray:
+    """(first, end) of what is set along each axis, for each of the masks."""
+    out = np.zeros((len(masks), masks.ndim - 1, 2), np.int64)
+    for d in range(masks.ndim - 1):
+        seen = masks.any(axis=tuple(e for e in range(1, masks.ndim) if e != d + 1))
+        out[:, d, 0], out[:, d, 1] = seen.argmax(axis=1), seen.shape[1] - seen[:, ::-1].argmax(axis=1)
+    return out
 
 
 def phase_correlation(fixed: np.ndarray, moving: np.ndarray, upsample: int | None = None) -> tuple[np.ndarray, float]:
@@ -183,25 +226,35 @@ def phase_correlation(fixed: np.ndarray, moving: np.ndarray, upsample: int | Non
     for p in peaks:
         ways = [[0.0] if x == 0 else [x, -x, s - x, -x - s] for x, s in zip(p, b.shape, strict=True)]
         variants += [v for v in product(*ways) if max(map(abs, v)) < max(*a.shape, *b.shape)]
-    best = (-np.inf, np.zeros(n), float("nan"))
+    best = (-np.inf, np.zeros(n), None)
     valid_a, least, span = ~np.isnan(a), np.nanmin(b), max(np.nanmax(a), np.nanmax(b)) - min(np.nanmin(a), np.nanmin(b))
-    for t in dict.fromkeys(variants):
-        moved = shifted(b, t)
-        both = valid_a & ~np.isnan(moved)
-        score, quality = -1.0, -1.0
-        if both.sum() >= 0.1 * (~np.isnan(b)).sum() and both.any():
-            x, y = _box(valid_a), _box(~np.isnan(moved))
-            pick = max if outside else min
-            other = min if outside else max
-            region = tuple(slice(pick(p[0], q[0]), other(p[1], q[1])) for p, q in zip(x, y, strict=True))
+    enough, known_a, (box,) = 0.1 * (~np.isnan(b)).sum(), np.nan_to_num(a), _boxes(valid_a[None])
+    pick, other = (np.maximum, np.minimum) if outside else (np.minimum, np.maximum)
+    tries = np.array(list(dict.fromkeys(variants)), dtype=float).reshape(-1, n)
+    step = max(1, SHIFTED_PIXELS // b.size)
+    for part in (tries[lo : lo + step] for lo in range(0, len(tries), step)):
+        moved = shifted_all(b, part)
+        valid = ~np.isnan(moved)
+        number = (valid & valid_a).reshape(len(part), -1).sum(axis=1)
+        met, boxes, score = (number >= enough) & (number > 0), _boxes(valid), np.full(len(part), -1.0)
+        regions: dict[tuple, list[int]] = {}
+        for k in np.flatnonzero(met).tolist():
+            regions.setdefault((*pick(box[:, 0], boxes[k, :, 0]).tolist(), *other(box[:, 1], boxes[k, :, 1]).tolist()), []).append(k)
+        for edge, ks in regions.items():
+            region = tuple(slice(lo, hi) for lo, hi in zip(edge[:n], edge[n:], strict=True))
             window = min(7, *(s.stop - s.start for s in region))
             window -= 1 - window % 2
-            if np.nanmax(moved[region]) > least and window >= 3:
-                score = structural_similarity(np.nan_to_num(a[region]), np.nan_to_num(moved[region]), span, window)
-            quality = spearman(a[both], moved[both])
-        if score > best[0]:
-            best = (score, np.array(t), quality)
-    return best[1], best[2]
+            there = moved[(ks, *region)]
+            ok = np.fmax.reduce(there.reshape(len(ks), -1), axis=1) > least
+            if window >= 3 and ok.any():
+                score[np.array(ks)[ok]] = similarities(known_a[region], np.nan_to_num(there[ok]), span, window)
+        for k, s in enumerate(score.tolist()):
+            if s > best[0]:
+                best = (s, part[k].copy(), moved[k].copy() if met[k] else None)
+    if best[2] is None:
+        return best[1], -1.0 if best[0] > -np.inf else float("nan")
+    both = valid_a & ~np.isnan(best[2])
+    return best[1], spearman(a[both], best[2][both])
 
 
 def local_maxima(image: np.ndarray, reach: int) -> np.ndarray:

@@ -29,6 +29,34 @@ def test_phase_correlation_with_pixels_outside():
     assert np.abs(t - np.array([2, -3])).max() <= 0.5
 
 
+def test_variants_of_a_pair_are_ranked_once(monkeypatch):
+    truth = kernels.gaussian(np.random.default_rng(3).uniform(0, 1, (60, 60)), 2)
+    fixed, moving = truth[10:50, 10:50].copy(), truth[8:48, 13:53].copy()
+    fixed[:6], moving[:, -5:] = np.nan, np.nan
+    calls, ranked, read = [], kernels.spearman, kernels.resample
+    monkeypatch.setattr(kernels, "spearman", lambda a, b: calls.append("rank") or ranked(a, b))
+    monkeypatch.setattr(kernels, "resample", lambda *a, **b: calls.append("read") or read(*a, **b))
+    t, quality = kernels.phase_correlation(fixed, moving)
+    moved = read(moving, np.eye(2), t, moving.shape)
+    both = ~np.isnan(fixed) & ~np.isnan(moved)
+    assert np.isclose(quality, ranked(fixed[both], moved[both])) and len(calls) == 1
+
+
+@pytest.mark.parametrize("shape", [(7, 9), (1, 6), (4, 5, 6)])
+def test_shifts_together_are_those_one_by_one(shape, monkeypatch):
+    rng = np.random.default_rng(2)
+    image = np.where(rng.uniform(size=shape) < 0.1, np.nan, rng.uniform(0, 1, shape))
+    moves = np.r_[rng.uniform(-3, 3, (6, len(shape))), np.zeros((1, len(shape)))]
+    found = kernels.shifted_all(image, moves)
+    for t, x in zip(moves, found, strict=True):
+        assert np.array_equal(x, kernels.resample(image, np.eye(len(shape)), t, shape), equal_nan=True)
+    other = np.roll(image, 1, axis=0)
+    whole = kernels.phase_correlation(image, other)
+    monkeypatch.setattr(kernels, "SHIFTED_PIXELS", 1)
+    single = kernels.phase_correlation(image, other)
+    assert np.array_equal(whole[0], single[0]) and np.isclose(whole[1], single[1], equal_nan=True)
+
+
 def test_constant_images_have_no_quality():
     t, quality = kernels.phase_correlation(np.ones((8, 8)), np.ones((8, 8)))
     assert (t == 0).all() and np.isnan(quality)
