@@ -36,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
@@ -477,19 +477,22 @@ def _survivors(every: bool):
 def _across(groups: DataFrame, roots: DataFrame, sketches: DataFrame, every: bool) -> DataFrame:
     """Pairs (a, b) that meet in a piece of three or more classes, are in different components and may link.
 
-    Small pieces share calls. A large one is cut into blocks: those of the members outside its main component (as many as
+    Small pieces share calls: those with the same smallest class go together, as far as a call's load allows, since pieces
+    of similar documents have much the same members, and a call needs each class's sketch once. A large one is cut into blocks: those of the members outside its main component (as many as
     they need) and those of the others; a call holds an outer block and another block, so that the rows are the pieces'
     members times their outer blocks and never the square of a group that has already been joined.
     """
     rooted = sketches.select("cls", F.octet_length("sketch").cast("long").alias("bytes")).join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     rooted = saved(rooted, "rooted")
-    by_root = groups.join(rooted, "cls").groupBy("piece", "root").agg(F.count("*").alias("members"), F.sum("bytes").alias("bytes"))
+    by_root = groups.join(rooted, "cls").groupBy("piece", "root").agg(F.count("*").alias("members"), F.sum("bytes").alias("bytes"), F.min("cls").alias("least"))
     load = lambda n, size: F.greatest(F.ceil(n / F.lit(BLOCK)), F.ceil(size / F.lit(BLOCK_BYTES)), F.lit(1)).cast("int")
     main = F.struct("members", "bytes", "root")
-    mixed = by_root.groupBy("piece").agg(F.sum("members").alias("members"), F.sum("bytes").alias("bytes"), F.max(main).alias("main"), F.count("*").alias("roots")).where("roots > 1")
+    mixed = by_root.groupBy("piece").agg(F.sum("members").alias("members"), F.sum("bytes").alias("bytes"), F.max(main).alias("main"), F.count("*").alias("roots"), F.min("least").alias("least")).where("roots > 1")
     outer = load(F.col("members") - F.col("main.members"), F.col("bytes") - F.col("main.bytes"))
     tests = (F.col("members").cast("double") * (F.col("members") - F.col("main.members"))).alias("tests")
-    mixed = mixed.select("piece", "members", "bytes", tests, F.col("main.root").alias("main"), (load(F.col("members"), F.col("bytes")) == 1).alias("small"), outer.alias("outer"), load(F.col("main.members"), F.col("main.bytes")).alias("inner"))
+    mixed = mixed.select("piece", "least", "members", "bytes", tests, F.col("main.root").alias("main"), (load(F.col("members"), F.col("bytes")) == 1).alias("small"), outer.alias("outer"), load(F.col("main.members"), F.col("main.bytes")).alias("inner"))
+    share = F.when(F.col("small"), F.col("members") / CALL_MEMBERS + F.col("bytes") / CALL_BYTES + F.col("tests") / CALL_TESTS).otherwise(0.0)
+    mixed = mixed.withColumn("chunk", F.floor(F.sum(share).over(Window.partitionBy("least").orderBy("piece"))))
     mixed = saved(mixed, "mixed")
     sums = mixed.where("small").agg(F.sum("members"), F.sum("bytes"), F.sum("tests")).first()
     calls = max(1, (sums[0] or 0) // CALL_MEMBERS, (sums[1] or 0) // CALL_BYTES, int((sums[2] or 0) // CALL_TESTS))
@@ -497,7 +500,7 @@ def _across(groups: DataFrame, roots: DataFrame, sketches: DataFrame, every: boo
     own = F.when(F.col("out"), F.pmod(F.xxhash64("cls"), F.col("outer"))).otherwise(F.col("outer") + F.pmod(F.xxhash64("cls"), F.col("inner"))).cast("int")
     others = F.when(F.col("out"), F.sequence(F.lit(0), F.col("outer") + F.col("inner") - 1)).otherwise(F.sequence(F.lit(0), F.col("outer") - 1))
     spread = spread.withColumn("own", F.when(F.col("small"), F.lit(0)).otherwise(own)).withColumn("other", F.explode(F.when(F.col("small"), F.array(F.lit(0))).otherwise(others)))
-    call = F.when(F.col("small"), F.pmod(F.xxhash64("piece"), F.lit(calls))).otherwise(F.col("piece"))
+    call = F.when(F.col("small"), F.pmod(F.xxhash64("least", "chunk"), F.lit(calls))).otherwise(F.col("piece"))
     members = saved(spread.select("small", call.alias("call"), F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "piece", F.col("own").alias("side"), "cls"), "members")
     keys = ("call", "lo", "hi", "small")
     kinds = members.select(*keys, "cls").distinct().join(sketches, "cls").join(rooted.select("cls", "root"), "cls").select(*keys, "cls", "n", "root", "sketch")
@@ -556,13 +559,14 @@ def joined(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``docs``."""
     table, roots = classes(docs, text)
     full = table.where("cls is not null")
-    first = full.groupBy("cls").agg(F.min("doc_id").alias("first")).join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    first = full.groupBy("cls").agg(F.min("doc_id").alias("first")).join(roots.withColumnRenamed("node", "cls"), "cls", "left")
     first = saved(first, "classes")
-    merged = first.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n_classes"))
+    alone = first.where("root is null").select(F.col("cls").alias("of"), F.col("first").alias("component_id"), F.lit(1).cast("long").alias("n_classes"))
+    merged = first.where("root is not null").groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n_classes"))
     # Each component's row meets its classes in SALTS places, as one component may hold very many of them.
     merged = merged.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    first = first.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int"))
-    placed = saved(first.join(merged, ["root", "salt"]).select(F.col("cls").alias("of"), "component_id", "n_classes"), "placed")
+    first = first.where("root is not null").withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int"))
+    placed = saved(first.join(merged, ["root", "salt"]).select(F.col("cls").alias("of"), "component_id", "n_classes").union(alone), "placed")
     found = full.join(placed, F.col("cls") == F.col("of")).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_classes")
     return found.union(table.where("cls is null").select("doc_id", "n", "doc_id", F.lit(0).cast("long")))
 

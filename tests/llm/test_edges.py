@@ -181,6 +181,45 @@ def test_ngram_join_of_random_near_copies(spark, limits, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.joined(table).collect()} == {d: want[d, t] for d, t in made}
 
 
+def kept_tables(module, monkeypatch) -> dict:
+    """The tables that ``module`` saves from now on, by label."""
+    tables, save = {}, module.saved
+
+    def keep(df, label):
+        tables[label] = save(df, label)
+        return tables[label]
+
+    monkeypatch.setattr(module, "saved", keep)
+    return tables
+
+
+def test_similar_pieces_share_calls(spark, monkeypatch):
+    from tessera.llm import ngram_join
+
+    families, size = 8, 6
+    pieces = [(100 * f + k, 10 * f + m) for f in range(families) for k in range(20) for m in range(size) if m != 1 + k % (size - 1)]
+    groups = spark.createDataFrame(pieces, "piece long, cls long")
+    sketch = bytes(8 << ngram_join.LEAST_BAND)
+    sketches = spark.createDataFrame([(10 * f + m, 70, bytearray(sketch)) for f in range(families) for m in range(size)], "cls long, n long, sketch binary")
+    roots = spark.createDataFrame([], "node long, root long")
+    monkeypatch.setattr(ngram_join, "CALL_MEMBERS", 100)
+    tables = kept_tables(ngram_join, monkeypatch)
+    found = ngram_join._across(groups, roots, sketches, True)
+    assert {(r["a"], r["b"]) for r in found.collect()} == {(10 * f + a, 10 * f + b) for f in range(families) for b in range(size) for a in range(b)}
+    assert tables["members"].select("call").distinct().count() > 1
+    assert tables["members"].select("call", "cls").distinct().count() <= 2 * families * size
+
+
+def test_only_linked_classes_meet_their_component(spark, docs, pairs, monkeypatch):
+    from tessera.llm import ngram_join
+
+    tables = kept_tables(ngram_join, monkeypatch)
+    many = {r["component_id"]: r["n_classes"] for r in ngram_join.joined(docs).collect() if r["n_shingles"]}
+    rows_ = tables["classes"].collect()
+    assert sum(r["root"] is None for r in rows_) == sum(n == 1 for n in many.values())
+    assert len(rows_) == sum(many.values())
+
+
 def test_quality(docs, empty, pairs):
     from tessera.llm import quality
 
